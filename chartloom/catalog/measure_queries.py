@@ -103,13 +103,13 @@ def label_split(t):
     "containment_join",
     "C4 B18 G3",
     "mention inner_mention",
-    """select o.source, o.span_start, o.span_end, o.term, i.term as term_inner, i.span_start as span_start_inner
+    """select o.source, o.span_start, o.span_end, o.term, i.term as term_inner, coalesce(i.span_start, -1) as span_start_inner
        from mention o left join inner_mention i
        on o.source = i.source and o.span_start <= i.span_start and o.span_end >= i.span_end""",
 )
 def containment(t):
     return containment_join(t.mention, t.inner_mention).select(
-        "source", "span_start", "span_end", "term", "term_inner", "span_start_inner"
+        "source", "span_start", "span_end", "term", "term_inner", F.coalesce("span_start_inner", F.lit(-1)).alias("span_start_inner")
     )
 
 
@@ -141,9 +141,12 @@ for _i, (_n, _ids, _ctes, _cols, _s) in enumerate(_ALL):
     _step(_n, _ids, _ctes, _cols, [x[4] for x in _ALL[: _i + 1]])
 
 
-@query("parsed_measurements", "H11 H9 B15", "entity", PARSED + " select * from parsed")
+@query("parsed_measurements", "H11 H9 B15", "entity", PARSED
+    + """ select * replace (coalesce(span_start_bio, -1) as span_start_bio, coalesce(span_end_bio, -1) as span_end_bio)
+       from parsed""")
 def parsed(t):
-    return M.parse_measurements(*_sides(t))
+    # -1 for "no inner mention", so that the two engines print the column alike
+    return M.parse_measurements(*_sides(t)).na.fill(-1, ["span_start_bio", "span_end_bio"])
 
 
 @query(

@@ -90,9 +90,9 @@ def drop_extension(c, n: int = 4) -> Column:
     return F.substring(c, F.lit(1), F.greatest(F.length(c) - n, F.lit(0)))
 
 
-def override_code(code, when_concept, concept, to_code) -> Column:
-    """``to_code`` for rows of one concept, the given code otherwise."""
-    return F.when(_col(concept) == when_concept, F.lit(to_code)).otherwise(_col(code))
+def override_code(code, concept, value: str, to_code: str) -> Column:
+    """``to_code`` where the concept column holds ``value``, the given code otherwise."""
+    return F.when(_col(concept) == F.lit(value), F.lit(to_code)).otherwise(_col(code))
 
 
 def span_bounds(c) -> tuple[Column, Column]:
