@@ -97,6 +97,38 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
            union all
            select source, term, term as lexical_variant, span_start, span_end, 'BIO' as label from inner_mention""",
     ),
+    "note_text": (
+        [],
+        "select cast(doc_id as string) as note_id, text, source as origin from {documents}",
+    ),
+    "standoff_line": (
+        ["mention"],
+        """select source, 'T' || i || chr(9) || case n when 7 then 'Chemical_and_drugs' else 'BIO_comp' end || ' ' ||
+             case when n = 5 then cast(span_start + 12 as string) || ' ' || cast(span_end as string) || ';' ||
+               cast(span_start as string) || ' ' || cast(span_start + 11 as string)
+             else cast(span_start as string) || ' ' || cast(span_end as string) end || chr(9) ||
+             case when n = 5 then substr(term, 13) || ' ' || substr(term, 1, 11) else term end as line
+           from (select *, cast(cast(floor(span_start / 40) as bigint) as string) as i, cast(floor(span_start / 1000000) as int) as n from mention) m
+           union all
+           select source, case n when 1 then 'A' || i || chr(9) || 'Negation T' || i || ' Neg'
+             when 3 then 'A' || i || chr(9) || 'Negation T' || i
+             when 7 then 'A' || i || chr(9) || 'Tech T' || i || ' Device'
+             when 2 then 'R' || i || chr(9) || 'Linked Arg1:T' || i || ' Arg2:T1'
+             when 4 then 'E' || i || chr(9) || 'Test:T' || i || ' Value:T2'
+             when 5 then 'T' || i || ' broken'
+             else '#' || i || chr(9) || 'AnnotatorNotes T' || i || chr(9) || 'C0201357 ; C0201358' end as line
+           from (select *, cast(cast(floor(span_start / 40) as bigint) as string) as i, cast(floor(span_start / 1000000) as int) as n from mention) m
+           where n <= 7""",
+    ),
+    "standoff_entity": (
+        ["mention"],
+        """select 'T' || cast(cast(floor(span_start / 40) as bigint) as string) as ann_id, term, 
+             case when span_start >= 7000000 then 'Chemical_and_drugs' else 'BIO_comp' end as label, source,
+             cast(span_start as string) || ' ' || cast(span_end as string) as span from mention
+           union all
+           select '#' || cast(cast(floor(span_start / 40) as bigint) as string), 'C0201357 ; C0201358', 'AnnotatorNotes', source,
+             'T' || cast(cast(floor(span_start / 40) as bigint) as string) from mention where span_start < 2000000 or span_start >= 6000000""",
+    ),
 }
 
 

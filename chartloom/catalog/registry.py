@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from chartloom.catalog.fixtures import check_sql, spark_table
+from chartloom.session import cut_lineage
 
 
 class Tables:
@@ -19,6 +20,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return spark_table(self.spark, self.sf_dir, name)
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table written out first, as the files it stands for would be."""
+        return cut_lineage(spark_table(self.spark, self.sf_dir, name))
+
 
 @dataclass(frozen=True)
 class Query:

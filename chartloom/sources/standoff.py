@@ -48,7 +48,7 @@ def _fragments(offsets: Column) -> Column:
     """``1 4;6 9`` to an array of (begin, end)."""
     parts = F.transform(F.split(strip_space(offsets), ";"), lambda s: F.split(strip_space(s), r"\s+"))
     return F.transform(
-        parts, lambda p: F.struct(p[0].try_cast("int").alias("begin"), p[1].try_cast("int").alias("end"))
+        parts, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("int").alias("begin"), F.get(p, F.lit(1)).try_cast("int").alias("end"))
     )
 
 
