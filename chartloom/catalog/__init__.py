@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["measure_queries", "cohort_queries", "annotation_queries"]
+MODULES = ["measure_queries", "cohort_queries", "annotation_queries", "match_queries"]
 
 
 def load():

@@ -97,6 +97,45 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
            union all
            select source, term, term as lexical_variant, span_start, span_end, 'BIO' as label from inner_mention""",
     ),
+    "dictionary": (
+        [],
+        """select distinct 'H02AB0' || cast(p_size % 9 as string) as label,
+           p_name || ' ' || lower(replace(p_brand, '#', '')) as norm_term from {part}""",
+    ),
+    "drug_mention": (
+        [],
+        """select substr(name, 1, k) || substr(name, k + 2) as term, cast(p_partkey as string) || '.ann' as source,
+           cast(p_partkey * 10 as int) as span_start, cast(p_partkey * 10 + length(name) - 1 as int) as span_end,
+           case when p_size % 5 = 0 then 'Neg' when p_size % 5 = 1 then cast(null as string) else 'Aff' end as Negation,
+           case when p_size % 3 = 0 then 'Hypothetical' else 'Certain' end as Certainty,
+           case when p_type = 'PROMO' then 'True' else 'False' end as Tech
+           from (select *, p_name || ' ' || lower(replace(p_brand, '#', '')) as name,
+             cast(p_partkey % length(p_name || ' ' || lower(replace(p_brand, '#', ''))) as int) as k from {part}) p""",
+    ),
+    "vocab_row": (
+        [],
+        """select 'C' || cast(p_partkey % 300 as string) as concept_id,
+           case when p_size % 3 = 0 then 'FRE' when p_size % 3 = 1 then 'ENG' else 'GER' end as language,
+           case when p_type in ('PROMO', 'SMALL') then 'ATC' else 'SNOMEDCT_US' end as vocabulary,
+           p_brand as code, p_name || ' ' || lower(p_type) || '-test' as str from {part}""",
+    ),
+    "vocab_type": (
+        [],
+        """select distinct 'C' || cast(p_partkey % 300 as string) as concept_id,
+           case when p_size > 25 then 'T059' else 'T060' end as type_id from {part}""",
+    ),
+    "vector": ([], "select vec_id as id, embedding as vec from {embeddings} where label <> 0"),
+    "vocab_vector": (
+        [],
+        """select vec_id as vocab_id, cast(label as string) as label, 'name ' || cast(vec_id as string) as norm_term,
+           embedding as vec from {embeddings} where label = 0 or label = 1""",
+    ),
+    "gold_code": (
+        [],
+        """select cast(p_partkey as string) || '.ann' as source, cast(p_partkey * 10 as int) as span_start,
+           case when p_size = 1 then 'NaN' when p_size % 7 = 0 then ' cui:H02AB07 ' when p_size % 7 = 1 then 'HO2'
+             when p_size % 7 = 2 then 'C0428472' else 'H02AB0' || cast(p_size % 9 as string) end as annotation from {part}""",
+    ),
     "note_text": (
         [],
         "select cast(doc_id as string) as note_id, text, source as origin from {documents}",

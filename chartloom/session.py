@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     _checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files of one run, below the checkpoint folder."""
+    _checkpoint_ready(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/chartloom/{name}-{uuid.uuid4().hex}"
