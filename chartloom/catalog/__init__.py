@@ -2,7 +2,14 @@
 
 from importlib import import_module
 
-MODULES = ["measure_queries", "cohort_queries", "annotation_queries", "match_queries"]
+MODULES = [
+    "measure_queries",
+    "cohort_queries",
+    "annotation_queries",
+    "match_queries",
+    "rollup_queries",
+    "score_queries",
+]
 
 
 def load():

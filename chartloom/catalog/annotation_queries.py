@@ -106,9 +106,7 @@ def entity_numbers(t):
     "standoff_written_lines",
     "A6 E3",
     "note_text",
-    r""", w as (select note_id, text, length(text) as n from note_text where length(text) > 40 and not regexp_matches(left(text, 40), '\s')),
-      x as (select note_id, text, 1 from note_text where false)
-      select note_id, cast(1 as bigint) as entity_no, 'T1' || chr(9) || 'HEAD 0 ' || cast(length(first) as varchar) || chr(9) || first as line
+    r"""select note_id, cast(1 as bigint) as entity_no, 'T1' || chr(9) || 'HEAD 0 ' || cast(length(first) as varchar) || chr(9) || first as line
       from (select note_id, regexp_extract(text, '^(\S+)', 1) as first from note_text where regexp_matches(text, '^\S')) h""",
 )
 def standoff_written_lines(t):

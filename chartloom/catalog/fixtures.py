@@ -136,6 +136,81 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
            case when p_size = 1 then 'NaN' when p_size % 7 = 0 then ' cui:H02AB07 ' when p_size % 7 = 1 then 'HO2'
              when p_size % 7 = 2 then 'C0428472' else 'H02AB0' || cast(p_size % 9 as string) end as annotation from {part}""",
     ),
+    "text_result": (
+        [],
+        """select cast(l_orderkey as string) || '_' || cast(l_linenumber as string) || '.ann' as source,
+           l_orderkey as encounter_num, o_custkey as patient_num,
+           case l_linenumber when 1 then 'Hemoglobin' when 3 then 'Anti-DNA' when 4 then 'Leucocytes' when 5 then 'Anti-DNA' else 'CRP' end as concept,
+           case l_linenumber when 1 then cast(cast(l_quantity as int) as string) || '.5' when 2 then cast(cast(l_quantity as int) as string)
+             when 4 then '<' || cast(cast(l_quantity as int) as string) when 7 then cast(cast(l_quantity as int) as string) || ',25' end as value_cleaned,
+           case l_linenumber when 1 then '12-16' when 2 then '<5' when 4 then '>10' when 7 then '1,5-30' end as range_value,
+           case l_linenumber when 3 then 'positif' when 5 then 'negatif' end as non_digit_value,
+           case l_linenumber when 1 then 'g/dl' when 2 then 'mg/l' when 7 then 'MG_per_l' end as unit
+           from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+    ),
+    "struct_result": (
+        ["lab"],
+        """select instance_num, encounter_num, patient_num,
+           case substr(concept_cd, 5, 3) when 'RED' then 'Hemoglobin' when 'BLU' then 'CRP' when 'HOT' then 'Anti-DNA' end as concept,
+           nval_num as value, units_cd as unit, confidence_num, tval_char from lab""",
+    ),
+    "gold_span": (
+        [],
+        """select distinct cast(l_orderkey as string) as source, case l_linenumber % 3 when 0 then 'BIO' when 1 then 'DISO' else 'Chemical_and_drugs' end as label,
+           cast(l_linenumber * 100000 + l_partkey * 10 as int) as span_start, cast(l_linenumber * 100000 + l_partkey * 10 + 6 as int) as span_end,
+           case when l_returnflag = 'R' then 'Neg' when l_returnflag = 'A' then 'False' end as Negation,
+           case when l_linestatus = 'O' then 'Certain' else 'Hypothetical' end as Certainty
+           from {lineitem}""",
+    ),
+    "pred_span": (
+        [],
+        """select distinct cast(l_orderkey as string) as source, case l_linenumber % 3 when 0 then 'BIO' when 1 then 'DISO' else 'Chemical_and_drugs' end as label,
+           cast(l_linenumber * 100000 + l_partkey * 10 - l_suppkey % 3 as int) as span_start,
+           cast(l_linenumber * 100000 + l_partkey * 10 + 6 + l_suppkey % 2 as int) as span_end,
+           case when l_discount > 0.05 then 'Neg' end as Negation,
+           case when l_tax > 0.04 then 'Certain' else 'Hypothetical' end as Certainty
+           from {lineitem} where l_partkey % 7 <> 0""",
+    ),
+    "code_result": (
+        [],
+        """select cast(l_orderkey as string) as source, l_linenumber as model,
+           case when l_quantity < 5 then null else 'H02AB0' || cast(l_suppkey % 4 as string) end as pred_code,
+           case when l_linenumber = 3 then 'H02AB' else 'H02AB0' || cast(l_partkey % 4 as string) end as gold_code,
+           cast(l_quantity as double) / 50 as score from {lineitem}""",
+    ),
+    "code_gold_span": (
+        [],
+        """select distinct cast(l_orderkey as string) as source, cast(l_linenumber * 1000 as int) as span_start,
+           cast(l_linenumber * 1000 + 5 as int) as span_end, 'H02AB0' || cast(l_partkey % 4 as string) as code from {lineitem}""",
+    ),
+    "code_pred_span": (
+        [],
+        """select cast(l_orderkey as string) as source, cast(l_linenumber * 1000 + case when l_suppkey % 5 = 0 then 1 else 0 end as int) as span_start,
+           cast(l_linenumber * 1000 + 5 as int) as span_end, 'H02AB0' || cast(l_suppkey % 4 as string) as code from {lineitem}""",
+    ),
+    "value_gold": (
+        [],
+        """select cast(l_orderkey as string) as source, cast(l_linenumber * 1000 as int) as span_start, cast(l_linenumber * 1000 + 10 as int) as span_end,
+           cast(cast(l_quantity as int) as string) || ' g/l' as value from {lineitem} where l_returnflag <> 'R'""",
+    ),
+    "value_pred": (
+        [],
+        """select cast(l_orderkey as string) as source, cast(l_linenumber * 1000 + 5 as int) as span_start, cast(l_linenumber * 1000 + 8 as int) as span_end,
+           cast(cast(l_quantity as int) + case when l_suppkey % 4 = 0 then 1 else 0 end as string) || ' g/l' as value from {lineitem} where l_returnflag <> 'A'""",
+    ),
+    "review": (
+        [],
+        """select case when l_linestatus = 'O' then 'lupus' else 'takayasu' end as disease, 'c' || cast(l_suppkey % 5 as string) as concept,
+           l_orderkey as stay, cast(l_orderkey as string) || '.ann' as source, cast(l_partkey as string) as span,
+           case when l_tax > 0.03 then 'BIO_gold' else 'BIO' end as label,
+           case l_linenumber when 1 then 'neg' when 2 then 'pas de mention' when 3 then 'infra seuil, non significatif' when 4 then 'autre' end as comment
+           from {lineitem}""",
+    ),
+    "doc_label_count": (
+        [],
+        """select cast(l_orderkey as string) as source, 'L' || cast(l_linenumber as string) as name, cast(count(*) as bigint) as n
+           from {lineitem} group by l_orderkey, l_linenumber""",
+    ),
     "note_text": (
         [],
         "select cast(doc_id as string) as note_id, text, source as origin from {documents}",

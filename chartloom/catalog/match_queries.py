@@ -49,6 +49,9 @@ def _fuzzy_sql(score: str, where: str) -> str:
        from drug_mention left join d on lower(trim(term)) = k"""
 
 
+_JARO = ("jaro_winkler_similarity(k, norm_term)", "jaro_winkler_similarity(k, norm_term) > 0.8")
+
+
 @query(
     "edit_distance_matches",
     "C12 C15 E1 H18 D3",
@@ -63,7 +66,7 @@ def edit_distance_matches(t):
     "jaro_winkler_matches",
     "C13 C15 E1 H19",
     "drug_mention dictionary",
-    _fuzzy_sql("jaro_winkler_similarity(k, norm_term)", "jaro_winkler_similarity(k, norm_term) > 0.8"),
+    _fuzzy_sql(*_JARO),
 )
 def jaro_winkler_matches(t):
     return flat(M.match_terms(t.drug_mention, t.dictionary, "jaro_winkler", 0.8))
@@ -85,16 +88,13 @@ def aliases_resolved(t):
 
 @query(
     "hybrid_matches",
-    "C22 B12",
+    "C22",
     "drug_mention dictionary",
-    _fuzzy_sql("jaro_winkler_similarity(k, norm_term)", "jaro_winkler_similarity(k, norm_term) > 0.8").replace(
-        "select source, span_start, term, coalesce(label, '')",
-        """, n as (select source, span_start, term, label, norm_term, score from drug_mention left join d on lower(trim(term)) = k)
-       select source, span_start, term, case when score >= 0.99 then label else 'N' end as label,
-         case when score >= 0.99 then norm_term else 'other' end as norm_term, case when score >= 0.99 then score else 0.5 end as score from n
-       where false union all select source, span_start, term, coalesce(label, '')""",
-    ).replace("coalesce(label, '') as label, coalesce(norm_term, '') as norm_term, coalesce(score, -1.0) as score", """case when score >= 0.99 then label else 'N' end as label,
-         case when score >= 0.99 then norm_term else 'other' end as norm_term, case when score >= 0.99 then score else 0.5::double end as score"""),
+    _fuzzy_sql(*_JARO).split("select source, span_start, term, coalesce")[0]
+    + """ select source, span_start, term, case when score >= 0.99 then label else 'N' end as label,
+         case when score >= 0.99 then norm_term else 'other' end as norm_term,
+         case when score >= 0.99 then score else 0.5::double end as score
+       from drug_mention left join d on lower(trim(term)) = k""",
 )
 def hybrid_matches(t):
     fuzzy = M.match_terms(t.drug_mention, t.dictionary, "jaro_winkler", 0.8)
@@ -374,10 +374,9 @@ def drugs_by_code_prefix_once(t):
     "matched_drugs_by_code",
     "D3 C7",
     "drug_mention dictionary",
-    f""", cl as {DRUG_LIST}, e as (select m.source, m.span_start, m.term, d.label from drug_mention m join dictionary d
-           on d.norm_term = lower(trim(m.term || substr('{chr(32)}', 1, 0)))),
-       x as (select distinct disease from cl),
-       j as (select x.disease, e.source, e.span_start, e.term, c.concept, e.label from e, x, cl c where c.disease = x.disease and c.code = e.label)
+    f""", cl as {DRUG_LIST},
+       e as (select m.source, m.span_start, m.term, d.label from drug_mention m join dictionary d on d.norm_term = lower(trim(m.term))),
+       j as (select c.disease, e.source, e.span_start, e.term, c.concept, e.label from e join cl c on c.code = e.label)
        select disease, source, span_start, term, concept, array_to_string(list_sort(list(label)), ';') as label from j group by all""",
 )
 def matched_drugs_by_code(t):
