@@ -335,7 +335,7 @@ def patient_findings(t):
        d as (select tf.encounter_num from tf join sf using (encounter_num) where not tf.pos and sf.pos),
        stays as (select encounter_num from d order by cast(concat('0x', substr(md5('42:' || cast(encounter_num as varchar)), 1, 15)) as bigint), encounter_num limit 10),
        docs as (select distinct encounter_num, split_part(split_part(source, '.', 1), '_', 1) as instance_num from text_result)
-       select encounter_num, instance_num, concat_ws(' | ', concept, coalesce(cast(value as varchar), ''), unit, coalesce(tval_char, '')) as evidence, 'CRP' as concept
+       select encounter_num, docs.instance_num, concat_ws(' | ', concept, coalesce(cast(value as varchar), ''), unit, coalesce(tval_char, '')) as evidence, 'CRP' as concept
        from sp join stays using (encounter_num) left join docs using (encounter_num) where sp.pos""",
 )
 def discrepancy_sample(t):

@@ -54,38 +54,33 @@ def containment_join(
     """Outer spans with the inner spans they contain; columns of ``inner`` get a suffix.
 
     Rows are sets: duplicates of either side are dropped before the join, which gives the
-    distinct rows of the joined table without shuffling them again. An inner span sits in
-    the block of its start, and an outer span that contains it touches that block, so each
-    pair meets exactly once. With ``how="left"`` outer spans without a match are kept.
+    distinct rows of the joined table without shuffling them again. With ``how="left"`` outer
+    spans without a match are kept.
+
+    Blocks are at least as long as the longest outer span, so an inner span can only lie in an
+    outer span that starts in its own block or in the one before: inner spans near the start
+    of a block are offered to both, outer spans to one, and each pair meets once.
     """
+    if how not in ("left", "inner"):
+        raise ValueError("how is 'left' or 'inner'")
     keys = _keys(key)
+    longest = outer.agg(F.max(F.col(end) - F.col(start))).scalar()
+    width = F.greatest(F.lit(block), F.coalesce(longest, F.lit(0))).cast("long")
     outer, inner = outer.distinct(), suffix(inner.distinct(), inner_suffix)
     names = outer.columns + inner.columns
     s, e = start + inner_suffix, end + inner_suffix
-    inner_b = inner.withColumn("_b", _block(s, block))
-    cond = _equal(keys, [k + inner_suffix for k in keys]) & (F.col(start) <= F.col(s)) & (F.col(end) >= F.col(e))
-
-    if how == "inner":
-        outer_b = outer.withColumn("_a", _touched(start, end, block))
-        return outer_b.join(inner_b, cond & (F.col("_a") == F.col("_b")), "inner").select(*names)
-    if how != "left":
-        raise ValueError("how is 'left' or 'inner'")
 
-    # Left join: an outer span that touches several blocks would come back unmatched once per
-    # block. Spans inside one block join directly; the others are kept if any block matched.
-    one = _block(start, block) == F.greatest(_block(end, block), _block(start, block))
-    simple = outer.where(one).withColumn("_a", _block(start, block))
-    done = simple.join(inner_b, cond & (F.col("_a") == F.col("_b")), "left").select(*names)
-
-    wide = outer.where(~one)
-    wide_b = wide.withColumn("_a", _touched(start, end, block))
-    hits = wide_b.join(inner_b, cond & (F.col("_a") == F.col("_b")), "inner").select(*names)
-    same = F.lit(True)
-    for c in outer.columns:
-        same = same & F.col("w." + c).eqNullSafe(F.col("h." + c))
-    found = hits.select(*outer.columns).distinct()
-    missed = wide.alias("w").join(found.alias("h"), same, "left_anti")
-    return done.unionByName(hits).unionByName(missed, allowMissingColumns=True)
+    outer_b = outer.withColumn("_a", F.floor(F.col(start) / width).cast("long"))
+    own = F.floor(F.col(s) / width).cast("long")
+    reach = F.floor((F.col(s) - F.coalesce(longest, F.lit(0))) / width).cast("long")
+    inner_b = inner.withColumn("_b", F.explode(F.sequence(reach, own)))
+    cond = (
+        _equal(keys, [k + inner_suffix for k in keys])
+        & (F.col("_a") == F.col("_b"))
+        & (F.col(start) <= F.col(s))
+        & (F.col(end) >= F.col(e))
+    )
+    return outer_b.join(inner_b, cond, how).select(*names)
 
 
 def overlap_join(
