@@ -257,7 +257,9 @@ def _order(names, seen=None) -> list[str]:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A file of one row group is one task: its rows are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if name == "documents" else df
 
 
 def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,8 @@ from chartloom.functions.text import inner_span, snippet, strip_space
 from chartloom.operators.lists import first_per_key, sample_per_group, seeded_order
 from chartloom.operators.spans import BLOCK, containment_join, either_contains_join, overlap_join
 
-WORDS_PER_ROW = 128
+WORDS_PER_ROW = 32
+GROUPS_PER_SUM = 64
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -27,24 +28,48 @@ def _chars(pieces: Column) -> Column:
     return F.length(F.array_join(pieces, ""))
 
 
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x)
+
+
+def with_words(notes: DataFrame) -> DataFrame:
+    """Notes with their words (``_p``) and the characters before every 32nd word (``_off``).
+
+    Lengths are added up by group of words, then by group of groups, so that the work stays
+    close to linear for a text of any length. Arrays enter a lambda only where they are used
+    twice or passed as its argument, otherwise the optimizer computes them again per element.
+    """
+    n, m = WORDS_PER_ROW, GROUPS_PER_SUM
+    df = notes.select("*", word_pieces(F.col("text")).alias("_p"))
+    last = F.floor(F.greatest(F.size("_p") - 1, F.lit(0)) / n).cast("int")
+    df = df.withColumn(
+        "_len", F.transform(F.sequence(F.lit(0), last), lambda g: _chars(F.slice(F.col("_p"), g * n + 1, F.lit(n))))
+    )
+    tops = F.sequence(F.lit(0), F.floor((F.size("_len") - 1) / m).cast("int"))
+    df = df.withColumn("_top", F.transform(tops, lambda t: _sum(F.slice(F.col("_len"), t * m + 1, F.lit(m)))))
+    top_off = F.transform("_top", lambda x, t: _sum(F.slice(F.col("_top"), F.lit(1), t)))
+
+    def inside(o, t):
+        lens = F.slice(F.col("_len"), t * m + 1, F.lit(m))
+        size = F.least(F.lit(m), F.size("_len") - t * m)
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda i: o + _sum(F.slice(lens, F.lit(1), i)))
+
+    return df.withColumn("_off", F.flatten(F.transform(top_off, inside))).drop("_len", "_top")
+
+
 def word_rows(notes: DataFrame, extra: int = 0) -> DataFrame:
     """Notes cut into rows of ``WORDS_PER_ROW`` words: note_id, offset, pieces.
 
-    ``pieces`` also holds the ``extra`` words after the row, for phrases that cross it. Work
-    grows linearly with the text, whatever its length.
+    ``pieces`` also holds the ``extra`` words after the row, for phrases that cross it.
     """
     n = WORDS_PER_ROW
-    p = notes.select("note_id", word_pieces(F.col("text")).alias("_p")).where(F.size("_p") > 0)
-    starts = F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / n).cast("int"))
-    p = p.withColumn("_len", F.transform(starts, lambda g: _chars(F.slice(F.col("_p"), g * n + 1, F.lit(n)))))
     rows = F.transform(
-        starts,
-        lambda g: F.struct(
-            F.aggregate(F.slice(F.col("_len"), F.lit(1), g), F.lit(0), lambda a, x: a + x).alias("offset"),
-            F.slice(F.col("_p"), g * n + 1, F.lit(n + extra)).alias("pieces"),
-        ),
+        "_off", lambda o, g: F.struct(o.alias("offset"), F.slice(F.col("_p"), g * n + 1, F.lit(n + extra)).alias("pieces"))
+    )
+    # explode_outer: the filter derived from explode would compute the words twice
+    return with_words(notes.select("note_id", "text")).select("note_id", F.explode_outer(rows).alias("r")).select(
+        "note_id", "r.offset", "r.pieces"
     )
-    return p.select("note_id", F.explode(rows).alias("r")).select("note_id", "r.offset", "r.pieces")
 
 
 def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
@@ -60,22 +85,17 @@ def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3, broadcast_
         keyed = F.broadcast(keyed)
     rows = word_rows(notes, max_words - 1)
 
-    def phrase(i, k):
-        words = F.slice(F.col("pieces"), i + 1, k)
-        raw = F.array_join(words, "")
-        lead = F.col("offset") + _chars(F.slice(F.col("pieces"), F.lit(1), i))
-        return F.struct(lead.alias("at"), raw.alias("raw"))
-
-    def at_word(i):
-        sizes = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("pieces") - i))
-        return F.transform(sizes, lambda k: phrase(i, k))
-
-    firsts = F.sequence(F.lit(0), F.least(F.size("pieces"), F.lit(WORDS_PER_ROW)) - 1)
-    phrases = rows.select("note_id", F.explode(F.flatten(F.transform(firsts, at_word))).alias("p"))
-    left = F.regexp_replace("p.raw", r"^[^\p{L}\p{N}]+", "")
+    words = rows.select("*", F.posexplode_outer(F.slice("pieces", 1, WORDS_PER_ROW)).alias("i", "w")).where("w is not null")
+    raws = [
+        F.when(F.col("i") + k <= F.size("pieces"), F.array_join(F.slice("pieces", F.col("i") + 1, F.lit(k)), "")) if k > 1 else F.col("w")
+        for k in range(1, max_words + 1)
+    ]
+    at = (F.col("offset") + _chars(F.slice("pieces", F.lit(1), F.col("i")))).alias("at")
+    phrases = words.select("note_id", at, F.explode_outer(F.array(*raws)).alias("raw")).where("raw is not null")
+    left = F.regexp_replace("raw", r"^[^\p{L}\p{N}]+", "")
     phrases = phrases.select(
         "note_id",
-        (F.col("p.at") + F.length("p.raw") - F.length(left)).alias("span_start"),
+        (F.col("at") + F.length("raw") - F.length(left)).alias("span_start"),
         F.regexp_replace(left, r"[^\p{L}\p{N}]+$", "").alias("lexical_variant"),
     ).where("lexical_variant <> ''")
     key = F.regexp_replace(F.lower("lexical_variant"), r"\s+", " ")
@@ -125,41 +145,49 @@ def chunk_notes(
     the next sentence are too many, they are cut every ``max_tokens`` words up to the end of
     that sentence. ``max_tokens`` 0 keeps notes whole.
     """
-    df = notes.select("note_id", "text", word_pieces(F.col("text")).alias("_p")).where(F.size("_p") > 0)
-    size = F.size("_p")
+    df = with_words(notes.select("note_id", "text"))
+    size, n = F.size("_p"), WORDS_PER_ROW
+
+    def before(word):
+        """Characters before a word and the white space ahead of it."""
+        g = F.floor(word / n).cast("int")
+        return F.coalesce(F.get("_off", g), F.length("text")) + _chars(F.slice("_p", g * n + 1, word - g * n))
+
+    def begin(word):
+        return before(word) + F.length(F.regexp_extract(F.get("_p", word), r"^(\s*)", 1))
+
     if max_tokens <= 0:
-        df = df.withColumn("_c", F.array(F.struct(F.lit(0).alias("s"), size.alias("e"))))
+        chunks = F.array(F.struct(F.lit(0).alias("s"), size.alias("e")))
     else:
         ends = F.filter(
             F.transform(F.col("_p"), lambda w, i: F.when(w.endswith("."), i + 1)),
-            lambda e: e.isNotNull() & (e < size),
+            lambda e: e.isNotNull() & (e < F.size("_p")),
         )
-        df = df.withColumn("_ends", ends)
         if spans is not None:
-            starts = df.select("note_id", "_p", F.explode("_ends").alias("end"))
-            lead = F.length(F.regexp_extract(F.get("_p", F.col("end")), r"^(\s*)", 1))
-            at = (_chars(F.slice("_p", F.lit(1), F.col("end"))) + lead).cast("int")
-            points = starts.select("note_id", "end", at.alias("span_start"), (at + 1).alias("span_end"))
+            points = df.select(
+                "note_id", F.explode_outer(F.transform(ends, lambda e: F.struct(e.alias("end"), begin(e).cast("int").alias("at")))).alias("x")
+            ).where("x is not null")
+            points = points.select("note_id", "x.end", F.col("x.at").alias("span_start"), (F.col("x.at") + 1).alias("span_end"))
             inside = containment_join(
                 spans.select("note_id", "span_start", "span_end"), points, "note_id", "inner", inner_suffix="_p"
             )
             gone = inside.select(F.col("note_id_p").alias("note_id"), F.col("end_p").alias("end")).distinct()
+            # At most the sentence starts of one note, which is itself a single value.
             gone = gone.groupBy("note_id").agg(F.collect_set("end").alias("_gone"))
-            df = df.join(gone, "note_id", "left").withColumn(
-                "_ends", F.when(F.col("_gone").isNull(), F.col("_ends")).otherwise(F.array_except("_ends", "_gone"))
-            )
-        df = df.withColumn("_c", _chunks(F.concat("_ends", F.array(size)), size, max_tokens, one_sentence))
-    df = df.select("note_id", "text", "_p", F.explode("_c").alias("c"))
-    head = _chars(F.slice("_p", F.lit(1), F.col("c.s")))
-    begin = (head + F.length(F.regexp_extract(F.get("_p", F.col("c.s")), r"^(\s*)", 1))).cast("int")
-    end = (head + _chars(F.slice("_p", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")))).cast("int")
-    df = df.select("note_id", "text", F.col("c.s").alias("start"), F.col("c.e").alias("end"), begin.alias("span_start"), end.alias("span_end"))
-    return df.select(
-        "note_id",
-        F.concat_ws("-", "note_id", F.col("start").cast("string"), F.col("end").cast("string")).alias("chunk_id"),
-        "start", "end", "span_start", "span_end",
-        F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")).alias("text"),
-    )
+            df = df.join(gone, "note_id", "left")
+            ends = F.when(F.col("_gone").isNull(), ends).otherwise(F.array_except(ends, "_gone"))
+        chunks = _chunks(F.concat(ends, F.array(size)), size, max_tokens, one_sentence)
+
+    def cut(c):
+        lo, hi = begin(c["s"]), before(c["e"])
+        text = F.substring("text", lo + 1, hi - lo)
+        return F.struct(
+            c["s"].alias("start"), c["e"].alias("end"), lo.cast("int").alias("span_start"), hi.cast("int").alias("span_end"), text.alias("text")
+        )
+
+    out = df.select("note_id", F.explode_outer(F.transform(chunks, cut)).alias("c")).where("c is not null").select("note_id", "c.*")
+    name = F.concat_ws("-", "note_id", F.col("start").cast("string"), F.col("end").cast("string"))
+    return out.select("note_id", name.alias("chunk_id"), "start", "end", "span_start", "span_end", "text")
 
 
 def rebase_spans(chunks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -213,8 +241,9 @@ def resolve_overlaps(spans: DataFrame, key: str = "note_id", block: int = BLOCK)
     """Spans that survive a greedy choice: longest first, earlier start on ties, none overlapping.
 
     Spans in different islands (runs of text no span crosses out of) cannot affect each
-    other, so each island is settled on its own. Island edges are sought at block borders:
-    a border that no span crosses cuts the note.
+    other. Islands are first cut at block borders that no span crosses, so that a long note
+    is ordered in pieces; inside a piece a running maximum of ends finds the exact islands.
+    A span alone in its island is kept as it is, the others are settled per piece.
     """
     rows = spans.distinct()
     first = F.floor(F.col("span_start") / block) + 1
@@ -234,6 +263,11 @@ def resolve_overlaps(spans: DataFrame, key: str = "note_id", block: int = BLOCK)
         .withColumn("_island", F.coalesce("_first", "_b"))
         .drop("_b", "_first")
     )
+    order = Window.partitionBy(key, "_island").orderBy("span_start", "span_end")
+    reached = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("span_start") >= reached, F.lit(True))
+    placed = placed.withColumn("_opens", opens)
+    placed = placed.withColumn("_alone", F.col("_opens") & F.coalesce(F.lead("_opens").over(order), F.lit(True)))
     schema = T.StructType(list(rows.schema.fields))
     columns = rows.columns
     ties = [c for c in columns if c not in ("span_start", "span_end")]
@@ -252,7 +286,9 @@ def resolve_overlaps(spans: DataFrame, key: str = "note_id", block: int = BLOCK)
                 ends.insert(i, e)
         return pdf.loc[keep, columns]
 
-    return placed.groupBy(key, "_island").applyInPandas(settle, schema)
+    crowded = placed.where(~F.col("_alone")).select(*columns, "_island")
+    settled = crowded.groupBy(key, "_island").applyInPandas(settle, schema)
+    return placed.where("_alone").select(*columns).unionByName(settled)
 
 
 def precision_sample(predictions: DataFrame, others: DataFrame, notes: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
