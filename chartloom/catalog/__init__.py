@@ -9,6 +9,7 @@ MODULES = [
     "match_queries",
     "rollup_queries",
     "score_queries",
+    "study_queries",
 ]
 
 
