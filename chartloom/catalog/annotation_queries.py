@@ -6,6 +6,7 @@ from chartloom.catalog.registry import query
 from chartloom.operators import lists as L
 from chartloom.operators import notes as N
 from chartloom.operators import spans as S
+from chartloom.session import cut_lineage
 from chartloom.sources import standoff as B
 
 
@@ -207,7 +208,8 @@ def sentence_chunks(t):
 
 def _doc_spans(t):
     terms = t.spark.createDataFrame(TERMS, "term string, label string")
-    return N.tag_terms(t.note_text, terms, 2).select("note_id", "span_start", "span_end", "label")
+    # Stands for an entity table on storage, which the operators read more than once.
+    return cut_lineage(N.tag_terms(t.note_text, terms, 2).select("note_id", "span_start", "span_end", "label"))
 
 
 @query("chunk_spans", "H37 K4")

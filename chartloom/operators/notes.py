@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from chartloom.functions.text import inner_span, snippet, strip_space
 from chartloom.operators.lists import first_per_key, sample_per_group, seeded_order
 from chartloom.operators.spans import BLOCK, containment_join, either_contains_join, overlap_join
+from chartloom.session import cut_lineage
 
 WORDS_PER_ROW = 32
 GROUPS_PER_SUM = 64
@@ -245,7 +246,7 @@ def resolve_overlaps(spans: DataFrame, key: str = "note_id", block: int = BLOCK)
     is ordered in pieces; inside a piece a running maximum of ends finds the exact islands.
     A span alone in its island is kept as it is, the others are settled per piece.
     """
-    rows = spans.distinct()
+    rows = cut_lineage(spans.distinct())  # read for the borders and again for the spans
     first = F.floor(F.col("span_start") / block) + 1
     last = F.ceil(F.col("span_end") / block) - 1
     crossed = (
