@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import line_rules, syncmers
+from chartloom.llm import line_rules, minhash_forest, syncmers
 from chartloom.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
+@_query
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents and the one that stays of each."""
+    return minhash_forest.near_duplicates(documents(spark, sf_dir))
+
+
 @_query
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, lines above the host limits and the verdict for every document."""
