@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chartloom.llm import line_rules, minhash_forest, syncmers
-from chartloom.llm.tables import documents
+from chartloom.llm import line_rules, minhash_forest, packing, quality, repeats, syncmers
+from chartloom.llm.tables import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,12 +24,31 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every document."""
+    return quality.scored(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@_query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, best-fit packed into sequences of 1024 tokens."""
+    return packing.packed(documents(spark, sf_dir))
+
+
 @_query
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents and the one that stays of each."""
     return minhash_forest.near_duplicates(documents(spark, sf_dir))
 
 
+@_query
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier document holds, in strings of 50."""
+    found = repeats.removed(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @_query
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, lines above the host limits and the verdict for every document."""
