@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import line_rules, minhash_forest, packing, quality, repeats, syncmers
+from chartloom.llm import language, line_rules, minhash_forest, packing, quality, repeats, syncmers
 from chartloom.llm.tables import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def _query(run):
     return run
 
 
+@_query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents that aren't held out."""
+    return language.identified(documents(spark, sf_dir))
+
+
 @_query
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-syncmer fingerprints of every text and of its edited text."""

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import bytesets
+from chartloom.llm.blocks import keyed, keys_of, read, steps, write
 from chartloom.llm.tables import stored
 
 SPAN = 50
@@ -50,38 +51,6 @@ _V_BYTES, _H_BYTES = 5, 6
 _FULL, _RIM = 0, 1
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of 64-bit numbers, byte by byte, so that equal bytes lie together."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _unpack(data: bytes, n: int, width: int, at: int) -> tuple[np.ndarray, int]:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-    return out.view("<u8").ravel(), at + n * width
-
-
-def _write(columns: list[tuple[np.ndarray, int]]) -> bytes:
-    return b"".join([len(columns[0][0]).to_bytes(4, "little"), *(_pack(c, w) for c, w in columns)])
-
-
-def _read(data: bytes, widths: list[int]) -> tuple[list[np.ndarray], int]:
-    n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for w in widths:
-        c, at = _unpack(data, n, w, at)
-        out.append(c)
-    return out, at
-
-
-def _steps(keys: np.ndarray) -> np.ndarray:
-    """Differences of ascending keys as unsigned numbers; the first is the key itself."""
-    return np.diff(keys, prepend=np.int64(0)).view(_U)
-
-
-def _keys(steps: np.ndarray) -> np.ndarray:
-    return np.cumsum(steps.view(np.int64))
-
-
 def phrases(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, number of string starts, trigger and content hash of each phrase of a slice of texts."""
     n = len(buf)
@@ -152,8 +121,8 @@ def _answers(keys: np.ndarray, start: np.ndarray, length: np.ndarray, kind: int,
     stops = np.append(cuts[1:], len(keys)) if len(cuts) else cuts
     data = []
     for a, b in zip(cuts, stops):
-        columns = [(_steps(keys[a:b]), 8), (start[a:b].astype(_U), 8), (length[a:b].astype(_U), 8)]
-        data.append(_write(columns + ([(trigger[a:b], 8)] if trigger is not None else [])))
+        columns = [(steps(keys[a:b]), 8), (start[a:b].astype(_U), 8), (length[a:b].astype(_U), 8)]
+        data.append(write(columns + ([(trigger[a:b], 8)] if trigger is not None else [])))
     return pa.RecordBatch.from_arrays(
         [pa.array(shard[cuts].astype(np.int64)), pa.array(np.full(len(cuts), kind, np.int32)), pa.array(data, pa.binary())],
         ["shard", "kind", "payload"],
@@ -189,7 +158,7 @@ def _first_round(docs: DataFrame, buckets: int) -> DataFrame:
             for i, j in zip(cuts, np.append(cuts[1:], len(b))):
                 s = send[i:j]
                 data.append(
-                    _write([(trigger[s], _V_BYTES), (content[s], _H_BYTES), (_steps(keys[s]), 8), (start[s].astype(_U), 8), (length[s].astype(_U), 8)])
+                    write([(trigger[s], _V_BYTES), (content[s], _H_BYTES), (steps(keys[s]), 8), (start[s].astype(_U), 8), (length[s].astype(_U), 8)])
                 )
             n = len(cuts)
             yield pa.RecordBatch.from_arrays(
@@ -231,9 +200,9 @@ def _by_bucket(rows: DataFrame, settle) -> DataFrame:
 
 def _settle_phrases(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Phrases with an earlier equal one are repeats; first ones that share a trigger need their strings."""
-    parts = [_read(p, [_V_BYTES, _H_BYTES, 8, 8, 8])[0] for p in payloads]
+    parts = [read(p, [_V_BYTES, _H_BYTES, 8, 8, 8])[0] for p in payloads]
     trigger, content, start, length = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3, 4))
-    keys = np.concatenate([_keys(p[2]) for p in parts])
+    keys = np.concatenate([keys_of(p[2]) for p in parts])
     order = np.lexsort((keys, content, trigger))
     trigger, content, keys, start, length = trigger[order], content[order], keys[order], start[order], length[order]
     by_trigger = _groups(trigger)
@@ -252,8 +221,8 @@ def _settle_strings(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Each string of the given phrases that an earlier document has under the same trigger."""
     keys, start, trigger, found = [], [], [], []
     for p in payloads:
-        (t, k, s, n), at = _read(p, [8, 8, 8, 8])
-        k, n = _keys(k), n.astype(np.int64)
+        (t, k, s, n), at = read(p, [8, 8, 8, 8])
+        k, n = keys_of(k), n.astype(np.int64)
         buf = np.frombuffer(p, np.uint8, offset=at)
         sizes = n + SPAN - 1
         begin = np.cumsum(sizes) - sizes
@@ -326,10 +295,10 @@ def _sorted_answers(own: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray,
     """The answers of a shard, ordered by document."""
     out = {}
     for kind in (_FULL, _RIM):
-        parts = [_read(p, [8, 8, 8] + [8] * (kind == _RIM))[0] for k, p in own if k == kind]
+        parts = [read(p, [8, 8, 8] + [8] * (kind == _RIM))[0] for k, p in own if k == kind]
         if not parts:
             continue
-        columns = [np.concatenate([_keys(p[0]) for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in range(1, len(parts[0])))]
+        columns = [np.concatenate([keys_of(p[0]) for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in range(1, len(parts[0])))]
         order = np.argsort(columns[0], kind="stable")
         out[kind] = tuple(c[order] for c in columns)
     return out
@@ -358,7 +327,7 @@ def _rim_strings(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
         data = []
         for rows in out.values():
             t, k, s, n = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-            data.append(_write([(t.view(_U), 8), (_steps(k), 8), (s.view(_U), 8), (n.view(_U), 8)]) + b"".join(r[4] for r in rows))
+            data.append(write([(t.view(_U), 8), (steps(k), 8), (s.view(_U), 8), (n.view(_U), 8)]) + b"".join(r[4] for r in rows))
         n = len(out)
         return pa.RecordBatch.from_arrays(
             [pa.array(list(out), pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, -1, np.int32)), pa.array(data, pa.binary())],
@@ -368,20 +337,6 @@ def _rim_strings(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
     return _with_answers(docs, answers.where(F.col("kind") == _RIM), work, "bucket long, " + _ANSWER)
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, id, text): ``key`` orders the documents; the id itself wherever ids are unique and not null."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    pairs = slim.select("id", hashed.alias("h")).distinct()
-    odd = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).count()
-    if not odd:
-        return slim.withColumn("key", F.col("id"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = pairs.repartitionByRange(n, F.asc_nulls_last("id"), "h").sortWithinPartitions(F.asc_nulls_last("id"), "h")
-    ordered = stored(ordered.select(F.col("id").alias("_i"), F.col("h").alias("_h"), F.monotonically_increasing_id().alias("key")), "order")
-    return slim.join(ordered, F.col("id").eqNullSafe(F.col("_i")) & (hashed == F.col("_h"))).select("key", "id", "text")
-
-
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, starts, ends, kept_sha256): the maximal removed runs of every text.
 
@@ -389,13 +344,13 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept_te
     whose bytes are removed.
     """
     spark = docs.sparkSession
-    keyed = _keyed(docs, doc_id, text)
+    rows = keyed(docs, doc_id, text)
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = stored(_by_bucket(_first_round(keyed, buckets), _settle_phrases), "phrases")
-    rims = stored(_by_bucket(_rim_strings(keyed, whole, buckets), _settle_strings), "strings")
+    whole = stored(_by_bucket(_first_round(rows, buckets), _settle_phrases), "phrases")
+    rims = stored(_by_bucket(_rim_strings(rows, whole, buckets), _settle_strings), "strings")
 
     def work(held, own) -> pa.RecordBatch:
-        rows = []
+        out = []
         for key, doc, data in held:
             starts = ends = np.zeros(0, np.int64)
             kept = data
@@ -417,12 +372,12 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept_te
                     whole_point = np.logical_and.reduceat(gone, lead)
                     kept = buf[~whole_point[point]].tobytes()
                 row += [hashlib.sha256(data).hexdigest(), kept.decode()]
-            rows.append(row)
-        columns = list(zip(*rows))
+            out.append(row)
+        columns = list(zip(*out))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.string(), pa.string()]
         names = ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept_sha256", "text_sha256", "kept"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[: len(columns)])
 
     schema = "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string"
     answers = whole.where(F.col("kind") == _FULL).union(rims)
-    return _with_answers(keyed, answers, work, schema + (", text_sha256 string, kept string" if kept_text else ""))
+    return _with_answers(rows, answers, work, schema + (", text_sha256 string, kept string" if kept_text else ""))
