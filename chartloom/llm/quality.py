@@ -229,12 +229,17 @@ def fit(rows: DataFrame) -> Model | float:
     return model
 
 
+def _learned(stats: DataFrame, labels: DataFrame, doc_id: str, label: str) -> Model | float:
+    """A model from the statistics and labels of documents that aren't held out."""
+    known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).alias("label")).where("label in (0, 1)").where(remainder("_id", 3).isin(0, 2))
+    rows = stats.join(known, F.col("doc_id") == F.col("_id")).select("measures", F.col("label").cast("int").alias("label"), (remainder("doc_id", CALIBRATION) == 0).alias("calibrate"))
+    return fit(stored(rows, "training"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted): labels of held-out documents are never read."""
     stats = stored(statistics(docs, doc_id, text), "statistics")
-    known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).alias("label")).where("label in (0, 1)").where(remainder("_id", 3).isin(0, 2))
-    rows = stats.join(known, F.col("doc_id") == F.col("_id")).select("measures", F.col("label").cast("int").alias("label"), (remainder("doc_id", CALIBRATION) == 0).alias("calibrate"))
-    model = fit(stored(rows, "training"))
+    model = _learned(stats, labels, doc_id, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,3 +249,20 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     out = stats.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all their columns; no shuffle of the texts."""
+    model = _learned(stored(statistics(docs, doc_id, text), "statistics"), labels, doc_id, label)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = bytesets.text_bytes(batch.column(place))
+            for i, j in bytesets.slices(offsets):
+                part = offsets[i : j + 1]
+                rows = measures(raw[part[0] : part[-1]], part - part[0])
+                score = model.score(rows.astype(np.float32).astype(float)) if isinstance(model, Model) else np.full(j - i, model)
+                yield batch.slice(i, j - i).filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import language, line_rules, minhash_forest, packing, quality, repeats, syncmers
+from chartloom.llm import language, line_join, line_rules, minhash_forest, ngram, packing, quality, repeats, segmentation, syncmers
 from chartloom.llm.tables import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(documents(spark, sf_dir))
 
 
+@_query
+def op2_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line or are similar to one."""
+    return line_join.line_counts(documents(spark, sf_dir))
+
+
 @_query
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-syncmer fingerprints of every text and of its edited text."""
@@ -48,6 +54,12 @@ def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(documents(spark, sf_dir))
 
 
+@_query
+def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every text: digest of the best, scores of all."""
+    return segmentation.encoded(documents(spark, sf_dir), with_ids=False)
+
+
 @_query
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that an earlier document holds, in strings of 50."""
@@ -61,5 +73,11 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(documents(spark, sf_dir))
 
 
+@_query
+def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under the trie, and under the unigram base."""
+    return ngram.scored(documents(spark, sf_dir), ngram.held_out)
+
+
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {}

@@ -381,3 +381,24 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept_te
     schema = "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string"
     answers = whole.where(F.col("kind") == _FULL).union(rims)
     return _with_answers(rows, answers, work, schema + (", text_sha256 string, kept string" if kept_text else ""))
+
+
+def shortened(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the repeats taken out of ``text`` and ``n_chars`` (where there is one) following it.
+
+    A code point goes if all its bytes do. Documents left with white space alone by that go.
+    """
+    found = removed(docs, doc_id, text, kept_text=True).select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_removed").alias("_gone"), F.col("kept").alias("_kept")
+    )
+    # Rows with equal id and text have equal results; one of them is enough.
+    found = found.dropDuplicates(["_id", "_sha"])
+    slim = docs.withColumn("_own", F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256))
+    slim = slim.withColumn(text, F.col(text).isNull())
+    joined = slim.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
+    joined = joined.where((F.col("_gone") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    clean = F.when(F.col(text), F.lit(None).cast("string")).otherwise(F.col("_kept"))
+    out = {text: clean}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("_gone") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+    return joined.withColumns(out).select(*docs.columns)
