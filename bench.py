@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from chartloom.catalog import load
@@ -63,6 +64,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='chartloom-bench-')}",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -32,7 +32,7 @@ def cohort(t):
 
 def visits(t):
     """Visits of each disease, from diagnoses alone (the facts tables are wider than the notes)."""
-    return t.diagnosis.join(F.broadcast(codes(t)), "concept_cd").select("disease", "encounter_num")
+    return t.diagnosis.join(codes(t), "concept_cd").select("disease", "encounter_num")
 
 
 VISITS = """, codes as (select * from (values ('lupus', 'CIM10:1'), ('lupus', 'CIM10:2'), ('takayasu', 'CIM10:2'),
@@ -112,12 +112,14 @@ def note_copies(t):
     "D1",
     NEEDS,
     COHORT
-    + """ select disease, array_to_string(list_sort(list(distinct instance_num)), '_') as instance_num
-       from rows_ group by disease, observation_blob""",
+    + """ select disease, md5(observation_blob) as text_md5, instance_num,
+       row_number() over (partition by disease, observation_blob order by instance_num) as position
+       from (select distinct disease, observation_blob, instance_num from rows_) r""",
 )
 def joined_note_ids(t):
     rows = C.cohort_rows(t.note, t.diagnosis, t.visit, codes(t))
-    return C.joined_note_ids(C.note_groups(rows)).select("disease", "instance_num")
+    keys = rows.select(F.sha2("observation_blob", 256).alias("note_key"), F.md5("observation_blob").alias("text_md5")).distinct()
+    return C.numbered_note_ids(C.note_groups(rows)).join(keys, "note_key").drop("note_key")
 
 
 @query(
@@ -177,14 +179,12 @@ def cohort_drugs(t):
     "A14",
     LAB_NEEDS,
     LABS
-    + """ select disease, encounter_num, patient_num, terms_linked_to_measurement,
-       array_to_string([x.g for x in list_sort(list(struct_pack(n := name_char, g := coalesce(cast(nval_num as varchar), tval_char) || ' ' || units_cd)))], ';') as gold
-       from labs group by 1, 2, 3, 4""",
+    + """ select *, row_number() over (partition by disease, encounter_num, patient_num, terms_linked_to_measurement order by name_char, gold) as position
+       from (select disease, encounter_num, patient_num, terms_linked_to_measurement, name_char,
+         coalesce(cast(nval_num as varchar), tval_char) || ' ' || units_cd as gold from labs) g""",
 )
 def gold_lists(t):
-    out = C.gold_list(labs(t))
-    keys = ["disease", "encounter_num", "patient_num", "terms_linked_to_measurement"]
-    return out.select(*keys, F.array_join("gold", ";").alias("gold"))
+    return C.gold_list(labs(t))
 
 
 @query(

@@ -14,16 +14,23 @@ BASE = (
     "pages benchmark labels conversations"
 ).split()
 
-_MENTION = """case l_linenumber
+_FAMILY = """case l_orderkey % 14 when 0 then 'positif' when 1 then 'negatif' when 2 then 'augmentee' when 3 then 'diminuee'
+      when 4 then 'depassee' when 5 then 'normale' when 6 then 'elevee' when 7 then 'basse' when 8 then 'absence' when 9 then 'presence'
+      when 10 then 'non significatif' when 11 then 'physiologique' when 12 then 'fluctuante' else 'hemolyse' end"""
+_MENTION = f"""case when l_partkey % 17 = 3 then 'Troponine 0,0005 ng/ml (N: 0,0001 - 0,0004)'
+      when l_partkey % 17 = 5 then 'Troponine 0,00001 ng/ml (N: 0,0001 - 0,0004)'
+      when l_partkey % 17 = 7 then 'Plaquettes 250000000 /l (N: 150000000 - 400000000)'
+      when l_partkey % 17 = 9 then 'Plaquettes 12000001 /l (N: 150000000 - 400000000)'
+      else case l_linenumber
       when 1 then 'Hemoglobine : ' || cast(cast(l_quantity as int) as string) || ',5 g/dl (N: 12 - 16)'
       when 2 then 'CRP ' || cast(cast(l_quantity as int) as string) || 'mg/l'
-      when 3 then 'Ac anti-DNA positif'
+      when 3 then 'Ac anti-DNA ' || {_FAMILY}
       when 4 then 'Leucocytes ' || cast(cast(l_quantity as int) as string) || ' G/L 12/2019'
       when 5 then 'Proteinurie < 0.' || cast(cast(l_quantity as int) as string) || ' g/24h urinaire'
       when 6 then 'Creatinine ' || cast(cast(l_quantity as int) as string) || ' micromol/l'
-      else 'TP ' || cast(cast(l_quantity as int) as string) || ' %' end"""
-_NAME = """case l_linenumber when 1 then 'Hemoglobine' when 2 then 'CRP' when 3 then 'Ac anti-DNA'
-      when 4 then 'Leucocytes' when 5 then 'Proteinurie' else 'TP' end"""
+      else 'TP ' || cast(cast(l_quantity as int) as string) || ' %' end end"""
+_NAME = """case when l_partkey % 17 in (3, 5) then 'Troponine' when l_partkey % 17 in (7, 9) then 'Plaquettes' else case l_linenumber when 1 then 'Hemoglobine' when 2 then 'CRP' when 3 then 'Ac anti-DNA'
+      when 4 then 'Leucocytes' when 5 then 'Proteinurie' else 'TP' end end"""
 
 # name -> (entries it reads, SELECT text)
 FIXTURES: dict[str, tuple[list[str], str]] = {
@@ -39,7 +46,8 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
     ),
     "note": (
         [],
-        """select cast(doc_id as string) as instance_num, text as observation_blob, doc_id as encounter_num,
+        """select case when doc_id % 9 = 1 then cast(doc_id - 1 as string) else cast(doc_id as string) end as instance_num,
+           text as observation_blob, doc_id as encounter_num,
            o_custkey as patient_num, o_orderdate as note_date,
            case lang when 'fr' then 'CR:CRH-HOSPI' when 'en' then 'CR:CRH-S' else 'CR:OTHER' end as concept_cd
            from {documents} join {orders} on doc_id = o_orderkey""",
@@ -102,6 +110,11 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         """select distinct 'H02AB0' || cast(p_size % 9 as string) as label,
            p_name || ' ' || lower(replace(p_brand, '#', '')) as norm_term from {part}""",
     ),
+    "lab_name": (
+        [],
+        """select distinct 'L' || cast(p_partkey % 5 + 1 as string) as label, case p_partkey % 5 when 0 then 'hemoglobine' when 1 then 'crp'
+             when 2 then 'ac anti-dna' when 3 then 'plaquettes' else 'troponine' end as norm_term from {part}""",
+    ),
     "drug_mention": (
         [],
         """select substr(name, 1, k) || substr(name, k + 2) as term, cast(p_partkey as string) || '.ann' as source,
@@ -124,11 +137,11 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         """select distinct 'C' || cast(p_partkey % 300 as string) as concept_id,
            case when p_size > 25 then 'T059' else 'T060' end as type_id from {part}""",
     ),
-    "vector": ([], "select vec_id as id, embedding as vec from {embeddings} where label <> 0"),
+    "vector": ([], "select vec_id as id, embedding as vec from {embeddings} where vec_id % 2 = 0"),
     "vocab_vector": (
         [],
         """select vec_id as vocab_id, cast(label as string) as label, 'name ' || cast(vec_id as string) as norm_term,
-           embedding as vec from {embeddings} where label = 0 or label = 1""",
+           embedding as vec from {embeddings} where vec_id % 2 = 1""",
     ),
     "gold_code": (
         [],
@@ -141,8 +154,9 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         """select cast(l_orderkey as string) || '_' || cast(l_linenumber as string) || '.ann' as source,
            l_orderkey as encounter_num, o_custkey as patient_num,
            case l_linenumber when 1 then 'Hemoglobin' when 3 then 'Anti-DNA' when 4 then 'Leucocytes' when 5 then 'Anti-DNA' else 'CRP' end as concept,
-           case l_linenumber when 1 then cast(cast(l_quantity as int) as string) || '.5' when 2 then cast(cast(l_quantity as int) as string)
-             when 4 then '<' || cast(cast(l_quantity as int) as string) when 7 then cast(cast(l_quantity as int) as string) || ',25' end as value_cleaned,
+           case when l_partkey % 17 = 3 then '0.0005' when l_partkey % 17 = 5 then '0.00001' when l_partkey % 17 = 7 then '250000000.0'
+             when l_partkey % 17 = 9 then '12000001.0' else case l_linenumber when 1 then cast(cast(l_quantity as int) as string) || '.5' when 2 then cast(cast(l_quantity as int) as string)
+             when 4 then '<' || cast(cast(l_quantity as int) as string) when 7 then cast(cast(l_quantity as int) as string) || ',25' end end as value_cleaned,
            case l_linenumber when 1 then '12-16' when 2 then '<5' when 4 then '>10' when 7 then '1,5-30' end as range_value,
            case l_linenumber when 3 then 'positif' when 5 then 'negatif' end as non_digit_value,
            case l_linenumber when 1 then 'g/dl' when 2 then 'mg/l' when 7 then 'MG_per_l' end as unit
@@ -257,9 +271,8 @@ def _order(names, seen=None) -> list[str]:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A file of one row group is one task: its rows are dealt to all cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if name == "documents" else df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

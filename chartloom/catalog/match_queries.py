@@ -132,17 +132,18 @@ def unit_vector_norms(t):
     "list_terms_matched",
     "R3",
     "dictionary",
-    """, p as (select o_orderkey as row_id, unnest(list_value('red bolt brand1', 'zzz', lower(replace(o_orderpriority, '-', ' ')))) as term from orders),
+    """, p as (select o_orderkey as row_id, unnest(list_value('red bolt brand1', 'zzz', 'red bolt brand1', lower(replace(o_orderpriority, '-', ' ')))) as term,
+         unnest(list_value(0, 1, 2, 3)) as position from orders),
        d as (select norm_term, array_to_string(list_sort(list(label)), ';') as label from dictionary group by norm_term)
-       select row_id, term, coalesce(label, '') as label from p left join d on term = norm_term""",
+       select row_id, position, term, coalesce(label, '') as label from p left join d on term = norm_term""",
 )
 def list_terms_matched(t):
     df = t.orders.select(
         F.col("o_orderkey").alias("row_id"),
-        F.array(F.lit("red bolt brand1"), F.lit("zzz"), F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(" ")))).alias("terms"),
+        F.array(F.lit("red bolt brand1"), F.lit("zzz"), F.lit("red bolt brand1"), F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit(" ")))).alias("terms"),
     )
     out = M.match_list_terms(df, "terms", lambda long: M.match_terms(long, t.dictionary, "exact"), "row_id")
-    return out.select("row_id", "term", F.array_join("label", ";").alias("label"))
+    return out.select("row_id", "position", "term", F.array_join("label", ";").alias("label"))
 
 
 def _clean_sql(c: str) -> str:
@@ -285,7 +286,7 @@ def product_keys(t):
        b as (select p_brand as code, lower(split_part(p_type, ' ', 1)) as name from part),
        c as (select code, lower(str) as name from vocab_row group by code, str having count(*) = 1),
        d as (select * from a union select * from b union select * from c)
-       select code, array_to_string(list_sort(list(name)), ';') as names from d group by code""",
+       select code, name, row_number() over (partition by code order by name) as position from d""",
 )
 def drug_dictionary(t):
     d = V.build_dictionary(
@@ -293,7 +294,7 @@ def drug_dictionary(t):
         V.product_names(t.part, "p_brand", "p_type"),
         V.synonym_names(t.vocab_row, "code", "str"),
     )
-    return V.dictionary_sets(d).select("code", F.array_join("names", ";").alias("names"))
+    return V.dictionary_names(d)
 
 
 @query(

@@ -28,6 +28,14 @@ def fold(expr: str) -> str:
     return f"translate(lower({expr}), {q(P.ACCENTS[0])}, {q(P.ACCENTS[1])})"
 
 
+def plain_sql(expr: str) -> str:
+    """A written number as plain decimal text, null if it is none."""
+    dotted = f"case when contains({expr}, '.') then {expr} else {expr} || '.' end"
+    cut = f"regexp_replace(regexp_replace({dotted}, '0+$', ''), '[.]$', '.0')"
+    led = f"regexp_replace(regexp_replace({cut}, '^0+', ''), '^[.]', '0.')"
+    return f"case when regexp_matches({expr}, '^[0-9]*[.]?[0-9]*$') and regexp_matches({expr}, '[0-9]') then {led} end"
+
+
 def noise(expr: str) -> str:
     return chain(sub(expr, r"^\s+|\s+$", ""), P.MENTION_NOISE)
 
@@ -66,7 +74,7 @@ s7 as (select * exclude (u), nullif(case when contains(u, '%') then '%' else u e
 VALUED = UNITED + f""",
 s8a as (select * exclude (rest), {sub(f"regexp_extract(rest, {q(P.VALUE)}, 1)", P.NOT_VALUE_CHAR, '')} as v, {sub('rest', P.VALUE, ' ')} as rest from s7),
 s8 as (select * exclude (v), nullif(case when regexp_matches(v, '[<>/]') then v
-   else coalesce(cast(try_cast(replace(v, ',', '.') as double) as varchar), v) end, '') as value_cleaned from s8a)"""
+   else coalesce({plain_sql("replace(v, ',', '.')")}, v) end, '') as value_cleaned from s8a)"""
 _NAME = f"case when lv_bio <> '' then lv_bio else regexp_extract(rest, {q(P.FIRST_WORD)}, 1) end"
 PARSED = VALUED + f""",
 s9 as (select *, trim({chain(noise(fold(_NAME)), [(r'\bsur\b', '/'), ('[<>-]', ' ')])}) as nm from s8),
@@ -149,12 +157,15 @@ def parsed(t):
     return M.parse_measurements(*_sides(t)).na.fill(-1, ["span_start_bio", "span_end_bio"])
 
 
+_FAMILY_SQL = "case " + " ".join(f"when regexp_matches(non_digit_value, {q(p)}) then {q(name)}" for name, p in P.QUALITATIVE.items()) + " end"
+
+
 @query(
     "qualitative_families",
     "H6",
     "entity",
     PARSED
-    + """ select non_digit_value, case when regexp_matches(non_digit_value, 'positif') then 'positif' end as family,
+    + f""" select non_digit_value, {_FAMILY_SQL} as family,
        cast(count(*) as bigint) as n from parsed where non_digit_value is not null group by 1, 2""",
 )
 def families(t):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chartloom.catalog.measure_queries import PARSED
+from chartloom.catalog.measure_queries import PARSED, plain_sql
 from chartloom.catalog.registry import query
 from chartloom.functions import labpatterns as P
 from chartloom.operators import interpret as I
@@ -20,7 +20,8 @@ INTERPRETED = f""", b as (select *,
       when contains(range_value, '>') then replace(regexp_extract(range_value, '{P.FIRST_NUMBER}', 1), ',', '.') end as double) as lower_bound,
     try_cast(case when len(string_split(range_value, '-')) = 2 then replace(split_part(range_value, '-', 2), ',', '.')
       when contains(range_value, '<') then replace(regexp_extract(range_value, '{P.FIRST_NUMBER}', 1), ',', '.') end as double) as upper_bound,
-    try_cast(replace(nullif(regexp_extract(value_cleaned, '{P.FIRST_NUMBER}', 1), ''), ',', '.') as double) as value_as_number
+    coalesce(try_cast(replace(value_cleaned, ',', '.') as double),
+      try_cast(replace(nullif(regexp_extract(value_cleaned, '{P.FIRST_NUMBER}', 1), ''), ',', '.') as double)) as value_as_number
     from text_result),
   i as (select *, case when value_as_number is null or range_value is null then null
       else coalesce(value_as_number < lower_bound, false) or coalesce(value_as_number > upper_bound, false) end as positive_value,
@@ -287,8 +288,7 @@ def value_density(t):
     "canonical_measurements",
     "H32",
     "text_result",
-    """select source, concept, coalesce(case when try_cast(replace(value_cleaned, ',', '.') as double) is not null
-         then cast(try_cast(replace(value_cleaned, ',', '.') as double) as varchar) || ' ' || coalesce(unit, 'nounit') end,
+    f"""select source, concept, coalesce({plain_sql("replace(value_cleaned, ',', '.')")} || ' ' || coalesce(unit, 'nounit'),
        case non_digit_value when 'positif' then '1 bool' when 'negatif' then '0 bool' end, '') as found from text_result""",
 )
 def canonical_measurements(t):
@@ -306,9 +306,10 @@ def canonical_measurements(t):
         try_cast(split_part(range_value, '-', 1) as double) as lo, try_cast(split_part(range_value, '-', 2) as double) as hi, range_value,
         try_cast(value_cleaned as double) as v, non_digit_value from parsed),
       f as (select o_custkey as patient_num, concept, case when v is null or range_value is null then null else coalesce(v < lo, false) or coalesce(v > hi, false) end as pv,
-        non_digit_value like 'posi%' as pt from k join orders on o_orderkey = encounter_num)
+        regexp_matches(non_digit_value, '^(?:{P.POSITIVE_PREFIX.replace(chr(39), chr(39) * 2)})') as pt,
+        regexp_matches(non_digit_value, '^(?:{P.NEGATIVE_PREFIX.replace(chr(39), chr(39) * 2)})') as nt from k join orders on o_orderkey = encounter_num)
       select patient_num, coalesce(bool_or(concept = 'Hemoglobin'), false) as hb, coalesce(bool_or(concept = 'Hemoglobin' and (coalesce(pv, false) or (pv is null and pt is null))), false) as hb_positive,
-        coalesce(bool_or(concept = 'CRP'), false) as crp, coalesce(bool_or(concept = 'Anti-DNA' and coalesce(pt, false)), false) as dna_positive from f group by patient_num""",
+        coalesce(bool_or(concept = 'CRP'), false) as crp, coalesce(bool_or(concept = 'Anti-DNA' and (coalesce(pt, false) or coalesce(pv, false) or (not coalesce(pt, false) and not coalesce(nt, false) and pv is null))), false) as dna_positive from f group by patient_num""",
 )
 def patient_findings(t):
     parsed = M.parse_measurements(*M.split_by_label(t.entity, "BIO_comp", ["BIO", "BIO_Val"]))

@@ -31,6 +31,18 @@ def empty_to_null(c) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
+def plain_decimal(c) -> Column:
+    """A written number as plain decimal text with at least one decimal; null if it is no number.
+
+    Worked out on the text itself, so no value turns into an exponent or is rounded.
+    """
+    t = F.replace(_col(c), F.lit(","), F.lit("."))
+    dotted = F.when(t.contains("."), t).otherwise(F.concat(t, F.lit(".")))
+    cut = F.regexp_replace(F.regexp_replace(dotted, r"0+$", ""), r"\.$", ".0")
+    led = F.regexp_replace(F.regexp_replace(cut, r"^0+", ""), r"^\.", "0.")
+    return F.when(t.rlike(r"^[0-9]*\.?[0-9]*$") & t.rlike(r"[0-9]"), led)
+
+
 def strip_space(c) -> Column:
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import override_code, test_name
-from chartloom.operators.lists import collect_in_parts
+from chartloom.operators.lists import number_sorted
 
 # Report types of hospital discharge summaries.
 REPORT_TYPES = ("CR:CRH-HOSPI", "CR:CRH-S")
@@ -44,10 +44,9 @@ def cohort_rows(
 ) -> DataFrame:
     """Notes of visits with a diagnosis of the cohort, one row per note and matching diagnosis.
 
-    ``codes`` is (disease, concept_cd), made from configuration and therefore broadcast. The
-    note filters reach the scan; diagnoses are cut to the cohort before they meet the notes.
+    ``codes`` is (disease, concept_cd). The note filters reach the scan; diagnoses are cut to the cohort before they meet the notes.
     """
-    wanted = diagnoses.join(F.broadcast(codes), "concept_cd").select("encounter_num", "concept_cd", "disease")
+    wanted = diagnoses.join(codes, "concept_cd").select("encounter_num", "concept_cd", "disease")
     kept = prepare_notes(notes, types, min_len).select(
         "instance_num", "observation_blob", "encounter_num", "patient_num", "note_date"
     )
@@ -81,7 +80,7 @@ def cohort_notes(
 ) -> DataFrame:
     """One row per disease and distinct note text, with the values of its smallest note id.
 
-    The copies are listed by ``note_groups`` and, as one text, by ``joined_note_ids``.
+    The copies are listed by ``note_groups`` and, numbered, by ``numbered_note_ids``.
     """
     rows = cohort_rows(notes, diagnoses, visits, codes, min_len, types)
     values = ["encounter_num", "patient_num", "age_visit_in_years_num", "start_date", "note_date"]
@@ -93,17 +92,17 @@ def cohort_notes(
         "disease", "note_key", F.col("r.instance_num").alias("note_id"), *[F.col("r." + v) for v in values], "n_copies"
     )
     # The digest decides which copy stands for a text; only then is the text itself moved, once.
-    texts = prepare_notes(notes, types, min_len).select(F.col("instance_num").alias("note_id"), "observation_blob")
-    return first.join(texts, "note_id")
-
+    # An id may name several notes: the digest tells which of them is meant.
+    texts = prepare_notes(notes, types, min_len).select(
+        F.col("instance_num").alias("note_id"), _text_key().alias("note_key"), "observation_blob"
+    )
+    return first.join(texts.dropDuplicates(["note_id", "note_key"]), ["note_id", "note_key"])
 
-def joined_note_ids(groups: DataFrame, per_row: int = 1000) -> DataFrame:
-    """Ids of the notes with one text, sorted and joined by ``_``.
 
-    A text with more than ``per_row`` copies gives several rows (``part`` 0, 1, …).
-    """
-    out = collect_in_parts(groups, ["disease", "note_key"], ["instance_num"], per_row)
-    return out.select("disease", "note_key", "part", F.array_join("instance_num", "_").alias("instance_num"))
+def numbered_note_ids(groups: DataFrame) -> DataFrame:
+    """The notes with one text, one row each, numbered from 1 in the order of their ids."""
+    ids = groups.select("disease", "note_key", "instance_num").distinct()
+    return number_sorted(ids, ["disease", "note_key"], ["instance_num"], "position")
 
 
 def cohort_facts(facts: DataFrame, concepts: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -127,17 +126,28 @@ def prepare_drugs(drugs: DataFrame, concept: str = "MED:3400892640778", code: st
     return drugs.withColumn("valueflag_cd", override_code("valueflag_cd", "concept_cd", concept, code))
 
 
+def _with_disease(keys: Sequence[str], *tables: DataFrame) -> list[str]:
+    """``keys``, and ``disease`` where all tables tell diseases apart."""
+    return [*(["disease"] if all("disease" in t.columns for t in tables) else []), *keys]
+
+
 def onto_cohort(df: DataFrame, cohort: DataFrame, keys: Sequence[str] = ("encounter_num", "patient_num")) -> DataFrame:
-    """Every cohort row with its results; visits without results stay, with nulls."""
-    return cohort.select(*keys).join(df, list(keys), "left")
+    """Every cohort row with its results; visits without results stay, with nulls.
+
+    Results of a disease meet that disease's rows only.
+    """
+    k = _with_disease(keys, cohort, df)
+    return cohort.select(*k).join(df, k, "left")
 
 
 def complete_cases(
     df: DataFrame, labs: DataFrame, drugs: DataFrame, keys: Sequence[str] = ("encounter_num", "patient_num")
 ) -> DataFrame:
     """Rows whose visit has both drug and laboratory facts."""
-    k = list(keys)
-    return df.join(drugs.select(*k).distinct(), k, "left_semi").join(labs.select(*k).distinct(), k, "left_semi")
+    for facts in (drugs, labs):
+        k = _with_disease(keys, df, facts)
+        df = df.join(facts.select(*k).distinct(), k, "left_semi")
+    return df
 
 
 def cohort_counts(df: DataFrame, columns: Sequence[str], by: str = "disease") -> DataFrame:
@@ -174,12 +184,9 @@ def quarterly_visits(months: DataFrame) -> DataFrame:
     return months.groupBy("disease", quarter).agg(F.sum("encounter_num").alias("encounter_num"))
 
 
-def gold_list(labs: DataFrame, per_row: int = 10_000) -> DataFrame:
-    """Values with units of each (disease, visit, patient, test), as lists.
-
-    Groups above ``per_row`` results are continued in further rows (``part``).
-    """
+def gold_list(labs: DataFrame) -> DataFrame:
+    """Values with units of each (disease, visit, patient, test), one row each, numbered from 1."""
     found = F.coalesce(F.col("nval_num").cast("string"), F.col("tval_char"))
     df = labs.withColumn("gold", F.concat_ws(" ", found, "units_cd"))
     keys = ["disease", "encounter_num", "patient_num", "terms_linked_to_measurement"]
-    return collect_in_parts(df, keys, ["name_char", "gold"], per_row, distinct=False)
+    return number_sorted(df.select(*keys, "name_char", "gold"), keys, ["name_char", "gold"], "position")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.functions import labpatterns as P
-from chartloom.functions.text import empty_to_null
+from chartloom.functions.text import empty_to_null, plain_decimal
 from chartloom.operators.measure import clean_value
 
 
@@ -61,7 +61,7 @@ def interpret(df: DataFrame, one_sided: bool = True) -> DataFrame:
     """Measurements with bounds, number, out-of-range flag and text polarity."""
     lower, upper = range_bounds("range_value", one_sided)
     positive, negative = text_polarity("non_digit_value")
-    df = df.withColumns({"lower_bound": lower, "upper_bound": upper, "value_as_number": first_number("value_cleaned")})
+    df = df.withColumns({"lower_bound": lower, "upper_bound": upper, "value_as_number": F.coalesce(_number(F.col("value_cleaned")), first_number("value_cleaned"))})
     return df.withColumns(
         {
             "positive_value": out_of_range("value_as_number", "lower_bound", "upper_bound", "range_value"),
@@ -115,13 +115,13 @@ def limit_table(spark: SparkSession, limits: Mapping[str, float]) -> DataFrame:
 
 def convert_units(df: DataFrame, rates: DataFrame, value: str = "value") -> DataFrame:
     """Rows whose unit the concept's table knows (case ignored), in the concept's unit."""
-    df = df.withColumn("unit", F.lower("unit")).join(F.broadcast(rates), ["concept", "unit"])
+    df = df.withColumn("unit", F.lower("unit")).join(rates, ["concept", "unit"])
     return df.withColumns({value: F.col(value) * F.col("rate"), "unit": F.col("final_unit")}).drop("rate", "final_unit")
 
 
 def plausible(df: DataFrame, limits: DataFrame, value: str = "value") -> DataFrame:
     """Rows with ``0 ≤ value ≤ max`` of their concept."""
-    joined = df.join(F.broadcast(limits), "concept")
+    joined = df.join(limits, "concept")
     return joined.where(F.col(value).between(F.lit(0), F.col("max_value"))).drop("max_value")
 
 
@@ -147,7 +147,7 @@ def canonical_measurement(value, unit, word) -> Column:
 
     A value without a unit gets the unit ``nounit``.
     """
-    number = _number(_col(value)).cast("string")
+    number = plain_decimal(value)
     measured = F.when(number.isNotNull(), F.concat_ws(" ", number, F.coalesce(_col(unit), F.lit("nounit"))))
     w = _col(word)
     said = (

@@ -7,31 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def collect_in_parts(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], per_row: int, distinct: bool = True
-) -> DataFrame:
-    """Sorted lists of ``values`` per key; a group above ``per_row`` rows fills several rows.
-
-    Rows are spread over ``ceil(n / per_row)`` parts by hash, where ``n`` is counted first
-    (with map-side partial counts), so no list outgrows a row and nothing is left out. Groups
-    of ordinary size give one row, ``part`` 0.
-    """
-    keys, values = list(keys), list(values)
-    rows = df.select(*keys, *values)
-    if distinct:
-        rows = rows.distinct()
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    salt = F.xxhash64(*values) if distinct else F.xxhash64(*values, F.monotonically_increasing_id())
-    parts = F.ceil(F.col("_n") / per_row).cast("int")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col("r." + k).eqNullSafe(F.col("c." + k))
-    joined = rows.alias("r").join(counts.alias("c"), same).select("r.*", "c._n")
-    parted = joined.withColumn("part", F.when(parts <= 1, 0).otherwise(F.pmod(salt, parts)).cast("int"))
-    item = F.sort_array(F.collect_list(F.struct(*values))).alias("_l")
-    out = parted.groupBy(*keys, "part").agg(item)
-    return out.select(*keys, "part", *[F.col("_l." + v).alias(v) for v in values])
+from chartloom.session import cut_lineage
 
 
 def keep_unique_only(df: DataFrame) -> DataFrame:
@@ -79,6 +55,28 @@ def number_within(
     )
 
 
+def number_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """Row numbers 1, 2, … per key in the order of any columns, one row shape at every size.
+
+    Rows are sorted by (key, order) over ranges and written; numbers are counted inside
+    (key, range) and moved up by the rows of earlier ranges. A key with very many rows fills
+    many ranges, so no task holds it.
+    """
+    keys, order = list(keys), list(order)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    sizes = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    same = F.lit(True)
+    for k in [*keys, "_part"]:
+        same = same & F.col("r." + k).eqNullSafe(F.col("s." + k))
+    numbered = ranged.withColumn("_k", F.row_number().over(inside)).alias("r").join(shift.alias("s"), same)
+    return numbered.select(*[F.col("r." + c) for c in df.columns], (F.col("_k") + F.col("_shift")).cast("long").alias(name))
+
+
 def seeded_order(seed, *cols) -> Column:
     """First 15 hex digits of an MD5, as a number: equal on every engine that has MD5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])

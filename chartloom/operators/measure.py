@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import labpatterns as P
-from chartloom.functions.text import empty_to_null, fold_accents, replace_all, strip_space
+from chartloom.functions.text import empty_to_null, fold_accents, plain_decimal, replace_all, strip_space
 from chartloom.operators.spans import containment_join
 
 REST = "lexical_variant_stripped"
@@ -132,10 +132,9 @@ def extract_unit(df: DataFrame) -> DataFrame:
 
 
 def clean_value(c) -> Column:
-    """A number as the text of a double; comparisons and fractions as written; null if empty."""
+    """A number as plain decimal text; comparisons and fractions as written; null if empty."""
     kept = F.regexp_replace(c, P.NOT_VALUE_CHAR, "")
-    as_double = F.replace(kept, F.lit(","), F.lit(".")).try_cast("double").cast("string")
-    return empty_to_null(F.when(kept.rlike("[<>/]"), kept).otherwise(F.coalesce(as_double, kept)))
+    return empty_to_null(F.when(kept.rlike("[<>/]"), kept).otherwise(F.coalesce(plain_decimal(kept), kept)))
 
 
 def extract_value(df: DataFrame) -> DataFrame:
@@ -185,16 +184,7 @@ def parse_texts(texts: DataFrame, canonical: str = "none") -> DataFrame:
 def parse_measurements(outer: DataFrame, inner: DataFrame, canonical: str = "none") -> DataFrame:
     """All steps: one row per complete mention and inner mention, fifteen columns.
 
-    The steps depend on the two texts only, and cost some ninety pattern searches, far more
-    than moving a row. Each distinct pair of texts is parsed once and joined back; a text that
-    holds a large share of the mentions is split by the adaptive skew join.
+    One containment join; the parse follows in the same stage, as a projection.
     """
-    both = ["lexical_variant_biocomp", "lexical_variant_bio"]
-    # The parsed columns replace what the join brought under the same name.
-    linked = link_mentions(outer, inner).drop("lexical_variant")
-    tasks = int(linked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A fixed number of tasks: the texts are few bytes but much work.
-    texts = linked.select(*both).distinct().repartition(tasks)
-    parsed = parse_texts(texts, canonical).withColumnsRenamed({c: c + "_p" for c in both})
-    same = (F.col(both[0]) == F.col(both[0] + "_p")) & F.col(both[1]).eqNullSafe(F.col(both[1] + "_p"))
-    return linked.join(parsed, same).select(*MEASUREMENT_COLUMNS)
+    # The parsed name replaces the column of that name that the join brought.
+    return parse_texts(link_mentions(outer, inner).drop("lexical_variant"), canonical).select(*MEASUREMENT_COLUMNS)

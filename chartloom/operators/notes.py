@@ -73,17 +73,16 @@ def word_rows(notes: DataFrame, extra: int = 0) -> DataFrame:
     )
 
 
-def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3) -> DataFrame:
     """Phrases of a term list in notes: note_id, span_start, span_end, lexical_variant, term, label.
 
     ``terms`` is (term, label); phrases of up to ``max_words`` words are compared in lower
     case without the punctuation around them. Phrases are made where the text is read and
-    meet the list in one equality join. The list is broadcast if it has at most
-    ``broadcast_rows`` rows, else both sides are shuffled.
+    meet the list in one equality join; how it is done is left to the list's size. Phrases whose
+    first word begins no term are dropped before they are cleaned or moved: the first words are a
+    table of their own, much smaller than the phrases.
     """
     keyed = terms.select(F.lower("term").alias("_key"), "term", "label").distinct()
-    if keyed.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        keyed = F.broadcast(keyed)
     rows = word_rows(notes, max_words - 1)
 
     words = rows.select("*", F.posexplode_outer(F.slice("pieces", 1, WORDS_PER_ROW)).alias("i", "w")).where("w is not null")

@@ -13,7 +13,7 @@ from chartloom.operators.lists import number_within
 from chartloom.operators.score import METRICS, add_overall, prf
 from chartloom.session import cut_lineage
 
-MAX_CELLS = 100_000
+LABEL_BLOCKS = 64
 
 
 def _hex(text: Column, digits: int) -> Column:
@@ -63,21 +63,33 @@ def bootstrap_entities(counts: DataFrame, n_draw: int, seed: int = 0) -> DataFra
 
     ``counts`` is (label, tp, fp, fn), one row per label. A draw of as many outcomes as there
     are is one multinomial vector, so its cost depends on the number of cells, not of entities.
+    It is drawn in two steps, over ``LABEL_BLOCKS`` blocks of labels and then inside each block by
+    a task of its own: the labels are never collected, and their number has no limit.
     """
-    rows = counts.select("label", "tp", "fp", "fn").orderBy("label").limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError("too many labels to resample")
-    labels = [r["label"] for r in rows]
-    table = np.array([[r["tp"], r["fp"], r["fn"]] for r in rows], dtype=np.int64)
-    total = int(table.sum())
-
-    def draw(batches):
-        for pdf in batches:
-            for d in pdf["id"]:
-                got = table if d == 0 else np.random.default_rng([seed, int(d)]).multinomial(total, table.ravel() / total).reshape(table.shape)
-                yield pd.DataFrame({"draw": int(d), "label": labels, "tp": got[:, 0], "fp": got[:, 1], "fn": got[:, 2]})
-
-    return counts.sparkSession.range(n_draw).mapInPandas(draw, "draw long, label string, tp long, fp long, fn long")
+    cells = counts.select("label", "tp", "fp", "fn")
+    block = F.pmod(F.xxhash64("label"), F.lit(LABEL_BLOCKS)).cast("int")
+    held = cells.withColumn("_block", block)
+    # How many outcomes of a draw fall into each block of labels: one small multinomial.
+    sizes = {r["_block"]: r["n"] for r in held.groupBy("_block").agg(F.sum(F.col("tp") + F.col("fp") + F.col("fn")).alias("n")).collect()}
+    names = sorted(sizes)
+    share = np.array([sizes[b] for b in names], dtype=np.int64)
+    total = int(share.sum())
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("label", kind="stable")
+        table = rows[["tp", "fp", "fn"]].to_numpy(dtype=np.int64)
+        own, b = int(table.sum()), int(rows["_block"].iloc[0])
+        out = []
+        for d in range(n_draw):
+            got = table
+            if d and total:
+                n = np.random.default_rng([seed, d]).multinomial(total, share / total)[names.index(b)]
+                spread = table.ravel() / own if own else np.full(table.size, 1 / table.size)
+                got = np.random.default_rng([seed, d, b]).multinomial(n, spread).reshape(table.shape)
+            out.append(pd.DataFrame({"draw": d, "label": rows["label"].to_numpy(), "tp": got[:, 0], "fp": got[:, 1], "fn": got[:, 2]}))
+        return pd.concat(out)
+
+    return held.groupBy("_block").applyInPandas(draw, "draw long, label string, tp long, fp long, fn long")
 
 
 def intervals(

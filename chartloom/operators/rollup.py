@@ -18,17 +18,23 @@ def _no(c) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _per(patient: str, *tables: DataFrame) -> list[str]:
+    """The patient, and the disease where all tables have it."""
+    return [*(["disease"] if all("disease" in t.columns for t in tables) else []), patient]
+
+
 def patient_flags(
     df: DataFrame, concepts: Sequence[str], positive: Column | None = None, concept: str = "concept", patient: str = "patient_num"
 ) -> DataFrame:
     """One row per patient: has a result of each concept, and has a positive one.
 
     One aggregation with map-side partial results; rows without a concept keep their patient.
+    Where ``df`` tells diseases apart, so do the flags.
     """
     aggs = [_no(F.bool_or(F.col(concept) == c)).alias(c) for c in concepts]
     if positive is not None:
         aggs += [_no(F.bool_or((F.col(concept) == c) & positive)).alias(f"{c} positive") for c in concepts]
-    return df.groupBy(patient).agg(*aggs)
+    return df.groupBy(*_per(patient, df)).agg(*aggs)
 
 
 def any_flag(df: DataFrame, columns: Sequence[str], name: str = "at_least_one") -> DataFrame:
@@ -39,8 +45,9 @@ def any_flag(df: DataFrame, columns: Sequence[str], name: str = "at_least_one")
 def combine_flags(a: DataFrame, b: DataFrame, patient: str = "patient_num") -> DataFrame:
     """Flags of two sources, true where either is."""
     both = a.unionByName(b, allowMissingColumns=True)
-    flags = [c for c in both.columns if c != patient]
-    return both.groupBy(patient).agg(*[_no(F.bool_or(F.col(f"`{c}`"))).alias(c) for c in flags])
+    keys = _per(patient, a, b)
+    flags = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(*[_no(F.bool_or(F.col(f"`{c}`"))).alias(c) for c in flags])
 
 
 def join_flag_sources(
@@ -48,10 +55,12 @@ def join_flag_sources(
 ) -> DataFrame:
     """Patients of both sources with the flags of each, told apart by suffix."""
 
+    keys = _per(patient, a, b)
+
     def named(df, s):
-        return df.withColumnsRenamed({c: c + s for c in df.columns if c != patient})
+        return df.withColumnsRenamed({c: c + s for c in df.columns if c not in keys})
 
-    return named(a, suffixes[0]).join(named(b, suffixes[1]), patient)
+    return named(a, suffixes[0]).join(named(b, suffixes[1]), keys)
 
 
 def source_comparison(
@@ -145,7 +154,7 @@ def value_histogram(values: DataFrame, limits: DataFrame, bins: int = 20) -> Dat
     """Results per method and bin of equal width up to the concept's maximum (the last bin is closed)."""
     step = F.col("max_value") / bins
     at = F.least(F.floor(F.col("value") / step + 1e-14), F.lit(bins - 1)).cast("int")
-    rows = values.join(F.broadcast(limits), "concept").select("concept", "method", at.alias("bin"), (at * step).alias("bin_start"))
+    rows = values.join(limits, "concept").select("concept", "method", at.alias("bin"), (at * step).alias("bin_start"))
     return rows.groupBy("concept", "method", "bin", "bin_start").agg(F.count("*").alias("n"))
 
 
@@ -160,7 +169,7 @@ def density(values: DataFrame, limits: DataFrame, points: int = 100, bandwidth_s
     The bandwidth is ``bandwidth_share`` of the maximum. Equal values are counted first; each
     distinct value then adds to the grid in the map task.
     """
-    counted = values.groupBy("concept", "method", "value").agg(F.count("*").alias("n")).join(F.broadcast(limits), "concept")
+    counted = values.groupBy("concept", "method", "value").agg(F.count("*").alias("n")).join(limits, "concept")
     h = F.col("max_value") * bandwidth_share
     grid = counted.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import LAB_STOPWORDS, clean_vocab_text, is_combination, mention_key, product_key
-from chartloom.operators.lists import collect_in_parts, keep_unique_only
+from chartloom.operators.lists import keep_unique_only, number_sorted
 
 # Gold codes and the codes that replace them.
 GOLD_CODE_FIXES = {
@@ -146,9 +146,9 @@ def build_dictionary(*sources: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def dictionary_sets(dictionary: DataFrame, per_row: int = 10_000) -> DataFrame:
-    """Names per code as sorted arrays (a code above ``per_row`` names fills several rows)."""
-    return collect_in_parts(dictionary, ["code"], ["name"], per_row).withColumnRenamed("name", "names")
+def dictionary_names(dictionary: DataFrame) -> DataFrame:
+    """The distinct names of each code, one row each, numbered from 1 in text order."""
+    return number_sorted(dictionary.select("code", "name").distinct(), ["code"], ["name"], "position")
 
 
 def add_synonyms(df: DataFrame, vocab: DataFrame, codes: str = "annotation") -> DataFrame:

@@ -27,11 +27,16 @@ def build_session(app: str = "chartloom", master: str | None = None, **conf) ->
 
 
 def _checkpoint_ready(spark: SparkSession) -> None:
-    if spark.conf.get("spark.checkpoint.dir", None):
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
         return
-    if spark.sparkContext.getCheckpointDir() is None:
-        # No shared folder named by the cluster: a local test session.
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chartloom-ckpt-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One machine, one process: a folder of its own will do.
+        named = f"file://{tempfile.mkdtemp(prefix='chartloom-')}"
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -26,10 +26,16 @@ EVENT_PART = r"([^\s]+):([TE]\d+)"
 DRUG_LABEL = "Chemical_and_drugs"
 
 
+def _below(root: str) -> Column:
+    """Path of the file a row comes from, below ``root``: files of one name in two folders stay apart."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.substring_index(path, root.rstrip("/").split("://")[-1] + "/", -1)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, line) of every ``.ann`` file under a folder; ``source`` is the file name."""
+    """(source, line) of every ``.ann`` file under a folder; ``source`` is the path below it."""
     df = spark.read.text(path, pathGlobFilter="*.ann", recursiveFileLookup=True)
-    return df.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("line"))
+    return df.select(_below(path).alias("source"), F.col("value").alias("line"))
 
 
 def discover_notes(spark: SparkSession, root: str, exclude: str = "checkpoint") -> DataFrame:
@@ -38,9 +44,7 @@ def discover_notes(spark: SparkSession, root: str, exclude: str = "checkpoint")
     The id is the path below ``root`` without its extension.
     """
     df = spark.read.text(root, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    below = F.substring_index(path, root.rstrip("/") + "/", -1)
-    df = df.select(F.regexp_replace(below, r"\.[^.]*$", "").alias("note_id"), F.col("value").alias("text"))
+    df = df.select(F.regexp_replace(_below(root), r"\.[^.]*$", "").alias("note_id"), F.col("value").alias("text"))
     return df.where(~F.element_at(F.split("note_id", "/"), -1).contains(exclude))
 
 
@@ -202,7 +206,7 @@ def read_standoff_full(
     texts = None
     if merge_spaced:
         df = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
-        name = F.concat(drop_extension(F.col("_metadata.file_name")), F.lit(".ann"))
+        name = F.concat(F.regexp_replace(_below(path), r"\.[^./]*$", ""), F.lit(".ann"))
         texts = df.select(name.alias("source"), F.col("value").alias("text"))
     return parse_full(read_lines(spark, path), texts, on_error)
 

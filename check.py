@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 
@@ -65,7 +66,7 @@ if __name__ == "__main__":
     names = sys.argv[2:] or list(load())
     spark = build_session(
         master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g", "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='chartloom-check-')}"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -18,6 +19,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='chartloom-tests-')}",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -104,8 +104,6 @@ def test_tagging_crosses_rows(spark):
     got = N.tag_terms(notes, terms, 2).collect()
     assert {(r.term, r.lexical_variant) for r in got} == {("foo", "Foo"), ("foo, bar", "Foo, bar"), ("foo", "foo")}
     assert all(text[r.span_start : r.span_end] == r.lexical_variant for r in got)
-    shuffled = N.tag_terms(notes, terms, 2, broadcast_rows=0)
-    assert {tuple(r) for r in shuffled.collect()} == {tuple(r) for r in got}
 
 
 def distance(a, b):
@@ -117,15 +115,15 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("threshold, limit", [(10, 200_000), (4, 0)])
-def test_edit_matches(spark, threshold, limit):
+@pytest.mark.parametrize("threshold, per_array", [(10, 1024), (4, 5), (0, 5)])
+def test_edit_matches(spark, threshold, per_array):
     def word():
         return "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 16)))
 
     names, terms = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
     got = M.edit_matches(
         spark.createDataFrame([(t,) for t in terms], "term_to_norm string"),
-        spark.createDataFrame([(n,) for n in names], "norm_term string"), threshold, limit, spread=3,
+        spark.createDataFrame([(n,) for n in names], "norm_term string"), threshold, spread=3, per_array=per_array,
     ).collect()
     want = set()
     for t in terms:
@@ -182,9 +180,17 @@ def test_number_within_and_lists(spark):
     got = {(r.k, r.i): r.rn for r in L.number_within(df, ["k"], "pos", ["i"], width=64).collect()}
     order = sorted(r for r in rows if r[0] == "hot")
     assert [got["hot", r[2]] for r in order] == list(range(1, 301))
-    parts = L.collect_in_parts(df, ["k"], ["i"], 50).collect()
-    assert len([p for p in parts if p.k == "hot"]) > 3
-    assert sorted(x for p in parts if p.k == "hot" for x in p.i) == list(range(300))
+
+
+@pytest.mark.parametrize("size", [5, 50_000])
+def test_numbering_has_one_row_shape_at_every_size(spark, size):
+    df = spark.range(size).select(F.lit("hot").alias("k"), F.format_string("%06d", "id").alias("name"))
+    df = df.union(spark.createDataFrame([("b", "x"), (None, "y")], df.schema))
+    got = L.number_sorted(df, ["k"], ["name"], "position")
+    assert got.columns == ["k", "name", "position"] and got.count() == size + 2
+    hot = got.where("k = 'hot'")
+    assert hot.where(F.col("position") != F.col("name").cast("int") + 1).count() == 0
+    assert {(r.k, r.position) for r in got.where("k is null or k = 'b'").collect()} == {("b", 1), (None, 1)}
 
 
 def test_copies_of_one_text(spark):
@@ -197,8 +203,19 @@ def test_copies_of_one_text(spark):
     cohort = C.cohort_notes(notes, diagnoses, visits, codes).collect()
     assert len(cohort) == 31 and {r.n_copies for r in cohort} == {1, 200}
     groups = C.note_groups(C.cohort_rows(notes, diagnoses, visits, codes))
-    joined = C.joined_note_ids(groups, per_row=60).collect()
-    assert sorted(x for r in joined for x in r.instance_num.split("_")) == [r[0] for r in ids]
+    numbered = C.numbered_note_ids(groups).collect()
+    assert sorted(r.instance_num for r in numbered) == [r[0] for r in ids]
+    assert sorted(r.position for r in numbered) == sorted([*range(1, 201), *[1] * 30])
+
+
+def test_cohort_note_with_two_rows_of_one_id(spark):
+    rows = [("a", "x" * 1500, 1, 1, "2020-01-01"), ("a", "y" * 1500, 2, 2, "2020-01-02")]
+    notes = spark.createDataFrame(rows, "instance_num string, observation_blob string, encounter_num int, patient_num int, note_date string")
+    notes = notes.withColumn("concept_cd", F.lit("CR:CRH-S"))
+    diagnoses = spark.createDataFrame([(1, "CIM10:M32"), (2, "CIM10:M32")], "encounter_num int, concept_cd string")
+    visits = spark.createDataFrame([(1, 40, "2020"), (2, 41, "2020")], "encounter_num int, age_visit_in_years_num int, start_date string")
+    got = C.cohort_notes(notes, diagnoses, visits, C.disease_codes(spark, {"lupus": ["M32"]})).collect()
+    assert sorted((r.encounter_num, r.observation_blob[0]) for r in got) == [(1, "x"), (2, "y")]
 
 
 def test_entity_bootstrap_is_centred(spark):
