@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.tables import WORD, stored, words
+from chartloom.llm.tables import WORD, fresh, stored, words
 
 WINDOW = 8
 MAX_DOCUMENTS = 5
@@ -144,16 +144,15 @@ def _hits(lines: DataFrame, common: DataFrame) -> DataFrame:
 
 def remove_boilerplate(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """``docs`` with the lines of ``common`` taken out of ``text``; other columns stay as they are."""
-    gone = (
-        _hits(_lines(docs, doc_id, text, host), common)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"))
-        .agg(F.collect_set("line_hash").alias("_gone"))
-    )
-    on = (F.col("_d").eqNullSafe(F.col("_id"))) & (F.col("_t") == F.col("_hash")) & (F.col("_s").eqNullSafe(F.col("_host")))
-    keyed = docs.withColumns({"_d": F.col(doc_id), "_t": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_s": F.col(host)})
-    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(_normal(x))))
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return keyed.join(gone, on, "left").withColumn(text, clean).select(*docs.columns)
+    i, h, s, g = fresh(docs, "_id", "_hash", "_host", "_gone")
+    hits = _hits(_lines(docs, doc_id, text, host), common)
+    gone = hits.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("host").alias(s)).agg(F.collect_set("line_hash").alias(g))
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    on = F.col(doc_id).eqNullSafe(F.col(i)) & (own == F.col(h)) & F.col(host).eqNullSafe(F.col(s))
+    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(g), F.xxhash64(_normal(x))))
+    clean = F.when(F.col(g).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    joined = docs.join(gone, on, "left")
+    return joined.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def judge(

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm import bytesets
 from chartloom.llm.graph import components
-from chartloom.llm.tables import stored
+from chartloom.llm.tables import fresh, stored
 
 WIDTH = 5
 PERCENT = 85
@@ -302,5 +302,6 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without near duplicates: rows whose id ``near_duplicates`` keeps; rows of one id share its fate."""
-    kept = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).where("_kept")
-    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    (own,) = fresh(docs, "_id")
+    kept = found.groupBy(F.col("doc_id").alias(own)).agg(F.max("kept").alias("k")).where("k").select(own)
+    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col(own)), "left_semi")

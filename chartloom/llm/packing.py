@@ -78,7 +78,7 @@ class Encoder:
         new = {w for p in parts if p for w in p if w not in self.known}
         if new:
             words = list(new)
-            self.known.update(zip(words, self._encode([w[1:] if w[0] == "\t" else " " + w for w in words])))
+            self.known.update(zip(words, self._encode([w[1:] if w[:1] == "\t" else " " + w for w in words])))
         known = self.known
         out = [b"" if p is None else b"".join([known[w] for w in p]) for p in parts]
         for k, data in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):

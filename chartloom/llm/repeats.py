@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm import bytesets
 from chartloom.llm.blocks import keyed, keys_of, read, steps, write
-from chartloom.llm.tables import stored
+from chartloom.llm.tables import fresh, stored
 
 SPAN = 50
 GRAM = 20
@@ -388,17 +388,18 @@ def shortened(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     A code point goes if all its bytes do. Documents left with white space alone by that go.
     """
+    i, sha, gone, kept, own = fresh(docs, "_id", "_sha", "_gone", "_kept", "_own")
     found = removed(docs, doc_id, text, kept_text=True).select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_removed").alias("_gone"), F.col("kept").alias("_kept")
+        F.col("doc_id").alias(i), F.col("text_sha256").alias(sha), F.col("n_removed").alias(gone), F.col("kept").alias(kept)
     )
     # Rows with equal id and text have equal results; one of them is enough.
-    found = found.dropDuplicates(["_id", "_sha"])
-    slim = docs.withColumn("_own", F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256))
-    slim = slim.withColumn(text, F.col(text).isNull())
-    joined = slim.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    joined = joined.where((F.col("_gone") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    clean = F.when(F.col(text), F.lit(None).cast("string")).otherwise(F.col("_kept"))
-    out = {text: clean}
+    found = found.dropDuplicates([i, sha])
+    digest = F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)
+    # The text itself comes back from the work; here it only leaves whether there was one.
+    slim = docs.select(*[F.col(c).isNull().alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], digest.alias(own))
+    joined = slim.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(sha)))
+    joined = joined.where((F.col(gone) == 0) | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
+    new = {text: F.when(F.col(text), F.lit(None).cast("string")).otherwise(F.col(kept))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_gone") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return joined.withColumns(out).select(*docs.columns)
+        new["n_chars"] = F.when(F.col(gone) > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm import line_join, minhash_forest, packing, quality, repeats
-from chartloom.llm.tables import documents, labels, stored
+from chartloom.llm.tables import documents, fresh, labels, stored
 
 
 def _measured(docs: DataFrame, changed) -> DataFrame:
@@ -27,9 +27,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier one; documents of which no line with a word is left go."""
-    found = line_join.deduplicated(docs)
-    found = found.where(F.col("lines_left").isNull() | (F.col("lines_left") > 0))
-    return _measured(found, F.col("lines_removed") > 0).select(*docs.columns)
+    removed, left = fresh(docs, "lines_removed", "lines_left")
+    found = line_join.deduplicated(docs, removed=removed, left=left)
+    found = found.where(F.col(left).isNull() | (F.col(left) > 0))
+    return _measured(found, F.col(removed) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
