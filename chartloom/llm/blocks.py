@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.llm import bytesets
 from chartloom.llm.tables import stored
 
 _U = np.uint64
@@ -43,6 +44,21 @@ def keys_of(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps.view(np.int64))
 
 
+#: Neighbouring keys that share a group.
+NEIGHBOURS = 256
+#: Groups per shuffle partition: what a task sends to a group is one block, however many documents are in it.
+GROUPS_PER_PARTITION = 4
+
+
+def group_count(spark) -> int:  # noqa: ANN001
+    return GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that each key belongs to."""
+    return (bytesets.mix((keys // NEIGHBOURS).view(_U)) % _U(groups)).view(np.int64)
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(key, id, text): ``key`` orders the documents; the id itself wherever ids are unique and not null."""
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))

@@ -40,13 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import bytesets
-from chartloom.llm.blocks import keyed, keys_of, read, steps, write
+from chartloom.llm.blocks import group_count, group_of, keyed, keys_of, read, steps, write
 from chartloom.llm.tables import remainder, stored
 
 COMMON = 65_534
 START, NONE = 65_534, 65_535
 END = np.uint64(0xE7D5)
-SHARD = 1024
 BUCKETS_PER_PARTITION = 2
 QUANTA = 4096
 _U = np.uint64
@@ -269,24 +268,28 @@ def common_tokens(counts: DataFrame) -> Common:
     return Common(hashes, top.column(1).to_numpy().astype(np.int64), total["n"] or 0, total["v"], docs["n"] or 0, docs["k"] or 0)
 
 
-def _sums(keys: np.ndarray, rows: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    """Sums per document as rows (bucket, shard, payload); ``bucket`` -1 marks them as such."""
+def _sums(keys: np.ndarray, rows: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Sums per document as rows (bucket, shard, payload), by group of documents; ``bucket`` -1 marks them as such."""
     found, which = np.unique(keys, return_inverse=True)
     add = lambda x: np.bincount(which, weights=x, minlength=len(found))
     whole = [add(x).astype(np.int64).view(_U) for x in (rows, tokens, known)]
     exact, near = add(base).view(_U), add(score).astype(np.float32).view(np.uint32).astype(_U)
-    shard = found // SHARD
-    cuts = np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1))
+    shard = group_of(found, groups)
+    order = np.lexsort((found, shard))
+    found, shard, exact, near = found[order], shard[order], exact[order], near[order]
+    whole = [w[order] for w in whole]
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
     data = [
         write([(steps(found[a:b]), 8), *((w[a:b], 8) for w in whole), (exact[a:b], 8), (near[a:b], 4)]) for a, b in zip(cuts, np.append(cuts[1:], len(found)))
     ]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), -1)), pa.array(shard[cuts]), pa.array(data, pa.binary())], ["bucket", "shard", "payload"])
 
 
-def _references(docs: DataFrame, held: str, common: Common, buckets: int) -> DataFrame:
+def _references(docs: DataFrame, held: str, shared, buckets: int, groups: int) -> DataFrame:  # noqa: ANN001
     """Tokens by bucket of the trie, and what a task can score itself as sums per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
             out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -305,7 +308,7 @@ def _references(docs: DataFrame, held: str, common: Common, buckets: int) -> Dat
                 base = np.where(often, np.log10(common.alone(n)), 0)
                 within = lambda x, a=ahead: np.diff(np.concatenate([[0], np.cumsum(x)])[a])
                 ones = np.ones(j - i)
-                yield _sums(key[i:j], ones, sizes, within(often.astype(float)), within(base), within(np.where(here, base, 0)))
+                yield _sums(key[i:j], ones, sizes, within(often.astype(float)), within(base), within(np.where(here, base, 0)), groups)
                 send = np.flatnonzero(~here)
                 spread = np.where(often[send], bytesets.mix(tokens[send] ^ (context[send].astype(_U) << _U(20))), tokens[send])
                 bucket = _bucket(spread, buckets)
@@ -344,7 +347,7 @@ def _built(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray | None, c
     return Trie.coded(words[at], n_word, pointers, contexts[pair], logs)
 
 
-def _answered(payloads: list[bytes], often: bool, common: Common) -> pa.RecordBatch:
+def _answered(payloads: list[bytes], often: bool, common: Common, groups: int) -> pa.RecordBatch:
     parts = [read(p, [2 if often else 8, 2, 8, 1])[0] for p in payloads]
     word, context, held = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
     key = np.concatenate([keys_of(p[2]) for p in parts])
@@ -358,7 +361,7 @@ def _answered(payloads: list[bytes], often: bool, common: Common) -> pa.RecordBa
     log = trie.log(word, context)
     score = np.where(np.isnan(log), np.log10(common.after(n, np.zeros(len(n)), context)), log)
     zero = np.zeros(len(n))
-    return _sums(key, zero, zero, zero if often else (n > 0).astype(float), zero if often else np.log10(common.alone(n)), score)
+    return _sums(key, zero, zero, zero if often else (n > 0).astype(float), zero if often else np.log10(common.alone(n)), score, groups)
 
 
 def scored(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -369,6 +372,7 @@ def scored(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     rows = keyed(docs, doc_id, text).withColumn("held", held_out("id"))
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = group_count(spark)
     counts = stored(vocabulary(rows, "held", buckets), "vocabulary")
     common = common_tokens(counts)
     shared = spark.sparkContext.broadcast(common)  # at most COMMON rows and a few totals
@@ -381,12 +385,12 @@ def scored(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text"
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([payload], pa.binary())], ["shard", "payload"])
                     continue
                 if bucket != now and held_:
-                    yield _answered(held_, bool(now & 1), shared.value).select(["shard", "payload"])
+                    yield _answered(held_, bool(now & 1), shared.value, groups).select(["shard", "payload"])
                     held_ = []
                 now = bucket
                 held_.append(payload)
         if held_:
-            yield _answered(held_, bool(now & 1), shared.value).select(["shard", "payload"])
+            yield _answered(held_, bool(now & 1), shared.value, groups).select(["shard", "payload"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_, now = [], None
@@ -412,7 +416,7 @@ def scored(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text"
         if held_:
             yield done()
 
-    sent = _references(rows, "held", common, buckets)
+    sent = _references(rows, "held", shared, buckets, groups)
     # Sums pass to any task; tokens of a bucket meet in one.
     place = F.when(F.col("bucket") < 0, F.col("shard") * 2 + (1 << 40)).otherwise(F.col("bucket"))
     back = sent.repartition(place).sortWithinPartitions("bucket").mapInArrow(answer, "shard long, payload binary")
