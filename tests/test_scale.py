@@ -185,7 +185,7 @@ def test_number_within_and_lists(spark):
 @pytest.mark.parametrize("size", [5, 50_000])
 def test_numbering_has_one_row_shape_at_every_size(spark, size):
     df = spark.range(size).select(F.lit("hot").alias("k"), F.format_string("%06d", "id").alias("name"))
-    df = df.union(spark.createDataFrame([("b", "x"), (None, "y")], df.schema))
+    df = df.union(spark.createDataFrame([("b", "x"), (None, "y")], "k string, name string"))
     got = L.number_sorted(df, ["k"], ["name"], "position")
     assert got.columns == ["k", "name", "position"] and got.count() == size + 2
     hot = got.where("k = 'hot'")

@@ -29,7 +29,7 @@ def test_entities(spark, folder):
     rows = {r.ann_id: r for r in B.read_standoff(spark, str(folder)).collect()}
     assert set(rows) == {"T1", "T2", "#1"}
     assert (rows["T2"].term, rows["T2"].span) == ("Aspirine 100", "18 30")
-    assert rows["T1"].source == "n1.ann"
+    assert rows["T1"].source == "sub/n1.ann"
     only = B.read_standoff(spark, str(folder), ["DISO"])
     assert [r.ann_id for r in only.collect()] == ["T1"]
     noted = N.attach_notes(B.read_standoff(spark, str(folder)), "left")
