@@ -6,7 +6,7 @@ from chartloom.catalog.registry import query
 from chartloom.operators import lists as L
 from chartloom.operators import notes as N
 from chartloom.operators import spans as S
-from chartloom.session import cut_lineage
+from chartloom.session import cut_lineage, scratch
 from chartloom.sources import standoff as B
 
 
@@ -82,15 +82,15 @@ def standoff_full_others(t):
     "standoff_line",
     r""", m as (select source, line, cast(regexp_extract(line, '^T(\d+)', 1) as bigint) as k, split_part(line, chr(9), 2) as p, split_part(line, chr(9), 3) as lexical_variant
         from standoff_line where regexp_matches(line, '^(T\d+)\t([^\s]+)([^\t]+)\t(.*)$')),
-      r as (select *, row_number() over (partition by source order by k) as rn, rank() over (partition by source order by k) as rk from m),
-      f as (select source, rk, split_part(p, ' ', 1) as label, lexical_variant, unnest(string_split(substr(p, instr(p, ' ') + 1), ';')) as fr from r)
-      select replace(source, '.ann', '') as note_id, label, cast(split_part(fr, ' ', 1) as int) as begin, cast(split_part(fr, ' ', 2) as int) as "end", lexical_variant from f""",
+      r as (select *, row_number() over (partition by source order by k, split_part(p, ' ', 1), lexical_variant) as rn, rank() over (partition by source order by k) as rk from m),
+      f as (select source, rn, split_part(p, ' ', 1) as label, lexical_variant, unnest(string_split(substr(p, instr(p, ' ') + 1), ';')) as fr from r)
+      select replace(source, '.ann', '') as note_id, label, cast(split_part(fr, ' ', 1) as int) as begin, cast(split_part(fr, ' ', 2) as int) as "end", lexical_variant, cast(rn - 1 as bigint) as index from f""",
 )
 def fragments_flat(t):
     lines = t.stored("standoff_line")
     full = B.parse_full(lines)
     texts = lines.select("source", F.lit("").alias("text")).distinct()
-    return B.notes_and_fragments(full.entities, texts)[1].drop("index")
+    return B.notes_and_fragments(full.entities, texts)[1]
 
 
 @query(
@@ -431,3 +431,73 @@ def sources_united(t):
     a = t.nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))
     b = t.customer.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     return L.union_sources(a, b).na.fill("")
+
+
+# --- files in folders: notes of one name in two folders ------------------------------------------
+
+
+def _folder(t):
+    """The notes of ``folder_note`` as ``.txt`` and ``.ann`` files; the folder's address."""
+    root = scratch(t.spark, "notes")
+    root = root if "://" in root else f"file://{root}"
+    first = F.concat(F.lit("T1\tBIO 0 11\tHemoglobine\n"))
+    whole = F.concat(F.lit("T2\tBIO_comp 0 "), (F.col("k") + 17).cast("string"), F.lit("\t"), F.substring_index("text", "\n", 1), F.lit("\n"))
+    flag = F.when(F.col("odd") == 1, F.lit("A1\tNegation T2 Neg\n")).otherwise(F.lit(""))
+    notes = t.folder_note
+    B.export_files(notes.select(F.concat("note_id", F.lit(".ann")).alias("path"), F.concat(first, whole, flag).alias("content")), root)
+    B.export_files(notes.select(F.concat("note_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")), root)
+    return root
+
+
+@query(
+    "folder_entities",
+    "A2 H13",
+    "folder_note",
+    """select note_id || '.ann' as source, 'T1' as ann_id, 'BIO' as label, 'Hemoglobine' as term, '0 11' as span from folder_note
+       union all select note_id || '.ann', 'T2', 'BIO_comp', split_part(text, chr(10), 1), '0 ' || cast(k + 17 as varchar) from folder_note""",
+)
+def folder_entities(t):
+    return B.read_standoff(t.spark, _folder(t)).select("source", "ann_id", "label", "term", "span")
+
+
+@query(
+    "folder_full_entities",
+    "A3",
+    "folder_note",
+    """select note_id || '.ann' as source, 'T1' as entity_id, 'BIO' as label, 'Hemoglobine' as text, cast(11 as int) as "end", cast(0 as bigint) as attributes from folder_note
+       union all select note_id || '.ann', 'T2', 'BIO_comp', split_part(text, chr(10), 1), cast(k + 17 as int), cast(odd as bigint) from folder_note""",
+)
+def folder_full_entities(t):
+    full = B.read_standoff_full(t.spark, _folder(t))
+    counted = full.attributes.groupBy("source", F.col("target_id").alias("entity_id")).agg(F.count("*").alias("attributes"))
+    out = full.entities.join(counted, ["source", "entity_id"], "left")
+    return out.select(
+        "source", "entity_id", "label", "text", F.element_at("fragments", -1)["end"].alias("end"), F.coalesce("attributes", F.lit(0)).alias("attributes")
+    )
+
+
+@query("folder_notes", "A5", "folder_note", "select note_id, text from folder_note")
+def folder_notes(t):
+    return B.discover_notes(t.spark, _folder(t))
+
+
+@query(
+    "standoff_sink",
+    "A6",
+    "folder_note",
+    """select note_id, cast(1 as bigint) as entity_no, cast(0 as bigint) as attribute_no,
+         'T1' || chr(9) || 'Chemical_and_drugs 12 ' || cast(17 + k as varchar) || ';' || cast(18 + k as varchar) || ' ' || cast(21 + k as varchar) || chr(9)
+           || substr(text, 13, 5 + cast(k as int)) || ' CRP' as line from folder_note
+       union all select note_id, 1, 1, 'A1' || chr(9) || 'Negation T1 Neg' from folder_note where odd = 1
+       union all select note_id, 1, cast(1 + odd as bigint), 'A' || cast(1 + odd as varchar) || chr(9) || 'Tech T1 None' from folder_note""",
+)
+def standoff_sink(t):
+    """An entity over a line break and its attributes, written and read back."""
+    notes = t.folder_note
+    frag = F.array(F.struct(F.lit(12).alias("begin"), (F.col("k") + 21).cast("int").alias("end")))
+    ents = notes.select("note_id", F.lit("e").alias("entity_id"), F.lit(B.DRUG_LABEL).alias("label"), frag.alias("fragments"))
+    attrs = notes.where("odd = 1").select("note_id", F.lit("e").alias("entity_id"), F.lit("Negation").alias("label"), F.lit("Neg").alias("value"))
+    attrs = attrs.union(notes.select("note_id", F.lit("e"), F.lit("Tech"), F.lit(None).cast("string")))
+    path = scratch(t.spark, "standoff")
+    B.write_standoff(B.standoff_lines(ents, notes.select("note_id", "text"), attrs), path)
+    return t.spark.read.parquet(path).select("note_id", "entity_no", "attribute_no", "line")

@@ -115,6 +115,12 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
         """select distinct 'L' || cast(p_partkey % 5 + 1 as string) as label, case p_partkey % 5 when 0 then 'hemoglobine' when 1 then 'crp'
              when 2 then 'ac anti-dna' when 3 then 'plaquettes' else 'troponine' end as norm_term from {part}""",
     ),
+    "folder_note": (
+        [],
+        """select case s_suppkey % 2 when 0 then 'a/' else 'b/x/' end || 'note' || cast(s_suppkey - s_suppkey % 2 as string) as note_id,
+           'Hemoglobine ' || cast(s_suppkey as string) || ' g/dl' || chr(10) || 'CRP ' || cast(s_nationkey as string) || ' mg/l' as text,
+           s_suppkey % 2 as odd, length(cast(s_suppkey as string)) as k, length(cast(s_nationkey as string)) as c from {supplier}""",
+    ),
     "drug_mention": (
         [],
         """select substr(name, 1, k) || substr(name, k + 2) as term, cast(p_partkey as string) || '.ann' as source,

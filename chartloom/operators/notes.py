@@ -78,9 +78,7 @@ def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3) -> DataFra
 
     ``terms`` is (term, label); phrases of up to ``max_words`` words are compared in lower
     case without the punctuation around them. Phrases are made where the text is read and
-    meet the list in one equality join; how it is done is left to the list's size. Phrases whose
-    first word begins no term are dropped before they are cleaned or moved: the first words are a
-    table of their own, much smaller than the phrases.
+    meet the list in one equality join; how it is done is left to the list's size.
     """
     keyed = terms.select(F.lower("term").alias("_key"), "term", "label").distinct()
     rows = word_rows(notes, max_words - 1)

@@ -7,26 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from chartloom.session import cut_lineage
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Quantiles with linear interpolation, one row per group and probability (``prob``, ``quantile``).
 
-    The ranks wanted are located in a histogram of ``BUCKETS`` equal ranges per group, summed
-    map-side; only the distinct values of the buckets that hold a wanted rank are put in
-    order. No task sees a whole group.
+    Distinct values with their counts are dealt out by ranges of (group, value), sampled from the
+    data and written; the wanted ranks are located by the sums of the ranges, and only ranges that
+    hold one are put in order. A group fills as many ranges as it needs, wherever its values lie,
+    so an outlier changes nothing and no task sees a whole group.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    edges = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total"))
-    width = (F.col("_hi") - F.col("_lo")) / BUCKETS
-    bucket = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = rows.join(edges, by).withColumn("_b", bucket.cast("int"))
-
-    sizes = placed.groupBy(*by, "_b", "_total").agg(F.sum("_n").alias("_size"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(rows.repartitionByRange(tasks, *by, value).withColumn("_b", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_b").agg(F.sum("_n").alias("_size"))
+    # One row per group and range it fills.
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_total": F.sum("_size").over(group), "_before": F.coalesce(F.sum("_size").over(before), F.lit(0))})
+    placed = ranged
 
     # Each probability asks for the values at two neighbouring ranks.
     wanted = F.array(*[F.lit(float(p)) for p in probs])

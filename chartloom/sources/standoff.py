@@ -214,10 +214,10 @@ def read_standoff_full(
 def notes_and_fragments(entities: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(note_id, note_text) and one row per fragment.
 
-    ``index`` numbers the entities of a note from 0 in the order of their ids.
+    ``index`` numbers the entities of a note from 0 in the order of their ids (equal ids: by label and text).
     """
     number = F.substring("entity_id", 2, 20).cast("long")
-    ids = number_within(entities.withColumn("_n", number), ["source"], "_n", [], "index")
+    ids = number_within(entities.withColumn("_n", number), ["source"], "_n", ["label", "text"], "index")
     rows = ids.select(
         drop_extension(F.col("source")).alias("note_id"), (F.col("index") - 1).alias("index"),
         F.explode("fragments").alias("f"), "label", F.col("text").alias("lexical_variant"),
@@ -289,6 +289,27 @@ def write_standoff(lines: DataFrame, path: str, buckets: int = 64) -> None:
     lines.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def export_files(files: DataFrame, root: str) -> int:
+    """(path, content) rows as files below ``root``, for tools that read one file per note; their number.
+
+    Each task writes its own files through the file system that ``root`` names.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0])
+                with system.open_output_stream(target) as f:
+                    f.write(content.encode())
+            yield pdf[["path"]]
+
+    return files.select("path", "content").mapInPandas(write, "path string").count()
+
+
 def write_notes(notes: DataFrame, path: str) -> None:
     """Note texts (disease, note_id, text), one folder per disease."""
     notes.select("disease", "note_id", "text").write.mode("overwrite").partitionBy("disease").parquet(path)

@@ -174,6 +174,17 @@ def test_exact_quantiles(spark):
             assert got[k, p] == pytest.approx(np.quantile([v for x, v in values if x == k], p))
 
 
+def test_quantiles_with_one_outlier(spark):
+    """One value of 1e12 must not put all others into one task: ranges follow the data."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") / 7).alias("v"))
+    got = {r.prob: r.quantile for r in Q.exact_quantiles(df, ["k"], "v", [0.25, 0.5, 1.0]).collect()}
+    values = [1e12 if i == 7 else i / 7 for i in range(20_000)]
+    assert [got[p] for p in (0.25, 0.5, 1.0)] == pytest.approx([np.quantile(values, p) for p in (0.25, 0.5, 1.0)])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(tasks, "k", "v").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == tasks and max(r["count"] for r in spread) < 2 * 20_000 / tasks
+
+
 def test_number_within_and_lists(spark):
     rows = [("hot", rng.randrange(10_000), i) for i in range(300)] + [("b", 5, 0)]
     df = spark.createDataFrame(rows, "k string, pos int, i int")
