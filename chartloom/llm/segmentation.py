@@ -14,7 +14,7 @@ The vocabulary ranks its pieces (a piece's score is its negative rank); Zipf's l
 log probabilities. Characters without a piece are spelt in byte pieces.
 
 Cases: null counts as the empty text, which has one segmentation, of no piece; a segmentation list is
-shorter than N where there are no more; ties are ordered by the piece numbers; long texts and long
+shorter than N where there are no more; ties are in the order of the search; long texts and long
 words are one search, linear in their length; rows that repeat an id get a row each; an empty table
 gives an empty result; further columns are ignored.
 """
@@ -80,11 +80,12 @@ class Pieces:
         ahead = [0.0] * (len(word) + 1)
         for b in range(1, len(word) + 1):
             ahead[b] = max(ahead[a] + s for a, _, s in arcs[b])
-        # Entries: negative total, pieces of the way to the end as a chain, place, score so far.
-        heap: list[tuple[float, tuple, int, float]] = [(-ahead[-1], (), len(word), 0.0)]
-        done = []
+        # Entries: negative total, place, number, score so far, pieces of the way to the end as a chain.
+        # Of equal totals the one nearest to the start goes on: ties are walked through one by one.
+        heap: list[tuple[float, int, int, float, tuple]] = [(-ahead[-1], len(word), 0, 0.0, ())]
+        done, made = [], 0
         while heap and len(done) < n:
-            total, way, at, so_far = heapq.heappop(heap)
+            total, at, _, so_far, way = heapq.heappop(heap)
             if at == 0:
                 pieces = []
                 while way:
@@ -93,7 +94,9 @@ class Pieces:
                 done.append((-total, tuple(pieces)))
                 continue
             for a, pieces, s in arcs[at]:
-                heapq.heappush(heap, (-(ahead[a] + s + so_far), (pieces, way), a, s + so_far))
+                made += 1
+                # Rounded, so that sums of one path in another order stay ties.
+                heapq.heappush(heap, (-round(ahead[a] + s + so_far, 9), a, made, s + so_far, (pieces, way)))
         return done
 
     def decode(self, numbers: list[int]) -> str:
