@@ -238,10 +238,10 @@ FIXTURES: dict[str, tuple[list[str], str]] = {
     "standoff_line": (
         ["mention"],
         """select source, 'T' || i || chr(9) || case n when 7 then 'Chemical_and_drugs' else 'BIO_comp' end || ' ' ||
-             case when n = 5 then cast(span_start + 12 as string) || ' ' || cast(span_end as string) || ';' ||
+             case when n = 5 and term like 'Proteinurie%' then cast(span_start + 12 as string) || ' ' || cast(span_end as string) || ';' ||
                cast(span_start as string) || ' ' || cast(span_start + 11 as string)
              else cast(span_start as string) || ' ' || cast(span_end as string) end || chr(9) ||
-             case when n = 5 then substr(term, 13) || ' ' || substr(term, 1, 11) else term end as line
+             case when n = 5 and term like 'Proteinurie%' then substr(term, 13) || ' ' || substr(term, 1, 11) else term end as line
            from (select *, cast(cast(floor(span_start / 40) as bigint) as string) as i, cast(floor(span_start / 1000000) as int) as n from mention) m
            union all
            select source, case n when 1 then 'A' || i || chr(9) || 'Negation T' || i || ' Neg'
