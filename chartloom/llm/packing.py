@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from chartloom.llm.tables import stored
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers: the first ones it meets, which hold the frequent ones.
+REMEMBERED = 250_000
 _UNEVEN = re.compile(r"\s\s|[^\S \n]")
 
 
@@ -48,9 +49,18 @@ class Encoder:
     """Ids of texts by a byte-level tokenizer, with the ids of words remembered.
 
     The tokenizer never joins what a single space separates, so a text without neighbouring white
-    space is encoded word by word; any other text is given to the tokenizer whole.
+    space is encoded word by word; any other text is given to the tokenizer whole. A worker keeps
+    one encoder for all its tasks.
     """
 
+    _own: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -62,10 +72,19 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a space, encoded as one text and cut where the words begin."""
+        text = " " + " ".join(words)
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = np.array([end for _, end in found.offsets], np.int64)
+        stops = np.cumsum([len(w) + 1 for w in words])
+        cuts = np.concatenate([[0], np.searchsorted(ends, stops, side="right")])
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         parts, whole = [], []
         for k, text in enumerate(texts):
             if text.startswith(" ") or _UNEVEN.search(text):
@@ -77,9 +96,17 @@ class Encoder:
                 parts.append(["\t" + first, *rest] if first else rest)
         new = {w for p in parts if p for w in p if w not in self.known}
         if new:
-            words = list(new)
-            self.known.update(zip(words, self._encode([w[1:] if w[:1] == "\t" else " " + w for w in words])))
-        known = self.known
+            words = [w for w in new if w and w[0] != "\t"]
+            alone = [w for w in new if not w or w[0] == "\t"]
+            encoded = dict(zip(words, self._encode_words(words))) if words else {}
+            encoded.update(zip(alone, self._encode([w[1:] or " " for w in alone])))
+            if len(self.known) < REMEMBERED:
+                self.known.update(encoded)
+                known = self.known
+            else:
+                known = ChainMap(encoded, self.known)
+        else:
+            known = self.known
         out = [b"" if p is None else b"".join([known[w] for w in p]) for p in parts]
         for k, data in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
             out[k] = data
@@ -94,7 +121,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
