@@ -7,8 +7,8 @@ best segmentations in order, and no other path is completed.
 
 No piece holds a space behind another character, so a text is cut before each space and its N best
 segmentations are those of its words put together: the best is the best of each word, the others
-differ from it in the words where that costs least. Words are remembered, so a word is searched once
-per worker however often it occurs.
+differ from it in the words where that costs least. The forward pass tells how much that is for
+every word (words are remembered); the search runs for the N - 1 words where it is least.
 
 The vocabulary ranks its pieces (a piece's score is its negative rank); Zipf's law makes ranks into
 log probabilities. Characters without a piece are spelt in byte pieces.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BEST = 4
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 def vocabulary() -> str:
@@ -58,22 +58,52 @@ class Pieces:
         self.text = {i: p for p, (i, _) in self.number.items()}
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
-        self.longest = max(map(len, self.number))
+        #: Beginnings of pieces: where a text leaves them, no longer piece matches.
+        self.begin = {p[:k] for p in self.number for k in range(1, len(p) + 1)}
         #: Of one byte, below any piece.
         self.spelt = min(s for _, s in self.number.values()) - 10
 
     def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end in ``word`` the arcs that reach it: start, pieces, score."""
         out: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(word) + 1)]
-        for a in range(len(word)):
-            for b in range(a + 1, min(len(word), a + self.longest) + 1):
-                if (found := self.number.get(word[a:b])) is not None:
-                    out[b].append((a, (found[0],), found[1]))
-                elif b == a + 1:
-                    spelt = tuple(self.byte[x] for x in word[a:b].encode("utf-8", "surrogatepass"))
-                    out[b].append((a, spelt, self.spelt * len(spelt)))
+        begin, number, size = self.begin, self.number, len(word)
+        for a in range(size):
+            if word[a] not in number:
+                spelt = tuple(self.byte[x] for x in word[a].encode("utf-8", "surrogatepass"))
+                out[a + 1].append((a, spelt, self.spelt * len(spelt)))
+            b = a + 1
+            while b <= size and (part := word[a:b]) in begin:
+                if part in number:
+                    i, s = number[part]
+                    out[b].append((a, (i,), s))
+                b += 1
         return out
 
+    def best(self, word: str) -> tuple[list[int], float, float]:
+        """Pieces and score of the best segmentation, and its lead over the next: one forward pass."""
+        arcs = self.arcs(word)
+        first, second, way = [0.0], [-math.inf], [None]
+        for b in range(1, len(arcs)):
+            one = two = -math.inf
+            by = None
+            for arc in arcs[b]:
+                a, _, s = arc
+                if (v := first[a] + s) > one:
+                    one, two, by = v, one, arc
+                elif v > two:
+                    two = v
+                if (v := second[a] + s) > two:
+                    two = v
+            first.append(one)
+            second.append(two)
+            way.append(by)
+        at, pieces = len(word), []
+        while at:
+            a, p, _ = way[at]
+            pieces[:0] = p
+            at = a
+        return pieces, first[-1], first[-1] - second[-1]
+
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of ``word``: score and pieces."""
         arcs = self.arcs(word)
@@ -116,49 +146,53 @@ def words_of(text: str) -> list[str]:
 
 
 class Segmenter:
-    """Segmentations of texts, with those of words remembered."""
+    """Segmentations of texts, with the best one of words and its lead over the next remembered.
+
+    A worker keeps one segmenter for all its tasks; it remembers the first words it meets, which
+    hold the frequent ones.
+    """
+
+    _own: dict[tuple[str, int], Segmenter] = {}
+
+    @classmethod
+    def of(cls, path: str, n: int) -> Segmenter:
+        if (path, n) not in cls._own:
+            cls._own[path, n] = cls(path, n)
+        return cls._own[path, n]
 
     def __init__(self, path: str, n: int):
         self.pieces, self.n = Pieces(path), n
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.found: list[list[tuple[float, tuple[int, ...]]]] = []
-        self.best: list[bytes] = []
-        self.score: list[float] = []
-        self.gap: list[float] = []
-
-    def _number(self, word: str) -> int:
-        found = self.pieces.n_best(word, self.n)
-        self.found.append(found)
-        self.best.append(np.array(found[0][1], "<u4").tobytes())
-        self.score.append(found[0][0])
-        self.gap.append(found[0][0] - found[1][0] if len(found) > 1 else math.inf)
-        self.number[word] = len(self.number)
-        return self.number[word]
+        self.known: dict[str, tuple[bytes, float, float]] = {}
+
+    def _best(self, word: str) -> tuple[bytes, float, float]:
+        """Pieces, score and lead of the best segmentation of a word."""
+        pieces, score, lead = self.pieces.best(word)
+        out = np.array(pieces, "<u4").tobytes(), score, lead
+        if len(self.known) < REMEMBERED:
+            self.known[word] = out
+        return out
 
     def segment(self, text: str) -> tuple[bytes, list[float], list[list[int]]]:
         """Pieces of the best segmentation, the scores of the N best, and where they differ from the best.
 
         A difference is a list of (word, choice) flattened; it says the rest of the segmentation.
         """
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        known = self.number
-        words = [known[w] if w in known else self._number(w) for w in words_of(text)]
+        known, words = self.known, words_of(text)
         if not words:
             return b"", [0.0], [[]]
-        data = b"".join([self.best[k] for k in words])
-        total = math.fsum([self.score[k] for k in words])
-        gaps = [self.gap[k] for k in words]
+        data, scores, gaps = zip(*[known[w] if w in known else self._best(w) for w in words])
+        total = math.fsum(scores)
         if len(gaps) > self.n:
-            places = np.argpartition(np.array(gaps), self.n - 1)[: self.n]
             # The n - 1 cheapest words to change are enough for n - 1 further segmentations.
-            places = sorted(places.tolist(), key=lambda i: (gaps[i], i))[: self.n - 1]
+            edge = np.partition(np.array(gaps), self.n - 2)[self.n - 2]
+            places = [i for i, g in enumerate(gaps) if g <= edge]
         else:
-            places = sorted(range(len(gaps)), key=lambda i: (gaps[i], i))[: self.n - 1]
-        lists = [[f[0] - self.found[words[i]][0][0] for f in self.found[words[i]]] for i in places]
+            places = list(range(len(gaps)))
+        places = sorted(places, key=lambda i: (gaps[i], i))[: max(1, self.n - 1)]
+        lists = []
+        for i in places:
+            found = [s for s, _ in self.pieces.n_best(words[i], self.n)]
+            lists.append([s - found[0] for s in found])
         heap, seen, out = [(0.0, (0,) * len(places))], set(), []
         while heap and len(out) < self.n:
             cost, choice = heapq.heappop(heap)
@@ -171,13 +205,12 @@ class Segmenter:
                     after = (*choice[:k], choice[k] + 1, *choice[k + 1 :])
                     heapq.heappush(heap, (-math.fsum(lists[j][c] for j, c in enumerate(after)), after))
         differ = [[x for i, c in zip(places, choice) if c for x in (i, c)] for _, choice in out]
-        return data, [total - cost for cost, _ in out], differ
+        return b"".join(data), [total - cost for cost, _ in out], differ
 
     def spelled(self, text: str, differ: list[int]) -> list[int]:
         """All piece numbers of one of a text's segmentations."""
         other = dict(zip(differ[::2], differ[1::2]))
-        words = [self.number[w] if w in self.number else self._number(w) for w in words_of(text)]
-        return [x for i, k in enumerate(words) for x in self.found[k][other.get(i, 0)][1]]
+        return [x for i, w in enumerate(words_of(text)) for x in self.pieces.n_best(w, other.get(i, 0) + 1)[-1][1]]
 
 
 def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, n: int = BEST, with_ids: bool = True) -> DataFrame:
@@ -189,7 +222,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(path, n)
+        segmenter = Segmenter.of(path, n)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
         names = ["doc_id", "n_chars", "n_pieces", "ids_crc32", "scores", "round_trip", "ids"]
         for batch in batches:
