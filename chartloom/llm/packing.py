@@ -19,9 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +32,8 @@ from chartloom.llm.tables import stored
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a worker remembers: the first ones it meets, which hold the frequent ones.
-REMEMBERED = 250_000
-_UNEVEN = re.compile(r"\s\s|[^\S \n]")
+#: Text on which the fast engine must agree with the tokenizer before it is used.
+PROBE = " it's  a\tprobe\n\nof 1234 words, é 漢字 🙂 we'll _see_ <|endoftext|>\r\n  END "
 
 
 def vocabulary() -> str:
@@ -46,11 +43,11 @@ def vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizer, with the ids of words remembered.
+    """Ids of texts by a byte-level BPE tokenizer; a worker keeps one for all its tasks.
 
-    The tokenizer never joins what a single space separates, so a text without neighbouring white
-    space is encoded word by word; any other text is given to the tokenizer whole. A worker keeps
-    one encoder for all its tasks.
+    The tokenizer's own vocabulary is handed to an engine that merges several times faster. It needs
+    ids in the order of the merges and the public pattern of words, as the default vocabulary has
+    them; if the two disagree on ``PROBE``, the tokenizer itself does all the work.
     """
 
     _own: dict[str, Encoder] = {}
@@ -66,51 +63,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that follow a space, encoded as one text and cut where the words begin."""
-        text = " " + " ".join(words)
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = np.array([end for _, end in found.offsets], np.int64)
-        stops = np.cumsum([len(w) + 1 for w in words])
-        cuts = np.concatenate([[0], np.searchsorted(ends, stops, side="right")])
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        self.engine = self._engine()
+
+    def _engine(self):
+        import public_tokenizers
+        import tiktoken
+
+        # Byte-level vocabularies write printable bytes as themselves, the others from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        value = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        vocabulary = {p: i for p, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in special}
+        if any(c not in value for p in vocabulary for c in p):
+            return None
+        ranks = {bytes(value[c] for c in p): i for p, i in vocabulary.items()}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        engine = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        same = engine.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
+        return engine if same else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        parts, whole = [], []
-        for k, text in enumerate(texts):
-            if text.startswith(" ") or _UNEVEN.search(text):
-                parts.append(None)
-                whole.append(k)
-            else:
-                first, *rest = text.split(" ")
-                # Only words after a space are remembered; a text's first word is marked by a tab.
-                parts.append(["\t" + first, *rest] if first else rest)
-        new = {w for p in parts if p for w in p if w not in self.known}
-        if new:
-            words = [w for w in new if w and w[0] != "\t"]
-            alone = [w for w in new if not w or w[0] == "\t"]
-            encoded = dict(zip(words, self._encode_words(words))) if words else {}
-            encoded.update(zip(alone, self._encode([w[1:] or " " for w in alone])))
-            if len(self.known) < REMEMBERED:
-                self.known.update(encoded)
-                known = self.known
-            else:
-                known = ChainMap(encoded, self.known)
+        if self.engine:
+            found = [self.engine.encode_ordinary(t) for t in texts]
         else:
-            known = self.known
-        out = [b"" if p is None else b"".join([known[w] for w in p]) for p in parts]
-        for k, data in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
-            out[k] = data
-        return out
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(i, "<u4").tobytes() for i in found]
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
