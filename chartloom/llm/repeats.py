@@ -15,7 +15,7 @@ distinct phrases with different triggers can't be equal, so nothing else is comp
 
 Spread. A batch of documents settles what it repeats itself and sends each distinct phrase once, so
 a passage in a third of all documents sends one row per batch, not one per document. Rows are
-blocks of numbers for a bucket of triggers; the answers are blocks for a shard of documents. Texts
+blocks of numbers for a bucket of triggers; the answers are blocks for a group of documents. Texts
 are moved twice, compressed, to meet their answers; nothing is collected.
 
 Cases: null counts as empty; texts below ``SPAN`` bytes lose nothing; very long texts are parsed in
@@ -37,18 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import bytesets
-from chartloom.llm.blocks import keyed, keys_of, read, steps, write
+from chartloom.llm.blocks import group_count, group_of, keyed, keys_of, read, steps, write
 from chartloom.llm.tables import fresh, stored
 
 SPAN = 50
 GRAM = 20
-#: Documents per shard of answers, by key.
-SHARD = 256
 #: Buckets of triggers per shuffle partition; a task holds one bucket at a time.
 BUCKETS_PER_PARTITION = 16
 _U = np.uint64
 _V_BYTES, _H_BYTES = 5, 6
 _FULL, _RIM = 0, 1
+#: Answers that a task holds before it sends them.
+_HELD = 300_000
 
 
 def phrases(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,12 +111,16 @@ def _groups(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _answers(keys: np.ndarray, start: np.ndarray, length: np.ndarray, kind: int, trigger: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows (shard, kind, payload) that carry phrases or strings back to their documents."""
-    order = np.argsort(keys, kind="stable")
-    keys, start, length = keys[order], start[order], length[order]
+#: What is to be said of phrases or strings: keys, starts, lengths and, for rims, triggers.
+_Found = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
+
+
+def _answers(kind: int, keys: np.ndarray, start: np.ndarray, length: np.ndarray, trigger: np.ndarray | None, groups: int) -> pa.RecordBatch:
+    """Rows (shard, kind, payload) that carry phrases or strings back to their documents' groups."""
+    shard = group_of(keys, groups)
+    order = np.lexsort((keys, shard))
+    keys, start, length, shard = keys[order], start[order], length[order], shard[order]
     trigger = trigger[order] if trigger is not None else None
-    shard = keys // SHARD
     cuts = np.flatnonzero(_groups(shard)) if len(keys) else np.zeros(0, np.int64)
     stops = np.append(cuts[1:], len(keys)) if len(cuts) else cuts
     data = []
@@ -132,7 +136,15 @@ def _answers(keys: np.ndarray, start: np.ndarray, length: np.ndarray, kind: int,
 _ANSWER = "shard long, kind int, payload binary"
 
 
-def _first_round(docs: DataFrame, buckets: int) -> DataFrame:
+def _sent(found: list[_Found], groups: int) -> Iterator[pa.RecordBatch]:
+    """All that a task has found, one block per kind and group."""
+    for kind in (_FULL, _RIM):
+        parts = [f[1:] for f in found if f[0] == kind and len(f[1])]
+        if parts:
+            yield _answers(kind, *(np.concatenate(c) if c[0] is not None else None for c in zip(*parts)), groups)
+
+
+def _first_round(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     """Phrases of batches by bucket of triggers (kind < 0), and what a batch settled itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +160,7 @@ def _first_round(docs: DataFrame, buckets: int) -> DataFrame:
             first = keys[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             later = np.zeros(len(keys), bool)
             later[order] = keys[order] > first
-            yield _tagged(_answers(keys[later], start[later], length[later], _FULL), -1)
+            yield _tagged(_answers(_FULL, keys[later], start[later], length[later], None, groups))
             bucket = ((trigger >> _U(40)) * _U(buckets)) >> _U(24)
             send = np.flatnonzero(~later)
             send = send[np.lexsort((keys[send], bucket[send]))]
@@ -169,17 +181,21 @@ def _first_round(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "bucket long, " + _ANSWER)
 
 
-def _tagged(batch: pa.RecordBatch, bucket: int) -> pa.RecordBatch:
+def _tagged(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Answers that pass through a round of buckets, dealt out by their shard."""
     away = pa.array(np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64) * 2 + (1 << 40))
     return pa.RecordBatch.from_arrays([away, *batch.columns], ["bucket", "shard", "kind", "payload"])
 
 
-def _by_bucket(rows: DataFrame, settle) -> DataFrame:
-    """``settle(list of payloads) -> answers`` for each bucket; answers pass."""
+def _by_bucket(rows: DataFrame, settle, groups: int) -> DataFrame:
+    """``settle(list of payloads) -> what it finds`` for each bucket; answers pass.
+
+    What a task finds in its buckets is sent together, so there are as many rows as groups, not
+    as many as documents times buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held, now, found = [], None, []
         for batch in batches:
             kinds = batch.column(2).to_numpy(zero_copy_only=False)
             done = np.flatnonzero(kinds >= 0)
@@ -188,17 +204,21 @@ def _by_bucket(rows: DataFrame, settle) -> DataFrame:
             for k in np.flatnonzero(kinds < 0):
                 bucket = batch.column(0)[int(k)].as_py()
                 if bucket != now and held:
-                    yield from settle(held)
+                    found += settle(held)
                     held = []
+                    if sum(len(f[1]) for f in found) > _HELD:
+                        yield from _sent(found, groups)
+                        found = []
                 now = bucket
                 held.append(batch.column(3)[int(k)].as_py())
         if held:
-            yield from settle(held)
+            found += settle(held)
+        yield from _sent(found, groups)
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ANSWER)
 
 
-def _settle_phrases(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _settle_phrases(payloads: list[bytes]) -> list[_Found]:
     """Phrases with an earlier equal one are repeats; first ones that share a trigger need their strings."""
     parts = [read(p, [_V_BYTES, _H_BYTES, 8, 8, 8])[0] for p in payloads]
     trigger, content, start, length = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3, 4))
@@ -213,11 +233,10 @@ def _settle_phrases(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(by_trigger) - 1
     several = (np.add.reduceat(by_content.astype(np.int64), at) > 1) & (np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at))
     rim = ~later & several[group]
-    yield _answers(keys[later], start[later], length[later], _FULL)
-    yield _answers(keys[rim], start[rim], length[rim], _RIM, trigger[rim])
+    return [(_FULL, keys[later], start[later], length[later], None), (_RIM, keys[rim], start[rim], length[rim], trigger[rim])]
 
 
-def _settle_strings(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _settle_strings(payloads: list[bytes]) -> list[_Found]:
     """Each string of the given phrases that an earlier document has under the same trigger."""
     keys, start, trigger, found = [], [], [], []
     for p in payloads:
@@ -243,11 +262,12 @@ def _settle_strings(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
     run = np.ones(len(hit), bool)
     run[1:] = (keys[1:] != keys[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(run)
-    yield _answers(keys[at], start[at], np.diff(np.append(at, len(hit))), _FULL)
+    return [(_FULL, keys[at], start[at], np.diff(np.append(at, len(hit))), None)]
 
 
 def _with_answers(docs: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
-    """``work(doc rows, answers of their shard)`` for each shard of documents, texts compressed on the way."""
+    """``work(doc rows, answers of their group)`` for each group of documents, texts compressed on the way."""
+    groups = group_count(docs.sparkSession)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
@@ -256,7 +276,7 @@ def _with_answers(docs: DataFrame, answers: DataFrame, work, schema: str) -> Dat
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             data = [c.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys // SHARD), pa.array(np.full(n, 2, np.int32)), pa.array(data, pa.binary()), batch.column(0), batch.column(2)],
+                [pa.array(group_of(keys, groups)), pa.array(np.full(n, 2, np.int32)), pa.array(data, pa.binary()), batch.column(0), batch.column(2)],
                 ["shard", "kind", "payload", "key", "id"],
             )
 
@@ -292,7 +312,7 @@ def _with_answers(docs: DataFrame, answers: DataFrame, work, schema: str) -> Dat
 
 
 def _sorted_answers(own: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """The answers of a shard, ordered by document."""
+    """The answers of a group, ordered by document."""
     out = {}
     for kind in (_FULL, _RIM):
         parts = [read(p, [8, 8, 8] + [8] * (kind == _RIM))[0] for k, p in own if k == kind]
@@ -346,8 +366,9 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept_te
     spark = docs.sparkSession
     rows = keyed(docs, doc_id, text)
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = stored(_by_bucket(_first_round(rows, buckets), _settle_phrases), "phrases")
-    rims = stored(_by_bucket(_rim_strings(rows, whole, buckets), _settle_strings), "strings")
+    groups = group_count(spark)
+    whole = stored(_by_bucket(_first_round(rows, buckets, groups), _settle_phrases, groups), "phrases")
+    rims = stored(_by_bucket(_rim_strings(rows, whole, buckets), _settle_strings, groups), "strings")
 
     def work(held, own) -> pa.RecordBatch:
         out = []
