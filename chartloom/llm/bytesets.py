@@ -21,7 +21,7 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of texts worked on at a time; one longer text is a slice of its own.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 

@@ -49,6 +49,7 @@ _V_BYTES, _H_BYTES = 5, 6
 _FULL, _RIM = 0, 1
 #: Answers that a task holds before it sends them.
 _HELD = 300_000
+_BATCH = 8 << 20
 
 
 def phrases(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +106,13 @@ def _parse(raw: np.ndarray, offsets: np.ndarray):
     return [np.concatenate(c) for c in zip(*out)] if out else None
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``_BATCH`` bytes of text, which bounds what a task holds."""
+    for batch in batches:
+        for i, j in bytesets.slices(bytesets.text_bytes(batch.column(1))[1], _BATCH):
+            yield batch.slice(i, j - i)
+
+
 def _groups(*sorted_columns: np.ndarray) -> np.ndarray:
     new = np.ones(len(sorted_columns[0]), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
@@ -148,7 +156,7 @@ def _first_round(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     """Phrases of batches by bucket of triggers (kind < 0), and what a batch settled itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             raw, offsets = bytesets.text_bytes(batch.column(1))
             found = _parse(raw, offsets)
             if found is None:
@@ -301,7 +309,7 @@ def _with_answers(docs: DataFrame, answers: DataFrame, work, schema: str) -> Dat
                     own = _sorted_answers(own)
                 held.append((key, doc, d.decompress(payload)))
                 size += len(held[-1][2])
-                if size > 4 * bytesets.SLICE:
+                if size > 2 << 20:
                     yield work(held, own)
                     held, size = [], 0
             if held:
