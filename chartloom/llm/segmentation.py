@@ -210,7 +210,13 @@ class Segmenter:
     def spelled(self, text: str, differ: list[int]) -> list[int]:
         """All piece numbers of one of a text's segmentations."""
         other = dict(zip(differ[::2], differ[1::2]))
-        return [x for i, w in enumerate(words_of(text)) for x in self.pieces.n_best(w, other.get(i, 0) + 1)[-1][1]]
+        out: list[int] = []
+        for i, w in enumerate(words_of(text)):
+            if i in other:
+                out += self.pieces.n_best(w, other[i] + 1)[-1][1]
+            else:
+                out += np.frombuffer((self.known.get(w) or self._best(w))[0], "<u4").tolist()
+        return out
 
 
 def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, n: int = BEST, with_ids: bool = True) -> DataFrame:
@@ -234,7 +240,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
                     data, scores, differ = segmenter.segment(value)
                     numbers = np.frombuffer(data, "<u4").tolist()
                     row = [doc, len(value), len(numbers), zlib.crc32(data), scores, segmenter.pieces.decode(numbers) == value]
-                    rows.append(row + [[segmenter.spelled(value, d) for d in differ]] * with_ids)
+                    rows.append([*row, [segmenter.spelled(value, d) for d in differ]] if with_ids else row)
                 width = len(names) - (not with_ids)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)][:width], names[:width])
