@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BEST = 4
-REMEMBERED = 300_000
+#: Words a worker remembers, some 300 bytes each.
+REMEMBERED = 1_000_000
 
 
 def vocabulary() -> str:
