@@ -7,20 +7,24 @@ documents that aren't held out; nothing it gathers is capped.
 * Level 2, a word after the word before it (or after the start of a text):
   P(w | h) = (c(h, w) + m(h) P1(w)) / (c(h) + m(h)), a proper distribution. m(h), how many
   different words h should have been followed by, is read off the corpus's own growth of vocabulary:
-  m(h) = a c(h)^b through the mean document and the whole corpus. Contexts are the ``COMMON`` most
-  frequent tokens and the start; after a rarer word the first level speaks alone.
+  m(h) = a c(h)^b through the mean document and the whole corpus. Every training token is a
+  context, and so is the start; after a word never seen the first level speaks alone.
 
 The trie is cut into shards by a hash of the words. A shard holds, as Elias-Fano coded monotone
-sequences, its words, the pointers from each word to its contexts, and the contexts relative to the
-word's rank, so a successor search finds a pair; and the probabilities, quantised to 16 bits. Shards
-are memory-mapped files while a task queries them.
+sequences, its words, its contexts (64-bit hashes both), the pointers from each word to its contexts,
+and the contexts' ranks relative to the word's rank, so a successor search finds a pair; and the
+probabilities, quantised to 16 bits. Shards are memory-mapped files while a task queries them.
 
-Spread. Two shuffles and a small one. Vocabulary counts are added up per batch first. Then every
-token that needs a shard goes to it with a reference to its document; training tokens build the
-shard there, all tokens query it, and sums per document and shard come back. Tokens of a common
-word are spread by the pair, so a very common word isn't one task's work; a common word after a
-rare one is scored where it is read. The only table every task gets is that of the ``COMMON``
-tokens: at most 64 Ki numbers, whatever the corpus.
+Spread. Vocabulary counts are added up per batch first. Then every token goes, with a reference to
+its document, to the shards that know the counts it needs; training tokens build a shard there, all
+tokens query it, and sums per document and shard come back. The ``COMMON`` most frequent tokens and
+their counts are known to every task (at most 64 Ki numbers, whatever the corpus); they only decide
+the way, so that no frequent word or context is one task's work:
+
+* a common word after a common context: the shard of the pair;
+* a common word after a rarer one: the shard of the context, which counts it;
+* a rarer word after a common context: the shard of the word, which counts it;
+* a rarer word after a rarer one: the shard of the context, and with its count on to that of the word.
 
 Cases: null counts as empty, and the empty text is one end; a null id is never held out; rows that
 repeat an id are documents of their own, and so are equal rows; without training documents every
@@ -45,9 +49,13 @@ from chartloom.llm.tables import remainder, stored
 
 COMMON = 65_534
 START, NONE = 65_534, 65_535
+#: The start as a context among hashes.
+BEGIN = np.uint64(0x57A7)
 END = np.uint64(0xE7D5)
 BUCKETS_PER_PARTITION = 2
 QUANTA = 4096
+#: Rows a task gathers before it sends them on.
+GATHERED = 500_000
 _U = np.uint64
 
 
@@ -121,17 +129,19 @@ class Trie:
     def coded(words: np.ndarray, counts: np.ndarray, pointers: np.ndarray, contexts: np.ndarray, logs: np.ndarray) -> bytes:
         """``contexts`` are ordered under their words; ``pointers`` has one more entry than ``words``."""
         rank = np.repeat(np.arange(len(words)), np.diff(pointers)).astype(_U)
-        parts = [EliasFano.coded(words), EliasFano.coded(pointers.astype(_U)), EliasFano.coded((rank << _U(16)) | contexts.astype(_U))]
+        distinct, place = np.unique(contexts, return_inverse=True)
+        pairs = (rank << _U(32)) | place.astype(_U)
+        parts = [EliasFano.coded(x) for x in (words, distinct, pointers.astype(_U), pairs)]
         quanta = np.clip(np.round(-logs * QUANTA), 0, 65535).astype("<u2")
         data = [p + bytes(-len(p) % 8) for p in (*parts, counts.astype("<u8").tobytes(), quanta.tobytes())]
         return np.array([len(d) for d in data], "<u8").tobytes() + b"".join(data)
 
     def __init__(self, data: np.ndarray):
-        sizes = data[:40].view("<u8").astype(np.int64)
-        at = 40 + np.cumsum(sizes) - sizes
-        self.words, self.pointers, self.pairs = (EliasFano(data, int(a)) for a in at[:3])
-        self.counts = data[at[3] : at[3] + 8 * self.words.n].view("<u8")
-        self.quanta = data[at[4] : at[4] + 2 * self.pairs.n].view("<u2")
+        sizes = data[:48].view("<u8").astype(np.int64)
+        at = 48 + np.cumsum(sizes) - sizes
+        self.words, self.contexts, self.pointers, self.pairs = (EliasFano(data, int(a)) for a in at[:4])
+        self.counts = data[at[4] : at[4] + 8 * self.words.n].view("<u8")
+        self.quanta = data[at[5] : at[5] + 2 * self.pairs.n].view("<u2")
 
     @staticmethod
     def mapped(data: bytes) -> Trie:
@@ -151,9 +161,9 @@ class Trie:
     def log(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """log10 P(word | context) where the pair was seen, else nan."""
         out = np.full(len(words), np.nan)
-        k = self.words.find(words)
-        known = np.flatnonzero(k >= 0)
-        place = self.pairs.find((k[known].astype(_U) << _U(16)) | contexts[known].astype(_U))
+        k, c = self.words.find(words), self.contexts.find(contexts)
+        known = np.flatnonzero((k >= 0) & (c >= 0))
+        place = self.pairs.find((k[known].astype(_U) << _U(32)) | c[known].astype(_U))
         seen = place >= 0
         out[known[seen]] = self.quanta[place[seen]] / -float(QUANTA)
         return out
@@ -174,7 +184,10 @@ class Common:
         self.context = np.zeros(65_536)
         self.context[: len(hashes)] = self.counts
         self.context[START] = documents
-        self.prior = np.maximum(self.times * self.context**self.power, 1e-9)
+        #: Context as a hash, by code.
+        self.marks = np.zeros(65_536, _U)
+        self.marks[: len(hashes)] = self.hashes
+        self.marks[START] = BEGIN
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
         """Place among the common tokens, or NONE."""
@@ -188,8 +201,13 @@ class Common:
         return (counts + 1) / (self.n + self.v + 1)
 
     def after(self, counts: np.ndarray, pairs: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        c, m = self.context[contexts], self.prior[contexts]
-        return np.where(contexts == NONE, self.alone(counts), (pairs + m * self.alone(counts)) / (c + m))
+        """P of tokens with these counts, seen ``pairs`` times after the contexts of these codes."""
+        return self.given(counts, pairs, self.context[contexts])
+
+    def given(self, counts: np.ndarray, pairs: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The same after contexts counted ``c`` times; after one never seen it is P1."""
+        m = np.maximum(self.times * np.asarray(c, float) ** self.power, 1e-9)
+        return (pairs + m * self.alone(counts)) / (c + m)
 
 
 def _token_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -285,8 +303,16 @@ def _sums(keys: np.ndarray, rows: np.ndarray, tokens: np.ndarray, known: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), -1)), pa.array(shard[cuts]), pa.array(data, pa.binary())], ["bucket", "shard", "payload"])
 
 
+#: Kinds of tokens; ``COUNTED`` are rare words after a rare context, with its count.
+RARE, PAIR, AFTER_RARE, COUNTED = range(4)
+
+
 def _references(docs: DataFrame, held: str, shared, buckets: int, groups: int) -> DataFrame:  # noqa: ANN001
-    """Tokens by bucket of the trie, and what a task can score itself as sums per document."""
+    """Tokens by bucket of the trie, and what a task knows itself as sums per document.
+
+    ``bucket`` holds the kind of its tokens in the two low bits: ``RARE`` words after common
+    contexts, ``PAIR``s of common ones, any words ``AFTER_RARE`` contexts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
@@ -304,31 +330,34 @@ def _references(docs: DataFrame, held: str, shared, buckets: int, groups: int) -
                 context[ahead[:-1]] = START
                 often = code != NONE
                 n = np.where(often, common.counts[np.where(often, code, 0)] if len(common.counts) else 0, 0)
-                here = often & (context == NONE)
                 base = np.where(often, np.log10(common.alone(n)), 0)
                 within = lambda x, a=ahead: np.diff(np.concatenate([[0], np.cumsum(x)])[a])
                 ones = np.ones(j - i)
-                yield _sums(key[i:j], ones, sizes, within(often.astype(float)), within(base), within(np.where(here, base, 0)), groups)
-                send = np.flatnonzero(~here)
-                spread = np.where(often[send], bytesets.mix(tokens[send] ^ (context[send].astype(_U) << _U(20))), tokens[send])
-                bucket = _bucket(spread, buckets)
-                kind = bucket * 2 + often[send]
-                by = np.argsort(kind, kind="stable")
-                send, kind = send[by], kind[by]
+                yield _sums(key[i:j], ones, sizes, within(often.astype(float)), within(base), np.zeros(j - i), groups)
+                before = np.empty_like(tokens)
+                before[1:] = tokens[:-1]
+                before[ahead[:-1]] = BEGIN
+                after_rare = context == NONE
+                spread = np.where(often, bytesets.mix(tokens ^ (context.astype(_U) << _U(20))), tokens)
+                bucket = _bucket(np.where(after_rare, before, spread), buckets)
+                kind = bucket * 4 + np.where(after_rare, AFTER_RARE, np.where(often, PAIR, RARE))
+                send = np.argsort(kind, kind="stable")
+                kind = kind[send]
                 cuts = np.flatnonzero(np.diff(kind, prepend=-1))
                 data = []
                 for a, b in zip(cuts, np.append(cuts[1:], len(kind))):
                     s = send[a:b]
-                    word = (code[s].astype(_U), 2) if kind[a] & 1 else (tokens[s], 8)
+                    word = (code[s].astype(_U), 2) if kind[a] & 3 == PAIR else (tokens[s], 8)
+                    past = (before[s], 8) if kind[a] & 3 == AFTER_RARE else (context[s].astype(_U), 2)
                     flag = out[owner[s]].astype(_U)
-                    data.append(write([word, (context[s].astype(_U), 2), (steps(key[owner[s]]), 8), (flag, 1)]))
+                    data.append(write([word, past, (steps(key[owner[s]]), 8), (flag, 1)]))
                 yield pa.RecordBatch.from_arrays([pa.array(kind[cuts].astype(np.int64)), pa.array(np.zeros(len(cuts), np.int64)), pa.array(data, pa.binary())], ["bucket", "shard", "payload"])
 
     return docs.select("key", "text", held).mapInArrow(run, "bucket long, shard long, payload binary")
 
 
-def _built(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray | None, common: Common) -> bytes:
-    """A shard from the training tokens of a bucket; ``counts``: of the words, where they aren't all here."""
+def _built(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray | None, seen: np.ndarray, common: Common) -> bytes:
+    """A shard from training tokens; ``counts``: of the words, where they aren't all here; ``seen``: of the contexts."""
     order = np.lexsort((contexts, words))
     words, contexts = words[order], contexts[order]
     new_word = np.ones(len(words), bool)
@@ -339,29 +368,88 @@ def _built(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray | None, c
     new_pair[1:] |= contexts[1:] != contexts[:-1]
     pair = np.flatnonzero(new_pair)
     n_pair = np.diff(np.append(pair, len(words)))
-    kept = contexts[pair] != NONE
     rank = np.cumsum(new_word)[pair] - 1
-    pair, n_pair, rank = pair[kept], n_pair[kept], rank[kept]
     pointers = np.searchsorted(rank, np.arange(len(at) + 1))
-    logs = np.log10(common.after(n_word[rank], n_pair, contexts[pair]))
+    logs = np.log10(common.given(n_word[rank], n_pair, seen[order][pair]))
     return Trie.coded(words[at], n_word, pointers, contexts[pair], logs)
 
 
-def _answered(payloads: list[bytes], often: bool, common: Common, groups: int) -> pa.RecordBatch:
-    parts = [read(p, [2 if often else 8, 2, 8, 1])[0] for p in payloads]
-    word, context, held = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
-    key = np.concatenate([keys_of(p[2]) for p in parts])
-    context, train = context.astype(np.int64), held == 0
-    if often:
-        code = word.astype(np.int64)
-        word, n = common.hashes[code], common.counts[code]
-    trie = Trie.mapped(_built(word[train], context[train], n[train] if often else None, common))
-    if not often:
+def _scores(word, context, n, seen, train, common: Common) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Counts and log10 P of a bucket's tokens under the shard that its training tokens make; ``n`` None: counted here."""
+    trie = Trie.mapped(_built(word[train], context[train], None if n is None else n[train], seen[train], common))
+    if n is None:
         n = trie.count(word)
     log = trie.log(word, context)
-    score = np.where(np.isnan(log), np.log10(common.after(n, np.zeros(len(n)), context)), log)
-    zero = np.zeros(len(n))
-    return _sums(key, zero, zero, zero if often else (n > 0).astype(float), zero if often else np.log10(common.alone(n)), score, groups)
+    return n, np.where(np.isnan(log), np.log10(common.given(n, np.zeros(len(n)), seen)), log)
+
+
+def _joined(payloads: list[bytes], widths: list[int]) -> list[np.ndarray]:
+    """The columns of blocks; the last but one holds keys."""
+    parts = [read(p, widths)[0] for p in payloads]
+    columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, _U) for k in range(len(widths))]
+    columns[-2] = np.concatenate([keys_of(p[-2]) for p in parts]) if parts else np.zeros(0, np.int64)
+    return columns
+
+
+class _Answers:
+    """What a task has found out, gathered over its buckets: fewer and larger blocks than one a bucket."""
+
+    def __init__(self, common: Common, buckets: int, groups: int):
+        self.common, self.buckets, self.groups = common, buckets, groups
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        self.sent: list[list[np.ndarray]] = []
+
+    def _add(self, key: np.ndarray, score: np.ndarray) -> None:
+        found, which = np.unique(key, return_inverse=True)
+        self.sums.append((found, np.bincount(which, weights=score, minlength=len(found))))
+
+    def pairs(self, payloads: list[bytes]) -> None:
+        common = self.common
+        word, context, key, held = _joined(payloads, [2, 2, 8, 1])
+        word, context = word.astype(np.int64), context.astype(np.int64)
+        self._add(key, _scores(common.hashes[word], common.marks[context], common.counts[word], common.context[context], held == 0, common)[1])
+
+    def contexts(self, payloads: list[bytes]) -> None:
+        """Scores of the common words after rare contexts; the other words go on, with their context's count."""
+        word, context, key, held = _joined(payloads, [8, 8, 8, 1])
+        which = np.unique(context, return_inverse=True)[1]
+        # Each token but an end is followed by one: what follows a context counts it.
+        seen = np.bincount(which, weights=held == 0)[which]
+        code = self.common.code(word)
+        s = np.flatnonzero(code != NONE)
+        if len(s):
+            self._add(key[s], _scores(word[s], context[s], self.common.counts[code[s]], seen[s], held[s] == 0, self.common)[1])
+        s = np.flatnonzero(code == NONE)
+        if len(s):
+            self.sent.append([word[s], context[s], seen[s].astype(_U), key[s], held[s]])
+
+    def size(self) -> int:
+        return sum(len(x[0]) for x in (*self.sums, *self.sent))
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        if self.sums:
+            key, score = (np.concatenate(x) for x in zip(*self.sums))
+            zero = np.zeros(len(key))
+            yield _sums(key, zero, zero, zero, zero, score, self.groups)
+        if self.sent:
+            word, context, seen, key, held = (np.concatenate(x) for x in zip(*self.sent))
+            bucket = _bucket(word, self.buckets)
+            order = np.lexsort((key, bucket))
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            data = [write([(word[k], 8), (context[k], 8), (seen[k], 5), (steps(key[k]), 8), (held[k], 1)]) for k in np.split(order, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts] * 4 + COUNTED), pa.array(np.zeros(len(cuts), np.int64)), pa.array(data, pa.binary())], ["bucket", "shard", "payload"])
+        self.sums, self.sent = [], []
+
+
+def _words_answered(payloads: list[tuple[int, bytes]], common: Common, groups: int) -> pa.RecordBatch:
+    word, code, key, held = _joined([p for k, p in payloads if k == RARE], [8, 2, 8, 1])
+    code = code.astype(np.int64)
+    more, rare, counted, key_, held_ = _joined([p for k, p in payloads if k == COUNTED], [8, 8, 5, 8, 1])
+    word, key, held = np.concatenate([word, more]), np.concatenate([key, key_]), np.concatenate([held, held_])
+    context, seen = np.concatenate([common.marks[code], rare]), np.concatenate([common.context[code], counted.astype(float)])
+    n, score = _scores(word, context, None, seen, held == 0, common)
+    zero = np.zeros(len(key))
+    return _sums(key, zero, zero, (n > 0).astype(float), np.log10(common.alone(n)), score, groups)
 
 
 def scored(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,20 +465,45 @@ def scored(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text"
     common = common_tokens(counts)
     shared = spark.sparkContext.broadcast(common)  # at most COMMON rows and a few totals
 
+    def passed(bucket: int, shard: int, payload: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([shard], pa.int64()), pa.array([payload], pa.binary())], ["bucket", "shard", "payload"])
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_, now = [], None
+        held_, now, found = [], None, _Answers(shared.value, buckets, groups)
+
+        def done() -> None:
+            (found.pairs if now & 3 == PAIR else found.contexts)(held_)
+
         for batch in batches:
             for bucket, shard, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket == -1:
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([payload], pa.binary())], ["shard", "payload"])
+                if bucket == -1 or bucket & 3 == RARE:
+                    yield passed(bucket, shard, payload)
                     continue
                 if bucket != now and held_:
-                    yield _answered(held_, bool(now & 1), shared.value, groups).select(["shard", "payload"])
+                    done()
                     held_ = []
+                    if found.size() > GATHERED:
+                        yield from found.blocks()
                 now = bucket
                 held_.append(payload)
         if held_:
-            yield _answered(held_, bool(now & 1), shared.value, groups).select(["shard", "payload"])
+            done()
+        yield from found.blocks()
+
+    def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_, now = [], None
+        for batch in batches:
+            for bucket, shard, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket == -1:
+                    yield passed(bucket, shard, payload).select(["shard", "payload"])
+                    continue
+                if bucket >> 2 != now and held_:
+                    yield _words_answered(held_, shared.value, groups).select(["shard", "payload"])
+                    held_ = []
+                now = bucket >> 2
+                held_.append((bucket & 3, payload))
+        if held_:
+            yield _words_answered(held_, shared.value, groups).select(["shard", "payload"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_, now = [], None
@@ -418,8 +531,11 @@ def scored(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text"
 
     sent = _references(rows, "held", shared, buckets, groups)
     # Sums pass to any task; tokens of a bucket meet in one.
-    place = F.when(F.col("bucket") < 0, F.col("shard") * 2 + (1 << 40)).otherwise(F.col("bucket"))
-    back = sent.repartition(place).sortWithinPartitions("bucket").mapInArrow(answer, "shard long, payload binary")
+    place = F.when(F.col("bucket") < 0, F.col("shard") * 2 + (1 << 40))
+    known = sent.repartition(place.otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    known = known.mapInArrow(answer, "bucket long, shard long, payload binary")
+    back = known.repartition(place.otherwise(F.shiftright("bucket", 2))).sortWithinPartitions("bucket")
+    back = back.mapInArrow(answer_words, "shard long, payload binary")
     sums = back.repartition("shard").sortWithinPartitions("shard")
     sums = sums.mapInArrow(total, "_key long, n_tokens long, n_known long, base_score double, score double")
     return (
