@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import llm_brute as brute
-from chartloom.llm import ngram
+from chartloom.llm import line_join, ngram
 
 
 def test_every_token_is_a_context(spark, monkeypatch):
@@ -33,3 +34,13 @@ def test_every_token_is_a_context(spark, monkeypatch):
             assert got[i].score == pytest.approx(want[i], abs=len(ws) / ngram.QUANTA)
             assert got[i].base_score == pytest.approx(sum(math.log10(alone(w)) for w in ws), rel=1e-9)
             assert (got[i].n_tokens, got[i].n_known) == (len(ws), sum(one[w] > 0 for w in ws))
+
+
+def test_words_of_one_short_hash_differ(spark):
+    """Lines that differ in one word whose 32-bit hashes are equal aren't copies."""
+    numbers = spark.range(300_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("w"))
+    clash = numbers.groupBy(F.hash("w")).agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1").first().w
+    rest = "invoice to be paid by"
+    df = spark.createDataFrame([(k, f"{rest} {w}") for k, w in enumerate([*clash[:2], clash[0]])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_copies, r.n_similar) for r in line_join.line_counts(df).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (1, 0)}
