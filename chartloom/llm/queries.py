@@ -27,7 +27,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line or are similar to one."""
-    return line_join.line_counts(documents(spark, sf_dir))
+    return line_join.line_counts(documents(spark, sf_dir), least=1)
 
 
 @_query

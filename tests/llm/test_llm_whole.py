@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import llm_brute as brute
-from chartloom.llm import line_join, ngram
+from chartloom.llm import line_join, ngram, queries
 
 
 def test_every_token_is_a_context(spark, monkeypatch):
@@ -44,3 +44,13 @@ def test_words_of_one_short_hash_differ(spark):
     df = spark.createDataFrame([(k, f"{rest} {w}") for k, w in enumerate([*clash[:2], clash[0]])], "doc_id long, text string")
     got = {r.doc_id: (r.n_copies, r.n_similar) for r in line_join.line_counts(df).collect()}
     assert got == {0: (0, 0), 1: (0, 0), 2: (1, 0)}
+
+
+def test_short_lines_are_copies(spark, tmp_path):
+    """The registered query counts copies of lines of any length with a word."""
+    rows = [(0, "Read more\nown words of the first"), (1, "a a a a a a\nRead more"), (2, "more Read\n\na\none two three four"), (3, "Read less")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_copies, r.n_similar, r.n_removed) for r in queries.op2_line_join(spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0, 0, 0), 1: (2, 1, 0, 1), 2: (3, 2, 0, 2), 3: (1, 0, 0, 0)}
+    marks = brute.line_marks(rows, least=1)
+    assert all(got[i][1] == sum(c for c, _ in marks[i, t].values()) for i, t in rows)
