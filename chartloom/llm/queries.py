@@ -56,8 +56,8 @@ def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four best segmentations of every text: digest of the best, scores of all."""
-    return segmentation.encoded(documents(spark, sf_dir), with_ids=False)
+    """The four best segmentations of every text: pieces, scores, digests and decoding of all."""
+    return segmentation.encoded(documents(spark, sf_dir))
 
 
 @_query

@@ -210,28 +210,26 @@ class Segmenter:
 
     def spelled(self, text: str, differ: list[int]) -> list[int]:
         """All piece numbers of one of a text's segmentations."""
-        other = dict(zip(differ[::2], differ[1::2]))
-        out: list[int] = []
-        for i, w in enumerate(words_of(text)):
-            if i in other:
-                out += self.pieces.n_best(w, other[i] + 1)[-1][1]
-            else:
-                out += np.frombuffer((self.known.get(w) or self._best(w))[0], "<u4").tolist()
-        return out
+        words = words_of(text)
+        parts = [(self.known.get(w) or self._best(w))[0] for w in words]
+        for i, choice in zip(differ[::2], differ[1::2]):
+            parts[i] = np.array(self.pieces.n_best(words[i], choice + 1)[-1][1], "<u4").tobytes()
+        return np.frombuffer(b"".join(parts), "<u4").tolist()
 
 
 def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, n: int = BEST, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_chars, n_pieces, ids_crc32, scores, round_trip[, ids]): the N best segmentations.
+    """(doc_id, n_chars, n_pieces, ids_crc32, scores, round_trip, each_pieces, each_crc32[, ids]): the N best segmentations.
 
-    ``scores`` are their log probabilities in order, ``ids`` the pieces of each; ``round_trip`` says
-    that decoding the best gives the text again.
+    ``scores`` are their log probabilities in order, ``ids`` the pieces of each, ``each_pieces`` and
+    ``each_crc32`` their counts and digests; ``n_pieces`` and ``ids_crc32`` are those of the best.
+    ``round_trip`` says that decoding any of them gives the text again.
     """
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter.of(path, n)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
-        names = ["doc_id", "n_chars", "n_pieces", "ids_crc32", "scores", "round_trip", "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+        names = ["doc_id", "n_chars", "n_pieces", "ids_crc32", "scores", "round_trip", "each_pieces", "each_crc32", "ids"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -239,15 +237,17 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
                 for doc, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     value = value or ""
                     data, scores, differ = segmenter.segment(value)
-                    numbers = np.frombuffer(data, "<u4").tolist()
-                    row = [doc, len(value), len(numbers), zlib.crc32(data), scores, segmenter.pieces.decode(numbers) == value]
-                    rows.append([*row, [segmenter.spelled(value, d) for d in differ]] if with_ids else row)
+                    each = [np.frombuffer(data, "<u4").tolist(), *(segmenter.spelled(value, d) for d in differ[1:])]
+                    sums = [zlib.crc32(data), *(zlib.crc32(np.array(x, "<u4").tobytes()) for x in each[1:])]
+                    back = all(segmenter.pieces.decode(x) == value for x in each)
+                    row = [doc, len(value), len(each[0]), sums[0], scores, back, [len(x) for x in each], sums]
+                    rows.append([*row, each] if with_ids else row)
                 width = len(names) - (not with_ids)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)][:width], names[:width])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean"
+    schema = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean, each_pieces array<long>, each_crc32 array<long>"
     return slim.mapInArrow(run, schema + (", ids array<array<int>>" if with_ids else ""))
 
 

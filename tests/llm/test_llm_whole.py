@@ -2,13 +2,15 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import llm_brute as brute
-from chartloom.llm import line_join, ngram, queries
+from chartloom.llm import line_join, ngram, queries, segmentation
 
 
 def test_every_token_is_a_context(spark, monkeypatch):
@@ -54,3 +56,15 @@ def test_short_lines_are_copies(spark, tmp_path):
     assert got == {0: (2, 0, 0, 0), 1: (2, 1, 0, 1), 2: (3, 2, 0, 2), 3: (1, 0, 0, 0)}
     marks = brute.line_marks(rows, least=1)
     assert all(got[i][1] == sum(c for c, _ in marks[i, t].values()) for i, t in rows)
+
+
+def test_all_segmentations_are_given(spark, tmp_path):
+    """The registered query gives the pieces of each of the four best, different ones that all decode to the text."""
+    rows = [(0, "the thsteden of a house"), (1, "unbelievable 漢字"), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = segmentation.Pieces(segmentation.vocabulary())
+    for r in queries.op7_segmentation(spark, str(tmp_path)).collect():
+        assert len(r.ids) == len(r.scores) == len({tuple(x) for x in r.ids}) == (4 if r.doc_id < 2 else 1)
+        assert all(pieces.decode(x) == rows[r.doc_id][1] for x in r.ids) and r.round_trip
+        assert r.each_pieces == [len(x) for x in r.ids] and r.each_crc32 == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r.ids]
+        assert (r.n_pieces, r.ids_crc32) == (r.each_pieces[0], r.each_crc32[0])
