@@ -8,8 +8,8 @@ Definitions
 -----------
 * A line is a ``\\n``-separated part. In its normal form each run of digits and white space is one
   space, none at the ends; lines with an empty normal form are left alone.
-* A line is removed if more than ``max_documents`` documents of its host hold it **and** they are
-  more than ``max_share`` of the host's documents that have a line.
+* A line is removed if more than ``max_documents`` documents of its host hold it, however large the
+  host is.
 * A document is depleted if less than ``min_kept`` of its code points are left.
 
 Cases: null text counts as empty; null host is a host of its own; rows that repeat a ``doc_id``
@@ -26,7 +26,6 @@ from chartloom.llm.tables import WORD, fresh, stored, words
 
 WINDOW = 8
 MAX_DOCUMENTS = 5
-MAX_SHARE = 0.002
 MIN_KEPT = 0.5
 
 
@@ -113,26 +112,19 @@ def boilerplate(
     text: str = "text",
     host: str = "source",
     max_documents: int = MAX_DOCUMENTS,
-    max_share: float = MAX_SHARE,
 ) -> DataFrame:
-    """The (host, line_hash) of lines above the limits, with their count of documents.
+    """The (host, line_hash) of lines above the limit, with their count of documents.
 
     The distinct (host, line, document) rows are made by a partial aggregation keyed by all
     three, so neither a hot host nor a hot line meets in one task; the counts after it are
     summed on the map side as well.
     """
-    return _boilerplate(_lines(docs, doc_id, text, host), max_documents, max_share)
+    return _boilerplate(_lines(docs, doc_id, text, host), max_documents)
 
 
-def _boilerplate(lines: DataFrame, max_documents: int, max_share: float) -> DataFrame:
+def _boilerplate(lines: DataFrame, max_documents: int) -> DataFrame:
     seen = lines.select("host", "line_hash", "doc_id").distinct()
-    per_line = seen.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_documents")).where(F.col("n_documents") > max_documents)
-    sizes = seen.select(F.col("host").alias("_host"), "doc_id").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_size"))
-    return (
-        per_line.join(sizes, F.expr("host <=> _host"))
-        .where(F.col("n_documents") > max_share * F.col("_size"))
-        .select("host", "line_hash", "n_documents")
-    )
+    return seen.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_documents")).where(F.col("n_documents") > max_documents)
 
 
 def _hits(lines: DataFrame, common: DataFrame) -> DataFrame:
@@ -161,13 +153,12 @@ def judge(
     text: str = "text",
     host: str = "source",
     max_documents: int = MAX_DOCUMENTS,
-    max_share: float = MAX_SHARE,
     min_kept: float = MIN_KEPT,
 ) -> DataFrame:
     """One row per document: base measures, characters and lines removed, verdict."""
     lines = stored(_lines(docs, doc_id, text, host), "lines")
     removed = (
-        _hits(lines, _boilerplate(lines, max_documents, max_share))
+        _hits(lines, _boilerplate(lines, max_documents))
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"))
         .agg(F.sum("chars").alias("removed_chars"), F.count(F.lit(1)).alias("removed_lines"))
     )

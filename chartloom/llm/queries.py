@@ -69,7 +69,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base measures, lines above the host limits and the verdict for every document."""
+    """Base measures, lines above the host limit and the verdict for every document."""
     return line_rules.judge(documents(spark, sf_dir))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import llm_brute as brute
-from chartloom.llm import line_join, ngram, queries, segmentation
+from chartloom.llm import line_join, line_rules, ngram, queries, segmentation
 
 
 def test_every_token_is_a_context(spark, monkeypatch):
@@ -68,3 +68,14 @@ def test_all_segmentations_are_given(spark, tmp_path):
         assert all(pieces.decode(x) == rows[r.doc_id][1] for x in r.ids) and r.round_trip
         assert r.each_pieces == [len(x) for x in r.ids] and r.each_crc32 == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r.ids]
         assert (r.n_pieces, r.ids_crc32) == (r.each_pieces[0], r.each_crc32[0])
+
+
+def test_limit_does_not_grow_with_the_host(spark):
+    """A line of six documents goes in a host of 5,000 as in one of six, one of five stays in both."""
+    rows = [(k, ("menu home\n" if k % 5000 < 6 else "share this\n" if k % 5000 < 11 else "") + f"own words of {chr(97 + k % 26) * (k // 26 + 1)}", "hot") for k in range(5000)]
+    rows += [(9000 + k, f"menu home\nfoot {'x' * (k + 1)}" + ("\nshare this" if k else ""), "small") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted((r.host, r.n_documents) for r in line_rules.boilerplate(df).collect())
+    assert found == [("hot", 6), ("small", 6)]
+    removed = {r.doc_id: r.removed_lines for r in line_rules.judge(df).collect()}
+    assert sum(removed[k] for k in range(5000)) == 6 and all(removed[9000 + k] == 1 for k in range(6))
