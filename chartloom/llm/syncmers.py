@@ -1,13 +1,13 @@
 """Document fingerprints from closed syncmers.
 
-A text is read as a sequence of letters of a large alphabet: its words, each cut into pieces of
-at most ``PIECE`` code points. Of each run of ``K`` letters (a k-mer) the hashes of its inner
+A text is read as a sequence of letters of a large alphabet: its words, and the code points of words
+of more than ``PIECE`` of them (text without spaces), so that no cut depends on where a word begins. Of each run of ``K`` letters (a k-mer) the hashes of its inner
 runs of ``S`` letters are compared; the k-mer is an anchor if the least of them lies at its left
 or right edge. Whether a k-mer is one depends on its own letters only, so equal passages have
 equal anchors wherever they stand, and an edit changes the anchors near it and no others.
 
 The fingerprint of a text is the set of its anchors' hashes; two fingerprints are compared by
-Jaccard similarity. Texts with fewer than ``K`` letters have one anchor, their whole sequence.
+Jaccard similarity. Texts without such a k-mer have one anchor, their whole sequence.
 All built-in expressions on arrays: no Python on the executors.
 
 Cases: null counts as the empty text; the empty text (and one of white space) has the empty
@@ -31,9 +31,9 @@ BUCKET = 512
 
 
 def letters(text: Column) -> Column:
-    """Hashes of a text's words, those above ``PIECE`` code points cut into pieces of that length."""
+    """Hashes of a text's words, and of the code points of words of more than ``PIECE``."""
     found = words(text)
-    cut = F.flatten(F.transform(found, lambda w: F.regexp_extract_all(w, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))))
+    cut = F.flatten(F.transform(found, lambda w: F.when(F.length(w) > PIECE, F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w))))
     long = F.exists(found, lambda w: F.length(w) > PIECE)
     return F.transform(F.when(long, cut).otherwise(found), lambda w: F.xxhash64(w))
 
@@ -46,12 +46,12 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     at = lambda i, k: F.get(F.col("_s"), i + k)
     last = K - S
     edge = lambda i: F.least(at(i, 0), at(i, last)) <= F.least(*[at(i, k) for k in range(1, last)])
-    df = df.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_l") - K), edge))
+    df = df.withColumn("_at", F.when(F.size("_l") >= K, F.filter(F.sequence(F.lit(0), F.size("_l") - K), edge)))
     whole = F.when(F.size("_l") > 0, F.array(F.struct(F.lit(0).alias("place"), F.xxhash64("_l").alias("hash")))).otherwise(
         F.array().cast("array<struct<place:int,hash:bigint>>")
     )
     found = F.transform("_at", lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(F.col("_l"), i + 1, F.lit(K))).alias("hash")))
-    return df.withColumn(out, F.when(F.size("_l") >= K, found).otherwise(whole)).drop("_l", "_s", "_at")
+    return df.withColumn(out, F.when(F.size("_at") > 0, found).otherwise(whole)).drop("_l", "_s", "_at")
 
 
 def fingerprint(anchors: Column) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import llm_brute as brute
-from chartloom.llm import line_join, line_rules, ngram, queries, segmentation
+from chartloom.llm import line_join, line_rules, ngram, queries, segmentation, syncmers
 
 
 def test_every_token_is_a_context(spark, monkeypatch):
@@ -79,3 +79,21 @@ def test_limit_does_not_grow_with_the_host(spark):
     assert found == [("hot", 6), ("small", 6)]
     removed = {r.doc_id: r.removed_lines for r in line_rules.judge(df).collect()}
     assert sum(removed[k] for k in range(5000)) == 6 and all(removed[9000 + k] == 1 for k in range(6))
+
+
+def test_short_texts_have_anchors(spark):
+    """Every text with a word has an anchor; unrelated short texts are not alike."""
+    rows = [(k, " ".join("t%dw%d" % (k, i) for i in range(1 + k % 10))) for k in range(80)]
+    df = syncmers.with_anchors(spark.createDataFrame(rows, "doc_id long, text string"), "text", "a")
+    assert df.where("size(a) = 0").count() == 0
+    found = syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("near_next > 0 or n_anchors = 0").count() == 0
+
+
+def test_edits_of_text_without_spaces_are_local(spark):
+    """One code point ahead of a long run without spaces leaves the anchors behind it."""
+    rng = random.Random(3)
+    run = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300))
+    df = syncmers.with_anchors(spark.createDataFrame([(0, run), (1, "\u6f22" + run)], "doc_id long, text string"), "text", "a")
+    a, b = ({x.hash for x in r.a} for r in df.orderBy("doc_id").collect())
+    assert a <= b and len(a) > 50 and len(b) <= len(a) + 1
