@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import language, line_join, line_rules, minhash_forest, ngram, packing, quality, repeats, segmentation, syncmers
-from chartloom.llm.tables import documents, labels
+from chartloom.llm import language, line_join, line_rules, minhash_forest, ngram, packing, postings, quality, repair, repeats, segmentation, syncmers, variants
+from chartloom.llm.tables import benchmark, conversations, documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,5 +79,24 @@ def op10_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.scored(documents(spark, sf_dir), ngram.held_out)
 
 
+@_query
+def op11_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of ten words of a benchmark item, and the items."""
+    return postings.contamination_digest(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+@_query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cost, audit and digest of its cheapest repair."""
+    original = conversations(spark, sf_dir)
+    return repair.digested(repair.damaged(original), original)
+
+
+@_query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus with their near words, their more frequent form and the root of their group."""
+    return variants.grouped(variants.counted(documents(spark, sf_dir)))
+
+
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_contamination": postings.SQL, "op12_repair": repair.SQL, "op13_variants": variants.SQL}

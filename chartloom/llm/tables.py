@@ -21,6 +21,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; -1 where the id is null."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(-1))
