@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits and of all other characters above ASCII, A-Z in lower case.
 
-* **Index.** ``indexed`` writes a table of blocks, each over about a megabyte of text: a dictionary of its words, ordered by
+* **Index.** ``indexed`` writes a table of blocks, each over about 256 KB of text: a dictionary of its words, ordered by
   hash, and for each word the ascending list of its positions. Every word of every text is stored, so one
   index answers any later test set. Blocks are cut by documents, not by words: no frequent word is one task's list.
   A text longer than a block is cut at words; neighbouring blocks share ``REACH - 1`` words, so no phrase
@@ -40,7 +40,7 @@ from chartloom.llm.tables import stored
 #: Words of the longest phrase, or of the widest span, that a block boundary inside a text can't hide.
 REACH = 128
 #: Bytes of text of a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Words of one batch of test items, and of the pieces that items are cut into.
 BATCH_WORDS = 1 << 18
 PIECE = 1 << 12
