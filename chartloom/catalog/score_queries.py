@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chartloom.catalog.registry import query
+from chartloom.operators import draws as D
 from chartloom.operators import match as M
 from chartloom.operators import resample as B
 from chartloom.operators import score as S
@@ -96,24 +97,42 @@ def qualifier_counts_by_name(t):
     return S.qualifier_counts(t.gold_span, t.pred_span, QUALIFIERS, by_name=True)
 
 
-N_DRAW = 20
+#: Draws of the published intervals.
+N_DRAW, N_ACCURACY, N_SPLIT = 5000, 1000, 5000
 
 
-def _draws(index_of: str) -> str:
-    """Check text: documents numbered by (hash, id), slots drawn by MD5."""
+def _scattered(draws: str, seed: int, docs: str) -> str:
+    """Check text: (draw, source, y), the whole number of each document in each draw."""
+    return f""", dn as (select source, cast(concat('0x', substr(md5(source), 6, 14)) as bigint) % {D.PRIME} as h from {docs}),
+  df as (select draw, 1 + cast(concat('0x', substr(md5('{seed}:' || cast(draw as varchar)), 1, 14)) as bigint) % {D.PRIME - 1} as a,
+    cast(concat('0x', substr(md5('{seed}:' || cast(draw as varchar)), 15, 14)) as bigint) % {D.PRIME} as b from (select unnest({draws}) as draw)),
+  sx as (select draw, source, (h * a + b) % {D.PRIME} as x from dn cross join df),
+  sy as (select draw, source, x, x * x % {D.PRIME} as xx from sx),
+  scattered as (select draw, source, xx * xx % {D.PRIME} * x % {D.PRIME} as y from sy)"""
+
+
+def _draws(index_of: str, n_draw: int) -> str:
+    """Check text: (draw, source, w), how often a draw takes a document: weights, then single picks by MD5."""
+    steps = range(D.STEPS)
     return f""", ix as (select source, row_number() over (order by cast(concat('0x', substr(md5(source), 1, 5)) as bigint), source) - 1 as idx
       from (select distinct source from {index_of})),
   nn as (select count(*) as n from ix),
-  slots as (select d.draw, s.slot from (select unnest(generate_series(1, {N_DRAW - 1})) as draw) d, (select unnest(generate_series(0, (select n from nn) - 1)) as slot) s),
-  picks as (select draw, cast(concat('0x', substr(md5('7:' || cast(draw as varchar) || ':' || cast(slot as varchar)), 1, 8)) as bigint) % (select n from nn) as idx from slots)"""
+  st as (select greatest(0.0, 1 - 8 / sqrt(n)) as r, cast(1 as double) as t0, t0 as s0, {", ".join(f"t{k - 1} * r / {k} as t{k}, s{k - 1} + t{k} as s{k}" for k in steps if k)} from nn),
+  sk as (select {", ".join(f"cast(floor({D.PRIME} * (exp(-r) * s{k}) + 0.5) as bigint) as k{k}" for k in steps)} from st)
+  {_scattered(f"generate_series(1, {n_draw - 1})", 7, "ix")},
+  ws as (select draw, source, {" + ".join(f"(y >= k{k})::int" for k in steps)} as w from scattered cross join sk),
+  lack as (select draw, cast((select n from nn) - sum(w) as bigint) as m from ws group by draw),
+  slots as (select draw, unnest(generate_series(1, m)) as slot from lack),
+  picks as (select draw, cast(concat('0x', substr(md5('7:' || cast(draw as varchar) || ':' || cast(slot as varchar)), 1, 8)) as bigint) % (select n from nn) as idx from slots),
+  taken as (select draw, source, w from ws where w > 0 union all select p.draw, ix.source, 1 from picks p join ix using (idx))"""
 
 
 DRAWS = (
     EXACT
-    + _draws("counts")
+    + _draws("counts", N_DRAW)
     + """, draws as (select draw, label, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from (
       select 0 as draw, label, tp, fp, fn from counts
-      union all select p.draw, c.label, c.tp, c.fp, c.fn from picks p join ix on p.idx = ix.idx join counts c on c.source = ix.source) group by 1, 2)"""
+      union all select p.draw, c.label, w * c.tp, w * c.fp, w * c.fn from taken p join counts c on c.source = p.source) group by 1, 2)"""
 )
 
 
@@ -159,7 +178,7 @@ def interval_texts(t):
 @query("entity_bootstrap", "D19")
 def entity_bootstrap(t):
     per_label = counts(t).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return B.bootstrap_entities(per_label, 200, 7)
+    return B.bootstrap_entities(per_label, N_DRAW, 7)
 
 
 def _codes(t):
@@ -213,15 +232,15 @@ def score_gates(t):
     "D21",
     "code_result",
     """, counts as (select source, cast(count_if(coalesce(pred_code = gold_code, false)) as bigint) as hits, cast(count(*) as bigint) as n from code_result group by 1)"""
-    + _draws("code_result")
+    + _draws("code_result", N_ACCURACY)
     + """, d as (select draw, sum(hits) / sum(n) as a from (select 0 as draw, hits, n from counts
-        union all select p.draw, c.hits, c.n from picks p join ix on p.idx = ix.idx join counts c on c.source = ix.source) group by draw)
+        union all select p.draw, w * c.hits, w * c.n from taken p join counts c on c.source = p.source) group by draw)
        select round_even(max(case when draw = 0 then a end), 3) as accuracy, round_even(quantile_cont(a, 0.025), 3) as accuracy_lo, round_even(quantile_cont(a, 0.975), 3) as accuracy_hi from d""",
 )
 def accuracy_intervals(t):
     c = S.normalisation_counts(_codes(t), ["source"])
     c = c.select("source", F.col("tp").alias("hits"), (F.col("tp") + F.col("fn")).alias("n"))
-    return B.accuracy_intervals(c, N_DRAW, 7)
+    return B.accuracy_intervals(c, N_ACCURACY, 7)
 
 
 @query(
@@ -337,21 +356,25 @@ def error_taxonomy(t):
     return S.error_taxonomy(t.review)
 
 
-_SPLIT = """, dd as (select distinct source from doc_label_count), nn as (select cast(floor(0.2 * count(*)) as bigint) as k from dd),
-  r as (select draw, source, row_number() over (partition by draw order by cast(concat('0x', substr(md5('3:' || cast(draw as varchar) || ':' || source), 1, 15)) as bigint), source) as rk
-    from dd, (select unnest(generate_series(0, 9)) as draw)),
-  tt as (select draw, source from r where rk <= (select k from nn)),
+_SPLIT = (
+    """, dd as (select distinct source from doc_label_count), nn as (select cast(floor(0.2 * count(*)) as bigint) as k, 4 / sqrt(count(*)) as e from dd)"""
+    + _scattered(f"generate_series(0, {N_SPLIT - 1})", 3, "dd")
+    + f""", lowest as (select draw, count(*) as n from scattered cross join nn where y < (0.2 - e) * {D.PRIME} group by draw),
+  rk as (select s.draw, source, row_number() over (partition by s.draw order by y, source) + coalesce(l.n, 0) as rk from scattered s cross join nn left join lowest l on l.draw = s.draw
+    where y >= (0.2 - e) * {D.PRIME} and y < (0.2 + e) * {D.PRIME}),
+  tt as (select draw, source from scattered cross join nn where y < (0.2 - e) * {D.PRIME} union all select draw, source from rk where rk <= (select k from nn)),
   tot as (select name, sum(n) as total from doc_label_count group by name),
   got as (select tt.draw, c.name, sum(c.n) as n from tt join doc_label_count c on tt.source = c.source group by 1, 2),
-  cost as (select d.draw, round(sum(round(abs(coalesce(got.n, 0) / tot.total - 0.2), 3)), 6) as cost from (select unnest(generate_series(0, 9)) as draw) d cross join tot
+  cost as (select d.draw, cast(sum(floor(abs(coalesce(got.n, 0) / tot.total - 0.2::double) * 1000 + 0.5)) as bigint) / 1000 as cost from (select unnest(generate_series(0, {N_SPLIT - 1})) as draw) d cross join tot
     left join got on got.draw = d.draw and got.name = tot.name group by d.draw),
   best as (select draw from cost order by cost, draw limit 1)"""
+)
 
 
 @query("split_costs", "K1", "doc_label_count", _SPLIT + " select cast(draw as int) as draw, cost from cost")
 def split_costs(t):
     c = t.doc_label_count
-    return B.balanced_split(c.select("source"), c, draws=10, seed=3)[1]
+    return B.balanced_split(c.select("source"), c, draws=N_SPLIT, seed=3)[1]
 
 
 @query(
@@ -362,7 +385,7 @@ def split_costs(t):
 )
 def balanced_split(t):
     c = t.doc_label_count
-    return B.balanced_split(c.select("source"), c, draws=10, seed=3)[0]
+    return B.balanced_split(c.select("source"), c, draws=N_SPLIT, seed=3)[0]
 
 
 @query("stored_step", "A10 A11", NEEDS, EXACT + " select * from counts")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.operators import draws as D
+from chartloom.operators.draws import hex_number
 from chartloom.operators.lists import number_within
 from chartloom.operators.score import METRICS, add_overall, prf
 from chartloom.session import cut_lineage
@@ -16,20 +19,16 @@ from chartloom.session import cut_lineage
 LABEL_BLOCKS = 64
 
 
-def _hex(text: Column, digits: int) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
-
-
 def indexed_docs(docs: DataFrame, doc: str) -> DataFrame:
     """Documents numbered from 0 in the order of (hash, id), by many tasks."""
-    h = _hex(F.col(doc).cast("string"), 5)
+    h = hex_number(F.col(doc).cast("string"), 1, 5)
     df = docs.select(doc).distinct().withColumns({"_h": h, "_all": F.lit(0)})
     return number_within(df, ["_all"], "_h", [doc], "idx", width=1024).select(doc, (F.col("idx") - 1).alias("idx"))
 
 
 def draw_index(seed, draw, slot, n: int) -> Column:
     """Document number drawn for a slot: MD5 of ``seed:draw:slot``, eight hex digits, modulo ``n``."""
-    return F.pmod(_hex(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), slot.cast("string")), 8), F.lit(n))
+    return F.pmod(hex_number(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), slot.cast("string")), 1, 8), F.lit(n))
 
 
 def bootstrap_docs(
@@ -37,25 +36,44 @@ def bootstrap_docs(
 ) -> DataFrame:
     """Sums of ``values`` over resampled documents, per draw and ``by``; draw 0 is the observed sum.
 
-    Draws 1 … ``n_draw`` − 1 take as many documents as there are, with replacement. The slots
-    are generated in the map tasks; a document's counts travel as one small array, and the
-    sums per draw are combined before they are shuffled.
+    Draws 1 … ``n_draw`` − 1 take as many documents as there are, with replacement. A draw is made in two parts,
+    which together are as many independent picks as there are documents. Each document first gets a Poisson weight in each draw,
+    from its own number alone: tasks compute the weights of their documents in all draws at once and multiply them with
+    the counts. The weights are a little low on purpose; the picks a draw still lacks (eight times the root of
+    the number of documents, in the mean) are drawn one by one. No row exists per document and draw.
     """
     by, values = list(by), list(values)
     counts = cut_lineage(counts)
     index = cut_lineage(indexed_docs(counts, doc))
     n = index.count()
-    cell = F.struct(*by, *values)
-    packed = counts.groupBy(doc).agg(F.collect_list(cell).alias("cells")).join(index, doc).select("idx", "cells")
-    spark = counts.sparkSession
-    observed = counts.select(F.lit(0).cast("long").alias("draw"), *by, *values)
-    slots = spark.range(n * (n_draw - 1)).select(
-        (F.floor(F.col("id") / n) + 1).alias("draw"), F.pmod("id", F.lit(n)).alias("slot")
-    )
-    drawn = slots.select("draw", draw_index(seed, F.col("draw"), F.col("slot"), n).alias("idx"))
-    rows = drawn.join(packed, "idx").select("draw", F.explode("cells").alias("c")).select("draw", "c.*")
-    everything = observed.unionByName(rows)
-    return everything.groupBy("draw", *by).agg(*[F.sum(v).cast("long").alias(v) for v in values])
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    cells = counts.select(doc, key.alias("_key"), *[F.col(v).cast("long").alias(f"_v{k}") for k, v in enumerate(values)])
+    held = F.struct("_key", F.array(*[f"_v{k}" for k in range(len(values))]).alias("_v"))
+    packed = cells.groupBy(doc).agg(F.collect_list(held).alias("c")).join(index, doc)
+    packed = cut_lineage(packed.select("idx", D.doc_number(F.col(doc)).alias("h"), F.col("c._key").alias("keys"), F.flatten("c._v").alias("vals")))
+    rate = D.weight_rate(n)
+    steps, (a, b) = D.weight_steps(rate), D.factors(seed, np.arange(n_draw))
+
+    def weights(h: np.ndarray) -> np.ndarray:
+        y = D.scattered(h, a, b)
+        w = np.zeros(y.shape, np.int8)
+        for step in steps if rate else ():
+            w += y >= step
+        w[:, 0] = 1  # draw 0 is the observed sum
+        return w
+
+    sums = cut_lineage(D.sums_over(packed, len(values), weights, n_draw))
+    lacking = F.lit(n) - F.col("v")[0]
+    sure = F.when(lacking < 0, F.raise_error(F.lit("a draw has more weight than documents: take another seed"))).otherwise(lacking)
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = sums.where("key is null and draw > 0").repartition(tasks, "draw").select("draw", F.explode(F.sequence(F.lit(0).cast("long"), sure)).alias("slot")).where(F.col("slot") > 0)
+    picks = slots.select("draw", draw_index(seed, F.col("draw"), F.col("slot"), max(n, 1)).alias("idx"))
+    pairs = packed.select("idx", F.posexplode("keys").alias("_k", "key"), "vals")
+    pairs = pairs.select("idx", "key", F.slice("vals", F.col("_k") * len(values) + 1, len(values)).alias("v"))
+    everything = sums.where("key is not null").select("key", "draw", "v").unionByName(picks.join(pairs, "idx").select("key", "draw", "v"))
+    out = everything.groupBy("key", "draw").agg(*[F.sum(F.col("v")[k]).alias(v) for k, v in enumerate(values)])
+    kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
+    return out.withColumn("_by", F.from_json("key", kinds)).select("draw", *[F.col("_by")[c].alias(c) for c in by], *values)
 
 
 def bootstrap_entities(counts: DataFrame, n_draw: int, seed: int = 0) -> DataFrame:
@@ -142,51 +160,86 @@ def balanced_split(docs: DataFrame, counts: DataFrame, share: float = 0.2, draws
     """Best of many random splits: (documents with ``part``, cost per draw).
 
     ``counts`` is (doc, name, n): occurrences of each label and attribute. A draw puts the
-    ``int(share · documents)`` documents of least hash into the test part; its cost is the sum over names of
-    round(|test share of the name − ``share``|, 3). The least cost wins, then the lowest draw.
+    ``int(share · documents)`` documents of least number (then id) into the test part; its cost is the sum over names of
+    |test share of the name − ``share``|, each rounded to three places. The least cost wins, then the lowest draw.
 
-    The cut of a draw is found in a histogram of its hashes, summed map-side; only the
-    documents of the bucket that holds the cut are ranked. Documents are never shuffled once
-    per draw.
+    The cut of a draw lies close to ``share`` of the range of numbers, because numbers are uniform. One pass counts, for
+    all draws, the documents below that stretch and in its pieces: one matrix per task. The cut then is known up to one piece,
+    of which only some documents per draw are ranked. A second pass multiplies the counts of names with "is
+    below the piece of the cut" for all draws at once. No table of documents and draws exists.
     """
-    bits = 12
-    per_doc = counts.groupBy(doc, "name").agg(F.sum("n").alias("n"))
-    packed = per_doc.groupBy(doc).agg(F.collect_list(F.struct("name", "n")).alias("cells"))
-    base = cut_lineage(docs.select(doc).distinct().join(packed, doc, "left"))
-    size = int(share * base.count())
-
-    def drawn(df, which):
-        h = _hex(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(doc).cast("string")), 15)
-        return df.withColumn("draw", which).withColumn("_h", h).withColumn("_b", F.shiftright("_h", 60 - bits))
-
-    all_rows = drawn(base, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    hist = all_rows.groupBy("draw", "_b").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("draw").orderBy("_b")
-    hist = hist.withColumn("_upto", F.sum("_n").over(upto))
-    cut = hist.where((F.col("_upto") >= size) & (F.col("_upto") - F.col("_n") < size)).select(
-        "draw", F.col("_b").alias("_cut"), (size - F.col("_upto") + F.col("_n")).alias("_left")
-    )
-    # One row per draw: ``draws`` bounds what is broadcast.
-    placed = all_rows.join(F.broadcast(cut), "draw")
-    sure = placed.where(F.col("_b") < F.col("_cut")).select("draw", doc, "cells")
-    w = Window.partitionBy("draw").orderBy("_h", doc)
-    edge = placed.where(F.col("_b") == F.col("_cut")).withColumn("_k", F.row_number().over(w))
-    edge = edge.where(F.col("_k") <= F.col("_left")).select("draw", doc, "cells")
-    test = sure.unionByName(edge)
-
-    cells = test.select("draw", F.explode("cells").alias("c")).groupBy("draw", F.col("c.name").alias("name")).agg(F.sum("c.n").alias("n"))
+    per_doc = counts.where("name is not null").groupBy(doc, "name").agg(F.sum("n").cast("long").alias("n"))
+    packed = per_doc.groupBy(doc).agg(F.collect_list("name").alias("keys"), F.collect_list("n").alias("vals"))
+    base = docs.select(doc).distinct().join(packed, doc, "left").select(doc, D.doc_number(F.col(doc)).alias("h"), "keys", "vals")
+    base = cut_lineage(base)
+    n = base.count()
+    size = int(share * n)
+    cut = _cuts(base.select("h"), n, size, share, draws, seed)
+    a, b = D.factors(seed, np.arange(draws))
+    floor, ceiling = cut["floor"].to_numpy(), cut["ceiling"].to_numpy()
+
+    def below(h: np.ndarray) -> np.ndarray:
+        return D.scattered(h, a, b) < floor[None, :]
+
+    def on_edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, D.CELLS // max(draws, 1))
+        for batch in batches:
+            h = batch.column(1).to_numpy(zero_copy_only=False)
+            for i in range(0, len(h), step):
+                y = D.scattered(h[i : i + step], a, b)
+                row, draw = np.nonzero((y >= floor[None, :]) & (y < ceiling[None, :]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(draw), pa.array(y[row, draw])], [doc, "draw", "y"])
+
+    kind = base.schema[doc].dataType.simpleString()
+    dealt = base.select(doc, "h").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+    edge = dealt.mapInArrow(on_edge, f"`{doc}` {kind}, draw long, y long")
+    left = docs.sparkSession.createDataFrame(cut[["draw", "left"]], "draw long, left long")
+    edge = edge.withColumn("_k", F.row_number().over(Window.partitionBy("draw").orderBy("y", doc))).join(left, "draw").where("_k <= left")
+    edge = cut_lineage(edge.select(doc, "draw"))
+    sums = D.sums_over(base.where("keys is not null").select("h", "keys", "vals"), 1, below, draws)
+    test = sums.where("key is not null").select("draw", F.col("key").alias("name"), F.col("v")[0].alias("n"))
+    test = test.unionByName(edge.join(per_doc, doc).select("draw", "name", "n")).groupBy("draw", "name").agg(F.sum("n").alias("n"))
+
     totals = per_doc.groupBy("name").agg(F.sum("n").alias("total")).where("total > 0")
-    # Names a draw's test part lacks cost ``share``: start from all of them.
-    missing = totals.agg(F.count("*").alias("_names"))
-    off = F.round(F.abs(F.col("n") / F.col("total") - share), 3)
-    per_draw = cells.join(totals, "name").groupBy("draw").agg(F.sum(off).alias("_cost"), F.count("*").alias("_seen"))
-    every = docs.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"), F.lit(0).alias("_one"))
-    cost = (
-        every.join(per_draw, "draw", "left")
-        .join(F.broadcast(missing.withColumn("_one", F.lit(0))), "_one")
-        .select("draw", F.round(F.coalesce("_cost", F.lit(0.0)) + (F.col("_names") - F.coalesce("_seen", F.lit(0))) * F.round(F.lit(share), 3), 6).alias("cost"))
-    )
-    best = cost.agg(F.min(F.struct("cost", "draw")).alias("m")).select(F.col("m.draw").alias("draw"))
-    chosen = test.select("draw", doc).join(F.broadcast(best), "draw").select(doc, F.lit("test").alias("part"))
-    split = base.select(doc).join(chosen, doc, "left").withColumn("part", F.coalesce("part", F.lit("train")))
-    return split, cost
+    every = docs.sparkSession.range(draws).select(F.col("id").alias("draw"))
+    # draws x names, both small: every name counts in every draw, also where the test part lacks it
+    grid = totals.select("name", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    thousandths = F.floor(F.abs(F.coalesce("n", F.lit(0)) / F.col("total") - F.lit(share)) * 1000 + 0.5)
+    per_draw = grid.join(test, ["draw", "name"], "left").groupBy("draw").agg(F.sum(thousandths).alias("off"))
+    cost = every.join(per_draw, "draw", "left").select(F.col("draw").cast("int").alias("draw"), (F.coalesce("off", F.lit(0)) / 1000).alias("cost"))
+    cost = cut_lineage(cost)
+    best = cost.orderBy("cost", "draw").first()["draw"] if draws else 0
+    picked = base.select(doc, D.scattered_column(F.col("h"), int(a[best]), int(b[best])).alias("y"))
+    chosen = edge.where(F.col("draw") == best).select(doc, F.lit(True).alias("_in"))
+    inside = (F.col("y") < int(floor[best])) | F.coalesce("_in", F.lit(False))
+    return picked.join(chosen, doc, "left").select(doc, F.when(inside, "test").otherwise("train").alias("part")), cost
+
+
+#: Pieces of the stretch that holds the cuts.
+PIECES = 128
+
+
+def _cuts(numbers: DataFrame, n: int, size: int, share: float, draws: int, seed: int) -> pd.DataFrame:
+    """(draw, floor, ceiling, left): documents with a number below ``floor`` are in, of those below ``ceiling`` the ``left`` first.
+
+    A row per draw. The stretch is ten standard deviations wide to each side; should a cut lie outside, it is widened.
+    """
+    reach = 10 * float(np.sqrt(0.25 / max(n, 1)))
+    while True:
+        low, high = (int(min(max(share + s * reach, 0), 1) * D.PRIME) for s in (-1, 1))
+        width = -(-(high - low) // PIECES)
+        found = D.counted_below(numbers, seed, draws, low, high, PIECES).toPandas()
+        table = np.zeros((draws, PIECES + 1), np.int64)
+        table[found["draw"], found["bucket"]] = found["n"]
+        upto = table.cumsum(axis=1)
+        if size == 0:
+            zero = np.zeros(draws, np.int64)
+            return pd.DataFrame({"draw": np.arange(draws), "floor": zero, "ceiling": zero, "left": zero})
+        piece = (upto < size).sum(axis=1)
+        if (piece >= 1).all() and (piece <= PIECES).all():
+            before = upto[np.arange(draws), piece - 1]
+            floor = low + (piece - 1) * width
+            return pd.DataFrame({"draw": np.arange(draws), "floor": floor, "ceiling": floor + width, "left": size - before})
+        if reach >= 1:
+            raise ValueError("no cut found")
+        reach *= 4
