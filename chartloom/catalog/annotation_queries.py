@@ -169,20 +169,18 @@ def annotated_documents(t):
 TERMS = [("de", "P"), ("the", "D"), ("of the", "PD"), ("le", "D"), ("and", "C"), ("pour", "P")]
 
 
-@query(
-    "term_tagging",
-    "R1",
-    "note_text",
-    r""", p as (select note_id, unnest(regexp_extract_all(text, '\s*\S+')) as piece, generate_subscripts(regexp_extract_all(text, '\s*\S+'), 1) as i from note_text),
+_TAGS = r""", p as (select note_id, unnest(regexp_extract_all(text, '\s*\S+')) as piece, generate_subscripts(regexp_extract_all(text, '\s*\S+'), 1) as i from note_text),
       w as (select *, sum(length(piece)) over (partition by note_id order by i) - length(piece) as at_ from p),
       g as (select note_id, at_, piece as raw from w
         union all select note_id, at_, piece || nxt from (select *, lead(piece) over (partition by note_id order by i) as nxt from w) where nxt is not null),
       c as (select note_id, at_, raw, regexp_replace(raw, '^[^\p{L}\p{N}]+', '') as l from g),
       d as (select note_id, at_ + length(raw) - length(l) as span_start, regexp_replace(l, '[^\p{L}\p{N}]+$', '') as lexical_variant from c),
-      terms as (select * from (values ('de', 'P'), ('the', 'D'), ('of the', 'PD'), ('le', 'D'), ('and', 'C'), ('pour', 'P')) v(term, label))
-      select distinct note_id, cast(span_start as int) as span_start, cast(span_start + length(lexical_variant) as int) as span_end, lexical_variant, term, label
-      from d join terms on term = regexp_replace(lower(lexical_variant), '\s+', ' ', 'g')""",
-)
+      terms as (select * from (values ('de', 'P'), ('the', 'D'), ('of the', 'PD'), ('le', 'D'), ('and', 'C'), ('pour', 'P')) v(term, label)),
+      tagged as (select distinct note_id, cast(span_start as int) as span_start, cast(span_start + length(lexical_variant) as int) as span_end, lexical_variant, term, label
+      from d join terms on term = regexp_replace(lower(lexical_variant), '\s+', ' ', 'g'))"""
+
+
+@query("term_tagging", "R1", "note_text", _TAGS + " select * from tagged")
 def term_tagging(t):
     terms = t.spark.createDataFrame(TERMS, "term string, label string")
     return N.tag_terms(t.note_text, terms, 2)
@@ -282,7 +280,15 @@ def section_labels(t):
     return N.map_labels(t.note_text.select("note_id", F.col("origin").alias("label")), SECTIONS)
 
 
-@query("overlaps_resolved", "E5")
+#: Spans of one run of overlapping ones are folded one by one, the longest first.
+_RESOLVED = """, spans as (select distinct note_id, span_start, span_end, label from tagged),
+  opened as (select *, coalesce(span_start >= max(span_end) over (partition by note_id order by span_start, span_end, label rows between unbounded preceding and 1 preceding), true) as opens from spans),
+  islands as (select *, sum(opens::int) over (partition by note_id order by span_start, span_end, label rows unbounded preceding) as island from opened),
+  lists as (select note_id, list({'s': span_start, 'e': span_end, 'l': label} order by span_end - span_start desc, span_start, label) as l from islands group by note_id, island),
+  folded as (select note_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda kept, x: case when len(list_filter(kept, lambda k: k.s < x[1].e and x[1].s < k.e)) = 0 then kept || x else kept end)) as r from lists)"""
+
+
+@query("overlaps_resolved", "E5", "note_text", _TAGS + _RESOLVED + " select note_id, r.s as span_start, r.e as span_end, r.l as label from folded")
 def overlaps_resolved(t):
     return N.resolve_overlaps(_doc_spans(t))
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chartloom.functions.text import inner_span, snippet, strip_space
 from chartloom.operators.lists import first_per_key, sample_per_group, seeded_order
@@ -73,17 +70,61 @@ def word_rows(notes: DataFrame, extra: int = 0) -> DataFrame:
     )
 
 
+def spread(notes: DataFrame, key: str = "note_id") -> DataFrame:
+    """Notes dealt by id where they lie in fewer files than there are cores.
+
+    Pattern searches cost far more than reading: a few files are read by a few tasks. Inputs of many files are left alone,
+    their texts are not shuffled.
+    """
+    cores = notes.sparkSession.sparkContext.defaultParallelism
+    return notes if len(notes.inputFiles()) >= cores else notes.repartition(cores, key)
+
+
+#: Bits of a filter per key, and of a filter at most (one megabyte, whatever the list).
+BITS_PER_KEY, MOST_BITS = 16, 1 << 23
+
+
+def bit_filter(keys: DataFrame, key: str):  # noqa: ANN201
+    """A test ``Column -> Column`` that is true for every value of ``key``, and for few others.
+
+    One bit per hash, in a literal of the plan: at most a megabyte. A longer list fills more of
+    the bits, so that more others pass; no key is ever lost.
+    """
+    n = keys.select(key).distinct().count()
+    bits = 1 << 10
+    while bits < min(n * BITS_PER_KEY, MOST_BITS):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    data = bytearray(bits // 8)
+    for r in keys.select(place(F.col(key)).alias("p")).distinct().toLocalIterator():
+        data[r.p >> 3] |= 1 << (r.p & 7)
+    held = F.lit(bytes(data))
+
+    def passes(value: Column) -> Column:
+        p = place(value)
+        byte = F.conv(F.hex(F.substring(held, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("getbit", byte, (p % 8).cast("int")) == 1
+
+    return passes
+
+
 def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3) -> DataFrame:
     """Phrases of a term list in notes: note_id, span_start, span_end, lexical_variant, term, label.
 
     ``terms`` is (term, label); phrases of up to ``max_words`` words are compared in lower
-    case without the punctuation around them. Phrases are made where the text is read and
-    meet the list in one equality join; how it is done is left to the list's size.
+    case without the punctuation around them. Where the text is read, a bit filter of the first words of the terms
+    picks the words at which phrases are made at all, and a second one, of whole terms, the phrases that
+    meet the list in an equality join: what is moved for the join are hits.
     """
-    keyed = terms.select(F.lower("term").alias("_key"), "term", "label").distinct()
-    rows = word_rows(notes, max_words - 1)
+    keyed = cut_lineage(terms.select(F.lower("term").alias("_key"), "term", "label").distinct())
+    bare = lambda c: F.regexp_replace(c, EDGE, "")
+    starts = bit_filter(keyed.select(bare(F.split(F.col("_key"), " ")[0]).alias("f")), "f")
+    known = bit_filter(keyed, "_key")
+    rows = word_rows(spread(notes), max_words - 1)
 
     words = rows.select("*", F.posexplode_outer(F.slice("pieces", 1, WORDS_PER_ROW)).alias("i", "w")).where("w is not null")
+    # A phrase that begins with a word of punctuation alone is the shorter one that begins behind it.
+    words = words.withColumn("_bare", bare(F.lower("w"))).where(F.col("_bare") != "").where(starts(F.col("_bare")))
     raws = [
         F.when(F.col("i") + k <= F.size("pieces"), F.array_join(F.slice("pieces", F.col("i") + 1, F.lit(k)), "")) if k > 1 else F.col("w")
         for k in range(1, max_words + 1)
@@ -97,7 +138,7 @@ def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3) -> DataFra
         F.regexp_replace(left, r"[^\p{L}\p{N}]+$", "").alias("lexical_variant"),
     ).where("lexical_variant <> ''")
     key = F.regexp_replace(F.lower("lexical_variant"), r"\s+", " ")
-    hits = phrases.withColumn("_key", key).join(keyed, "_key")
+    hits = phrases.withColumn("_key", key).where(known(F.col("_key"))).join(keyed, "_key")
     # A phrase that lost an outer word to punctuation equals a shorter phrase: keep one of them.
     return hits.select(
         "note_id", "span_start", (F.col("span_start") + F.length("lexical_variant")).alias("span_end"), "lexical_variant", "term", "label"
@@ -235,58 +276,72 @@ def add_snippets(df: DataFrame, width: int = 50, text: str = "text") -> DataFram
     return df.withColumns({"snippet": cut, "snippet_start": start, "snippet_end": end})
 
 
-def resolve_overlaps(spans: DataFrame, key: str = "note_id", block: int = BLOCK) -> DataFrame:
-    """Spans that survive a greedy choice: longest first, earlier start on ties, none overlapping.
+def _tiles(a: Column, b: Column) -> Column:
+    """(level, block) of the dyadic blocks that together are the range from ``a`` to before ``b``, at most two of a level."""
+
+    def at(k: Column) -> Column:
+        low = -F.call_function("shiftright", -a, k)
+        high = F.call_function("shiftright", b, k)
+        tile = lambda block: F.struct(k.cast("int").alias("level"), block.alias("block"))
+        odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.array(F.when((low < high) & odd(low), tile(low)), F.when((low < high) & odd(high), tile(high - 1)))
+
+    top = F.ceil(F.log2((b - a).cast("double"))).cast("int") + 1
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), at)), lambda x: x.isNotNull())
+
 
-    Spans in different islands (runs of text no span crosses out of) cannot affect each
-    other. Islands are first cut at block borders that no span crosses, so that a long note
-    is ordered in pieces; inside a piece a running maximum of ends finds the exact islands.
-    A span alone in its island is kept as it is, the others are settled per piece.
+def resolve_overlaps(spans: DataFrame, key: str = "note_id") -> DataFrame:
+    """Spans that survive a greedy choice: longest first, earlier start on ties (then by the other columns), none overlapping.
+
+    Found in rounds: a span stays if no better span that is still open overlaps it; open spans that overlap one that stays go.
+    A better span is at least as long, so it overlaps exactly where it covers the first or the last position of the
+    other. What covers a position is found by equality joins: each span is cut into dyadic blocks, the best span of each block
+    is a partial minimum, and a position lies in one block of each level. So nothing is compared pair by
+    pair, a long span costs a few rows more, and a crowded place no more than others. Rounds end when no span is
+    open; each settles at least the best open span of every run of overlapping ones.
+
+    Positions are doubled, so that an empty span is the gap before its position: it goes if a span lies on both
+    sides. Repeated rows are one; spans without a start or an end stay.
     """
-    rows = cut_lineage(spans.distinct())  # read for the borders and again for the spans
-    first = F.floor(F.col("span_start") / block) + 1
-    last = F.ceil(F.col("span_end") / block) - 1
-    crossed = (
-        rows.where(first <= last)
-        .select(key, F.explode(F.sequence(first, last)).alias("_b"))
-        .distinct()
-    )
-    run = Window.partitionBy(key).orderBy("_b")
-    crossed = crossed.withColumn("_run", F.col("_b") - F.row_number().over(run))
-    starts = crossed.groupBy(key, "_run").agg((F.min("_b") - 1).alias("_first"))
-    crossed = crossed.join(starts, [key, "_run"]).select(key, "_b", "_first")
-    placed = (
-        rows.withColumn("_b", F.floor(F.col("span_start") / block))
-        .join(crossed, [key, "_b"], "left")
-        .withColumn("_island", F.coalesce("_first", "_b"))
-        .drop("_b", "_first")
-    )
-    order = Window.partitionBy(key, "_island").orderBy("span_start", "span_end")
-    reached = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce(F.col("span_start") >= reached, F.lit(True))
-    placed = placed.withColumn("_opens", opens)
-    placed = placed.withColumn("_alone", F.col("_opens") & F.coalesce(F.lead("_opens").over(order), F.lit(True)))
-    schema = T.StructType(list(rows.schema.fields))
-    columns = rows.columns
-    ties = [c for c in columns if c not in ("span_start", "span_end")]
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_len=pdf["span_start"] - pdf["span_end"]).sort_values(["_len", "span_start", *ties])
-        begins: list[int] = []
-        ends: list[int] = []
-        keep = []
-        for s, e in zip(pdf["span_start"], pdf["span_end"]):
-            i = bisect_left(begins, e)  # spans that begin before this one ends
-            free = i == 0 or ends[i - 1] <= s
-            keep.append(free)
-            if free:
-                begins.insert(i, s)
-                ends.insert(i, e)
-        return pdf.loc[keep, columns]
-
-    crowded = placed.where(~F.col("_alone")).select(*columns, "_island")
-    settled = crowded.groupBy(key, "_island").applyInPandas(settle, schema)
-    return placed.where("_alone").select(*columns).unionByName(settled)
+    columns = spans.columns
+    ties = [c for c in columns if c not in ("span_start", "span_end", key)]
+    rows = spans.distinct()
+    start, end = F.col("span_start").cast("long"), F.col("span_end").cast("long")
+    order = F.struct((start - end).alias("n"), start.alias("s"), *[F.col(c) for c in ties])
+    filled = end > start
+    points = F.when(filled, F.array_distinct(F.array(start * 2, end * 2 - 2))).otherwise(F.array(start * 2 - 1))
+    open_ = cut_lineage(rows.select("*", order.alias("_o"), points.alias("_at"), F.when(filled, _tiles(start * 2, end * 2 - 1)).alias("_tiles")))
+    same = lambda: F.col(key).eqNullSafe(F.col("_key")) & (F.col("level") == F.col("_l")) & (F.col("block") == F.col("_b"))
+    row = [F.col(key), F.col("_o")]
+
+    def tiled(df: DataFrame) -> DataFrame:
+        tiles = df.select(F.col(key).alias("_key"), "_o", F.explode("_tiles").alias("t"))
+        return tiles.groupBy("_key", F.col("t.level").alias("_l"), F.col("t.block").alias("_b")).agg(F.min("_o").alias("_best"))
+
+    def covered(df: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Rows (key, order) of ``df`` with a better span in ``blocks`` at their first or last position."""
+        blocks = cut_lineage(blocks)
+        levels = sorted(r._l for r in blocks.select("_l").distinct().collect())  # at most 64
+        if not levels:
+            return df.select(*row).where("false")
+        at = df.select(*row, F.explode("_at").alias("p")).select(*row, "p", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+        at = at.select(*row, "level", F.call_function("shiftright", "p", "level").alias("block"))
+        return at.join(blocks, same()).where(F.col("_best") < F.col("_o")).select(*row).distinct()
+
+    def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+        gone = gone.select(F.col(key).alias("_key"), F.col("_o").alias("_gone"))
+        return df.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_o") == F.col("_gone")), "left_anti")
+
+    kept = None
+    while True:
+        beaten = cut_lineage(covered(open_, tiled(open_)))
+        stays = without(open_, beaten).select(*columns, "_o", "_tiles")
+        kept = stays.select(*columns) if kept is None else kept.unionByName(stays.select(*columns))
+        if beaten.isEmpty():
+            return kept
+        on = beaten.select(F.col(key).alias("_key"), F.col("_o").alias("_w"))
+        losers = cut_lineage(open_.join(on, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_o") == F.col("_w")), "left_semi"))
+        open_ = cut_lineage(without(losers, covered(losers, tiled(stays))))
 
 
 def precision_sample(predictions: DataFrame, others: DataFrame, notes: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:

@@ -52,14 +52,32 @@ def greedy(rows):
     return set(keep)
 
 
-@pytest.mark.parametrize("block", [16, 1000])
-def test_resolve_overlaps(spark, block):
-    rows = spans(250, 15)
-    want = set().union(*[greedy([r for r in rows if r[0] == d]) for d in {r[0] for r in rows}])
-    got = N.resolve_overlaps(spark.createDataFrame(rows, SPAN), "source", block).collect()
+def resolved(spark, rows):
+    want = set().union(*[greedy([r for r in rows if r[0] == d]) for d in {r[0] for r in rows}]) if rows else set()
+    got = N.resolve_overlaps(spark.createDataFrame(rows, SPAN), "source").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_resolve_overlaps(spark):
+    resolved(spark, spans(250, 15))
+    resolved(spark, [])
+
+
+def test_resolve_overlaps_in_crowded_places(spark):
+    rng = random.Random(8)
+    # many spans over one place, a span as long as the note, a staircase in which each span hangs on the one before
+    rows = [("n", 500 - rng.randrange(60), 500 + rng.randrange(1, 60), "c%d" % k) for k in range(300)]
+    rows += [("n", 2000 + 10 * k, 2030 + 10 * k - k % 12, "stairs") for k in range(40)] + [("m", 0, 5_000_000, "whole")]
+    rows += [("m", 7 * k, 7 * k + 5, "inside") for k in range(50)] + [("m", 5_000_000, 5_000_003, "after")] + rows[:5]
+    resolved(spark, rows)
+
+
+def test_resolve_overlaps_of_odd_spans(spark):
+    rows = [("n", 3, 8, "a"), ("n", 5, 5, "empty inside"), ("n", 3, 3, "empty at start"), ("n", 8, 8, "empty at end"), ("n", 8, 8, "another"), ("n", 8, 9, "b"), ("n", 8, 9, "c"), (None, 4, 6, "no note"), (None, 5, 6, "nor here")]
+    got = {tuple(r) for r in N.resolve_overlaps(spark.createDataFrame(rows + [("n", None, 4, "no start")], SPAN), "source").collect()}
+    assert got == greedy([r for r in rows if r[0]]) | {(None, 4, 6, "no note"), ("n", None, 4, "no start")}
+
+
 def pack(tokens, cap, spans=()):
     """Word ranges of the chunks of one note, by a plain loop."""
     ends = [i + 1 for i, t in enumerate(tokens) if t.endswith(".") and i + 1 < len(tokens)]
