@@ -42,13 +42,12 @@ def factors(seed: int, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, np.array([int(x[14:28], 16) % PRIME for x in found], np.int64)
 
 
-def _reduced(v: np.ndarray) -> np.ndarray:
-    """``v`` modulo ``PRIME`` (2^31 - 1) without a division, in place; ``v`` is below 2^63."""
+def _folded(v: np.ndarray) -> np.ndarray:
+    """A number equal to ``v`` modulo ``PRIME`` (2^31 - 1) and below 2^31 + 8, without a division, in place."""
     for _ in range(2):
         low = v & np.uint64(PRIME)
         v >>= np.uint64(31)
         v += low
-    np.subtract(v, np.uint64(PRIME), out=v, where=v >= np.uint64(PRIME))
     return v
 
 
@@ -56,11 +55,13 @@ def scattered(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Matrix (documents x draws) of whole numbers below ``PRIME``."""
     x = h.astype(np.uint64)[:, None] * a.astype(np.uint64)[None, :]
     x += b.astype(np.uint64)[None, :]
-    x = _reduced(x)
-    y = _reduced(x * x)
-    y = _reduced(y * y)
+    x = _folded(x)
+    y = _folded(x * x)
+    y *= y
+    y = _folded(y)
     y *= x
-    return _reduced(y).view(np.int64)
+    y = _folded(y)
+    return np.minimum(y, y - np.uint64(PRIME)).view(np.int64)  # what is below PRIME wraps round
 
 
 def scattered_column(h: Column, a: int, b: int) -> Column:
@@ -169,16 +170,26 @@ def counted_below(numbers: DataFrame, seed: int, n_draws: int, low: int, high: i
     width = -(-(high - low) // buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_draws, buckets + 2), np.int64)
+        total = np.zeros((n_draws, buckets + 1), np.int64)
         step = max(1, CELLS // max(n_draws, 1))
-        column = np.arange(n_draws) * (buckets + 2)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                total.ravel()[:] += np.bincount(np.concatenate(held), minlength=total.size)
+                held.clear()
+
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(h), step):
                 y = scattered(h[i : i + step], a, b)
-                bucket = np.clip((y - low) // width + 1, 0, buckets + 1)
-                total += np.bincount((bucket + column[None, :]).ravel(), minlength=total.size).reshape(total.shape)
-        draw, bucket = np.nonzero(total[:, :-1])
+                total[:, 0] += (y < low).sum(axis=0)
+                row, draw = np.nonzero((y >= low) & (y < low + width * buckets))
+                held.append((y[row, draw] - low) // width + 1 + draw * (buckets + 1))
+                if len(held) == 256:
+                    add()
+        add()
+        draw, bucket = np.nonzero(total)
         if len(draw):
             yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(bucket), pa.array(total[draw, bucket])], ["draw", "bucket", "n"])
 

@@ -58,7 +58,10 @@ def bootstrap_docs(
         y = D.scattered(h, a, b)
         w = np.zeros(y.shape, np.int8)
         for step in steps if rate else ():
-            w += y >= step
+            reached = y >= step
+            if not reached.any():
+                break
+            w += reached
         w[:, 0] = 1  # draw 0 is the observed sum
         return w
 

@@ -33,8 +33,10 @@ def test_numbers_agree(spark):
     a, b = D.factors(3, np.arange(60))
     table = D.scattered(np.array([number(d) for d in docs]), a, b)
     assert [[scattered(d, 3, k) for k in range(60)] for d in docs] == table.tolist()
-    edges = D._reduced(np.array([0, 1, P - 1, P, P + 1, (P - 1) ** 2, (P - 1) ** 2 + P - 1, 2**62], np.uint64))
-    assert edges.tolist() == [x % P for x in (0, 1, P - 1, P, P + 1, (P - 1) ** 2, (P - 1) ** 2 + P - 1, 2**62)]
+    edges = [0, 1, P - 1, P, P + 1, (P - 1) ** 2 + P - 1, 2**62, 2**64 - 1]
+    folded = D._folded(np.array(edges, np.uint64)).tolist()
+    assert [x % P for x in folded] == [x % P for x in edges] and max(folded) < P + 9
+    assert D.scattered(np.array([0, P - 1]), np.array([1, P - 1]), np.array([0, P - 1])).tolist() == [[0, P - 1], [P - 1, 0]]
     df = spark.createDataFrame([(d,) for d in docs], "doc string")
     got = df.select("doc", D.scattered_column(D.doc_number(F.col("doc")), int(a[7]), int(b[7])).alias("y")).collect()
     assert {r.doc: r.y for r in got} == {d: scattered(d, 3, 7) for d in docs}
