@@ -133,15 +133,17 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("threshold, per_array", [(10, 1024), (4, 5), (0, 5)])
-def test_edit_matches(spark, threshold, per_array):
+@pytest.mark.parametrize("threshold", [10, 4, 2, 1, 0])
+def test_edit_matches(spark, threshold):
     def word():
         return "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 16)))
 
-    names, terms = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
+    names, terms = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)} | {"", "z" * 30, "é漢a"})
+    names += [terms[3], terms[9][:-1] + "x", "z" * 22, "é漢b"]
+    names = sorted(set(names) - {""})
     got = M.edit_matches(
         spark.createDataFrame([(t,) for t in terms], "term_to_norm string"),
-        spark.createDataFrame([(n,) for n in names], "norm_term string"), threshold, spread=3, per_array=per_array,
+        spark.createDataFrame([(n,) for n in names], "norm_term string"), threshold,
     ).collect()
     want = set()
     for t in terms:
