@@ -186,11 +186,35 @@ def term_tagging(t):
     return N.tag_terms(t.note_text, terms, 2)
 
 
-@query("note_chunks", "H36")
+def _chunked(inside: str = "false") -> str:
+    """Check text: chunks of 128 words; a sentence end is left out where ``inside`` holds for the word behind it."""
+    return rf""", begins as (select note_id, i - 1 as k, at_, at_ + length(piece) - length(regexp_replace(piece, '^\s+', '')) as b from w),
+      sizes as (select note_id, max(i) as n from p group by note_id),
+      ends as (select x.note_id, x.i as e from p x join sizes z using (note_id) join begins y on y.note_id = x.note_id and y.k = x.i where ends_with(x.piece, '.') and not ({{inside}})
+        union all select note_id, n from sizes),
+      chain as (with recursive c as (select note_id, cast(0 as bigint) as s, min(e) as e from ends where e > 128 group by note_id
+        union all select c.note_id, c.e, min(n.e) from c join ends n on n.note_id = c.note_id and n.e > c.e + 128 group by c.note_id, c.e) select * from c),
+      ranges as (select note_id, s + k * 128 as s, least(s + k * 128 + 128, e) as e from (select *, unnest(range(cast(ceil((e - s) / 128) as bigint))) as k from chain)
+        union all select z.note_id, coalesce(max(c.e), 0), any_value(z.n) from sizes z left join chain c using (note_id) group by z.note_id having coalesce(max(c.e), 0) < any_value(z.n)),
+      bounds as (select r.note_id, cast(r.s as int) as start, cast(r.e as int) as "end", cast(a.b as int) as span_start, cast(coalesce(b.at_, length(t.text)) as int) as span_end, t.text
+        from ranges r join note_text t using (note_id) join begins a on a.note_id = r.note_id and a.k = r.s left join begins b on b.note_id = r.note_id and b.k = r.e),
+      chunks as (select note_id, note_id || '-' || cast(start as varchar) || '-' || cast("end" as varchar) as chunk_id, start, "end", span_start, span_end,
+        substr(text, span_start + 1, span_end - span_start) as text from bounds)""".replace("{inside}", inside)
+
+
+_IN_SPAN = "exists (select 1 from tagged s where s.note_id = y.note_id and s.span_start <= y.b and s.span_end > y.b)"
+
+
+@query("note_chunks", "H36", "note_text", _TAGS + _chunked() + " select * from chunks")
 def note_chunks(t):
     return N.chunk_notes(t.note_text, max_tokens=128)
 
 
+@query("note_chunks_beside_entities", "H36", "note_text", _TAGS + _chunked(_IN_SPAN) + " select * from chunks")
+def note_chunks_beside_entities(t):
+    return N.chunk_notes(t.note_text, _doc_spans(t), max_tokens=128)
+
+
 @query(
     "sentence_chunks",
     "H36",
@@ -210,7 +234,14 @@ def _doc_spans(t):
     return cut_lineage(N.tag_terms(t.note_text, terms, 2).select("note_id", "span_start", "span_end", "label"))
 
 
-@query("chunk_spans", "H37 K4")
+@query(
+    "chunk_spans",
+    "H37 K4",
+    "note_text",
+    _TAGS
+    + _chunked()
+    + """ select chunk_id, start, "end" from chunks c where exists (select 1 from tagged s where s.note_id = c.note_id and s.label = 'PD' and s.span_end > c.span_start and s.span_start < c.span_end)""",
+)
 def chunk_spans(t):
     chunks = N.chunk_notes(t.note_text, max_tokens=128)
     spans = N.rebase_spans(chunks, _doc_spans(t))

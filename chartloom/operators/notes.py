@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,32 +147,28 @@ def tag_terms(notes: DataFrame, terms: DataFrame, max_words: int = 3) -> DataFra
 
 
 def _chunks(ends: Column, size: Column, max_tokens: int, one_sentence: bool) -> Column:
-    """(start, end) word ranges from sentence ends, in one fold over the sentences of a note."""
-    rng = "array<struct<s:int,e:int>>"
-    m = F.lit(max_tokens)
-    zero = F.struct(F.lit(0).alias("start"), F.array().cast(rng).alias("out"))
-
-    def one(s, e):
-        return F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))
-
-    def step(acc, end):
-        start, out = acc["start"], acc["out"]
-        n = F.ceil((end - start) / m).cast("int") - 1
-        full = F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct((start + (i - 1) * m).cast("int").alias("s"), (start + i * m).cast("int").alias("e")),
-        )
-        too_long = F.struct(end.alias("start"), F.concat(out, full, one(start + n * m, end)).alias("out"))
-        if one_sentence:
-            fits = F.struct(end.alias("start"), F.concat(out, one(start, end)).alias("out"))
-        else:
-            fits = F.struct(start.alias("start"), out.alias("out"))
-        return F.when(end - start > m, too_long).otherwise(fits)
+    """(s, e) word ranges from sentence ends, one pass over the sentences of a note.
 
-    def finish(acc):
-        return F.filter(F.concat(acc["out"], one(acc["start"], size)), lambda c: c["e"] > c["s"])
+    Only the numbers of a note leave the JVM, in Arrow batches: where a chunk begins depends on all before it.
+    """
 
-    return F.aggregate(ends, zero, step, finish)
+    @F.pandas_udf("array<int>")
+    def bounds(ends: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for found, n in zip(ends, sizes):
+            start, cuts = 0, [0]
+            for end in (*found, n):
+                if end - start > max_tokens:
+                    cuts += [*range(start + max_tokens, end, max_tokens), end]
+                elif one_sentence and end > start:
+                    cuts.append(end)
+                start = cuts[-1]
+            out.append(cuts if start == n else [*cuts, n])
+        return pd.Series(out)
+
+    cuts = bounds(ends, size)
+    pairs = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    return pairs
 
 
 def chunk_notes(
@@ -184,7 +181,7 @@ def chunk_notes(
     the next sentence are too many, they are cut every ``max_tokens`` words up to the end of
     that sentence. ``max_tokens`` 0 keeps notes whole.
     """
-    df = with_words(notes.select("note_id", "text"))
+    df = with_words(spread(notes.select("note_id", "text")))
     size, n = F.size("_p"), WORDS_PER_ROW
 
     def before(word):
@@ -215,7 +212,8 @@ def chunk_notes(
             gone = gone.groupBy("note_id").agg(F.collect_set("end").alias("_gone"))
             df = df.join(gone, "note_id", "left")
             ends = F.when(F.col("_gone").isNull(), ends).otherwise(F.array_except(ends, "_gone"))
-        chunks = _chunks(F.concat(ends, F.array(size)), size, max_tokens, one_sentence)
+        df = df.withColumn("_cuts", _chunks(ends, size, max_tokens, one_sentence))
+        chunks = F.col("_cuts")
 
     def cut(c):
         lo, hi = begin(c["s"]), before(c["e"])
