@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 16384
+#: Widths of blocks: up to ``BLOCK`` times four to this power.
+_LEVELS = 15
 
 
 def _keys(key) -> list[str]:
@@ -57,25 +59,33 @@ def containment_join(
     distinct rows of the joined table without shuffling them again. With ``how="left"`` outer
     spans without a match are kept.
 
-    Blocks are at least as long as the longest outer span, so an inner span can only lie in an
-    outer span that starts in its own block or in the one before: inner spans near the start
-    of a block are offered to both, outer spans to one, and each pair meets once.
+    Outer spans lie in blocks of a width of their own: the least of ``block`` times a power of four that is not shorter.
+    An inner span can then only lie in an outer one that starts in the block of its own start or in the one before:
+    it is offered, for each width that outer spans have, to its block and, near the start of it, to the one before. An
+    outer span lies in one block, so each pair meets once and a left join stays one. A single long span adds a width, and
+    leaves the blocks of all others as they are.
     """
     if how not in ("left", "inner"):
         raise ValueError("how is 'left' or 'inner'")
     keys = _keys(key)
-    longest = outer.agg(F.max(F.col(end) - F.col(start))).scalar()
-    width = F.greatest(F.lit(block), F.coalesce(longest, F.lit(0))).cast("long")
     outer, inner = outer.distinct(), suffix(inner.distinct(), inner_suffix)
     names = outer.columns + inner.columns
     s, e = start + inner_suffix, end + inner_suffix
-
-    outer_b = outer.withColumn("_a", F.floor(F.col(start) / width).cast("long"))
-    own = F.floor(F.col(s) / width).cast("long")
-    reach = F.floor((F.col(s) - F.coalesce(longest, F.lit(0))) / width).cast("long")
-    inner_b = inner.withColumn("_b", F.explode(F.sequence(reach, own)))
+    length = F.col(end) - F.col(start)
+    level = sum((F.when(length > block * 4**k, 1).otherwise(0) for k in range(_LEVELS)), F.lit(0))
+    outer = outer.withColumn("_level", level)
+    width = lambda level: F.lit(block).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), level * 2)
+
+    levels = outer.groupBy("_level").agg(F.max(F.greatest(length, F.lit(0))).alias("longest"))
+    levels = levels.where("longest is not null").agg(F.collect_list(F.struct("_level", "longest"))).scalar()
+
+    outer_b = outer.withColumn("_a", F.floor(F.col(start) / width(F.col("_level"))).cast("long"))
+    offered = inner.select("*", F.explode(levels).alias("_x"))
+    near, own = (F.floor(c / width(F.col("_x._level"))).cast("long") for c in (F.col(s) - F.col("_x.longest"), F.col(s)))
+    inner_b = offered.select("*", F.explode(F.sequence(near, own)).alias("_b"))
     cond = (
         _equal(keys, [k + inner_suffix for k in keys])
+        & (F.col("_level") == F.col("_x._level"))
         & (F.col("_a") == F.col("_b"))
         & (F.col(start) <= F.col(s))
         & (F.col(end) >= F.col(e))

@@ -44,6 +44,19 @@ def test_span_joins(spark, block):
     assert inside <= touching
 
 
+def test_containment_at_every_width(spark):
+    """Outer spans of very different lengths: each pair meets once, and a long one changes no other's block."""
+    rng = random.Random(3)
+    a = [("n", s, s + 4**k + rng.randrange(3), f"o{k}") for k in range(13) for s in (0, 5, 4**k, 3 * 4**k + 1, rng.randrange(4**12))]
+    a += [("n", -40, -3, "below zero"), ("n", 9, 9, "empty"), (None, 0, 9, "no note"), ("n", None, 9, "no start")]
+    b = [("n", s, s + rng.randrange(5), "i") for s in [0, 5, 9, 10, *[4**k + d for k in range(13) for d in (-2, -1, 0, 1)], -20]] + [("n", 3, 4**11, "long")]
+    a, b = sorted(set(a), key=str), sorted(set(b), key=str)
+    inside = {(x, y) for x in a for y in b if x[0] == y[0] and x[1] is not None and x[1] <= y[1] and x[2] >= y[2]}
+    got = P.containment_join(spark.createDataFrame(a, SPAN), spark.createDataFrame(b, SPAN), block=4).collect()
+    assert {(tuple(r)[:4], tuple(r)[4:]) for r in got if r.source_inner} == inside
+    assert len(got) == len(inside) + len(set(a) - {x for x, _ in inside})
+
+
 def greedy(rows):
     keep = []
     for r in sorted(rows, key=lambda r: (r[1] - r[2], r[1], r[3])):
