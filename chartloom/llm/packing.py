@@ -33,7 +33,7 @@ from chartloom.llm.tables import stored
 CAPACITY = 1024
 END = 2
 #: Text on which the fast engine must agree with the tokenizer before it is used.
-PROBE = " it's  a\tprobe\n\nof 1234 words, é 漢字 🙂 we'll _see_ <|endoftext|>\r\n  END "
+PROBE = " it's  a\tprobe\n\nof 1234 words, é 漢字 🙂 we'll _see_ \r\n  END "
 
 
 def vocabulary() -> str:
@@ -45,9 +45,10 @@ def vocabulary() -> str:
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer; a worker keeps one for all its tasks.
 
-    The tokenizer's own vocabulary is handed to an engine that merges several times faster. It needs
-    ids in the order of the merges and the public pattern of words, as the default vocabulary has
-    them; if the two disagree on ``PROBE``, the tokenizer itself does all the work.
+    The tokenizer is used as it is read: the text of a special token is that token. The vocabulary is handed to an
+    engine that merges several times faster. It needs ids in the order of the merges and the public pattern of words, as
+    the default vocabulary has them; if the two disagree on ``PROBE``, the tokenizer itself does all the work, and it
+    always does texts that hold a special token.
     """
 
     _own: dict[str, Encoder] = {}
@@ -62,7 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.engine = self._engine()
 
     def _engine(self):
@@ -85,10 +86,9 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if self.engine:
-            found = [self.engine.encode_ordinary(t) for t in texts]
-        else:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        slow = [k for k, t in enumerate(texts) if not self.engine or any(s in t for s in self.special)]
+        done = dict(zip(slow, self.tokenizer.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False)))
+        found = [done[k].ids if k in done else self.engine.encode_ordinary(t) for k, t in enumerate(texts)]
         return [np.array(i, "<u4").tobytes() for i in found]
 
 
