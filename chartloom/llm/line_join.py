@@ -17,8 +17,8 @@ more. Matches are judged on the input: a line that is removed itself still count
 Equal sets are one row from step 3 on, so copies of a line cost one aggregation. All built-in
 expressions; sets count as equal by 96 bits over the 64-bit hashes of their words.
 
-Cases: null text has no lines; lines without words, and lines with fewer than ``least`` distinct words
-(``MIN_WORDS`` unless given), are never removed; a null id comes after all others; rows that repeat an id with another
+Cases: null text has no lines; lines without words are never removed, nor are lines with fewer than ``least`` distinct words
+(``MIN_WORDS`` unless given); a null id comes after all others; rows that repeat an id with another
 text are documents of their own, ordered by a hash of their text; equal rows lose nothing to each other;
 very long lines are sets like any other; an empty table gives an empty result; further columns stay
 as they are.
@@ -33,7 +33,8 @@ from chartloom.llm.blocks import keyed
 from chartloom.llm.tables import fresh, stored, words
 
 PERCENT = 90
-MIN_WORDS = 5
+#: Least distinct words of a line that can be removed: one, so lines of any length are judged.
+MIN_WORDS = 1
 CELLS = 1 << 16
 
 #: SQL: words that two sets of a and b words must share, over aliases x and y.

@@ -75,7 +75,7 @@ def repeats(docs, span=50):
     return {(i, t): out[i is None, i if i is not None else 0, t or ""] for i, t in docs}
 
 
-def line_marks(docs, percent=90, least=5):
+def line_marks(docs, percent=90, least=1):
     """(id, text) -> {place: (copy, similar)} of the lines with a word; ids must be unique or null-free."""
     seen, lines = {}, []
     for rank, (_, i, text) in enumerate(order_of(docs)):
