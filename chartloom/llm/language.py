@@ -23,6 +23,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -44,7 +45,9 @@ PENALTY = 1e-3
 #: Words whose weights a worker remembers; padded words worked on at a time.
 REMEMBERED = 200_000
 CELLS = 150_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: a word character that is no letter is a number (½, ², ①), a digit or the underscore.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,8 +65,8 @@ def features(word: str, lexicons: dict[str, int]) -> list[int]:
     return [zlib.crc32(n.encode()) % SIZE for n in names]
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of padded sequences (time, sequence, label) and the expected transitions.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of padded sequences (time, sequence, label) and, to ``learn`` from, the expected transitions.
 
     Sequences are right-padded; padding has probability 0. Values are scaled at each step.
     """
@@ -86,7 +89,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray,
     found /= found.sum(axis=2, keepdims=True)
     found = np.where(inside, found, 0)
     expected = np.zeros_like(moves)
-    if steps > 1:
+    if steps > 1 and learn:
         pair = np.einsum("tbi,ij,tbj->tbij", alpha[:-1], move, beta[1:] * weight[1:]) if steps * n <= CELLS else None
         if pair is not None:
             pair /= pair.sum(axis=(2, 3), keepdims=True)
@@ -211,12 +214,12 @@ class Labeller:
         if len(self.number) > REMEMBERED:
             self.number, self.scores = {}, self.scores[:0]
         known = self.number
-        new = list(dict.fromkeys(w for t in texts for w in t if w not in known))
+        new = sorted(set().union(*texts).difference(known))
         if new:
             for w in new:
                 known[w] = len(known)
             self.scores = np.concatenate([self.scores, self.model.word_scores(new)])
-        return [np.array([known[w] for w in t], np.int64) for t in texts]
+        return [np.fromiter(map(known.__getitem__, t), np.int64, len(t)) for t in texts]
 
     def probabilities(self, texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, probabilities of its words) for every text with a word."""
@@ -239,7 +242,7 @@ class Labeller:
 
 
 def _posteriors(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    return forward_backward(scores, lengths, start, moves)[0] if scores.shape[2] > 1 else np.ones_like(scores)
+    return forward_backward(scores, lengths, start, moves, learn=False)[0] if scores.shape[2] > 1 else np.ones_like(scores)
 
 
 def predicted(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", by_word: bool = False) -> DataFrame:
