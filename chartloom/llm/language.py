@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.llm import bytesets
 from chartloom.llm.tables import remainder
 
 SAMPLE = 200
@@ -45,24 +46,61 @@ PENALTY = 1e-3
 #: Words whose weights a worker remembers; padded words worked on at a time.
 REMEMBERED = 200_000
 CELLS = 150_000
-#: Runs of letters: a word character that is no letter is a number (½, ², ①), a digit or the underscore.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: What that still holds besides letters: numbers such as ½, ² and ①.
+NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters in lower case."""
+    words = WORD.findall(text.lower()) if text else []
+    if words and not "".join(words).isalpha():  # rare, and told at once
+        words = [w for run in words for w in NUMBERS.split(run) if w]
+    return words
 
 
-def features(word: str, lexicons: dict[str, int]) -> list[int]:
-    """Feature numbers of a word; ``lexicons`` gives each listed word the set of its languages as bits."""
-    marked = f"^{word}$"
-    names = {f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3, 4))}
-    names.update(marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1))
-    bits = lexicons.get(word, 0)
-    names.add(f"l{bits}")
-    names.add("plain" if word.isascii() else "accented")
-    return [zlib.crc32(n.encode()) % SIZE for n in names]
+def _hashed(kind: int, *letters: np.ndarray) -> np.ndarray:
+    """Feature numbers of n-grams given letter by letter."""
+    x = np.full(len(letters[0]), kind, np.uint64)
+    for c in letters:
+        x = x * np.uint64(0x100000001B3) + c
+    return (bytesets.mix(x) & np.uint64(SIZE - 1)).astype(np.int64)
+
+
+def features(words: list[str], lexicons: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words, one word after the other, and how many each has.
+
+    ``lexicons`` gives each listed word the set of its languages as bits. All words are hashed at once: their
+    letters lie in one array, with a mark before and after each word.
+    """
+    n = len(words)
+    letters = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    starts = np.cumsum(sizes + 2) - sizes - 1  # of the letters; a mark on each side
+    ends = starts + sizes
+    owner = np.repeat(np.arange(n), sizes + 2)
+    flat, owners = [], []
+
+    def add(kind: int, at: np.ndarray, of: np.ndarray, width: int) -> None:
+        flat.append(_hashed(kind, *(letters[at + k] for k in range(width))))
+        owners.append(of)
+
+    for width in (2, 3):
+        at = np.flatnonzero(owner[: 1 - width] == owner[width - 1 :])
+        add(width, at, owner[at], width)
+    for width in (1, 2, 3, 4):
+        long = np.flatnonzero(sizes >= width)
+        if width < 4:
+            add(10 + width, starts[long], long, width)
+        add(20 + width, ends[long] - width, long, width)
+    whole = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, n)
+    bits = np.fromiter((lexicons.get(w, 0) for w in words), np.uint64, n)
+    plain = np.fromiter(map(str.isascii, words), np.uint64, n)
+    for kind, values in ((30, whole), (31, bits), (32, plain)):
+        flat.append(_hashed(kind, values))
+        owners.append(np.arange(n))
+    flat, owners = np.concatenate(flat), np.concatenate(owners)
+    return flat[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=n)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray, learn: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +145,10 @@ class Model:
         self.start, self.moves = np.zeros(k), np.eye(k) * 2.0
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        rows = [features(w, self.lexicons) for w in words]
-        at = np.cumsum([0, *map(len, rows)])[:-1]
-        return np.add.reduceat(self.weights[np.concatenate([np.array(r) for r in rows])], at, axis=0).astype(float) if rows else np.zeros((0, len(self.languages)))
+        if not words:
+            return np.zeros((0, len(self.languages)), np.float32)
+        flat, sizes = features(words, self.lexicons)
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
 
 
 def train(samples: list[tuple[str, list[list[str]]]]) -> Model | None:
@@ -147,9 +186,8 @@ def train(samples: list[tuple[str, list[list[str]]]]) -> Model | None:
     for b, s in enumerate(sequences):
         for t, (w, i) in enumerate(s):
             words[t, b], gold[t, b] = vocabulary.setdefault(w, len(vocabulary)), i
-    rows = [features(w, lexicons) for w in vocabulary]
-    flat, sizes = np.concatenate([np.array(r) for r in rows]), np.array([len(r) for r in rows])
-    at, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
+    flat, sizes = features(list(vocabulary), lexicons)
+    at, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(steps)[:, None] < lengths
     hot = np.eye(labels)[gold] * inside[:, :, None]
     moved = np.zeros((labels, labels))
@@ -166,7 +204,7 @@ def train(samples: list[tuple[str, list[list[str]]]]) -> Model | None:
             gradient[1] += missing[0].sum(axis=0)
             gradient[2] -= expected
             for i in range(labels):
-                per_word = np.bincount(words[:, part].ravel(), weights=missing[:, :, i].ravel(), minlength=len(rows))
+                per_word = np.bincount(words[:, part].ravel(), weights=missing[:, :, i].ravel(), minlength=len(sizes))
                 gradient[0][:, i] += np.bincount(flat, weights=per_word[owner], minlength=SIZE)
         gradient[2] += moved
         for k, p in enumerate(parameters):
@@ -208,7 +246,7 @@ class Labeller:
     def __init__(self, model: Model):
         self.model = model
         self.number: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
+        self.scores = np.zeros((0, len(model.languages)), np.float32)
 
     def _numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.number) > REMEMBERED:
@@ -242,6 +280,7 @@ class Labeller:
 
 
 def _posteriors(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    start, moves = start.astype(scores.dtype), moves.astype(scores.dtype)
     return forward_backward(scores, lengths, start, moves, learn=False)[0] if scores.shape[2] > 1 else np.ones_like(scores)
 
 
