@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from chartloom.catalog.registry import query
 from chartloom.operators import cohort as C
 from chartloom.functions.text import test_name
+from chartloom.session import scratch
+from chartloom.sources.tables import read_sink, write_sinks
 
 DISEASES = {"lupus": ["1", "2"], "takayasu": ["2", "3"]}
 COHORT = """, codes as (select * from (values ('lupus', 'CIM10:1'), ('lupus', 'CIM10:2'), ('takayasu', 'CIM10:2'),
@@ -94,6 +96,25 @@ def cohort_notes(t):
     )
 
 
+_SUNK = "disease, instance_num, encounter_num, patient_num, md5(observation_blob) as text_md5"
+
+
+@query(
+    "sinks_per_disease",
+    "A11",
+    NEEDS,
+    COHORT + f" select 'all' as sink, {_SUNK} from rows_ union all select disease, {_SUNK} from rows_",
+)
+def sinks_per_disease(t):
+    rows = C.cohort_rows(t.note, t.diagnosis, t.visit, codes(t))
+    rows = rows.select("disease", "instance_num", "encounter_num", "patient_num", F.md5("observation_blob").alias("text_md5"))
+    path = scratch(t.spark, "cohort")
+    out = write_sinks(rows, path).withColumn("sink", F.lit("all"))
+    for disease in DISEASES:
+        out = out.unionByName(read_sink(t.spark, path, rows.schema, value=disease).withColumn("sink", F.lit(disease)))
+    return out
+
+
 @query(
     "note_copies",
     "D1",

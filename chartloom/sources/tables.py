@@ -51,6 +51,24 @@ def write_step(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_sinks(df: DataFrame, path: str, by: str = "disease") -> DataFrame:
+    """Write a step once, as one sink per value of ``by``, and return the combined table as read back.
+
+    The folders below ``path`` are the sinks, its root is the combined table: nothing is written twice. Rows of one
+    sink are dealt over tasks by a hash of the row, so a disease with most of the rows is no task's file.
+    """
+    rest = [c for c in df.columns if c != by]
+    salt = F.pmod(F.xxhash64(*rest), F.lit(16)) if rest else F.lit(0)
+    df.repartition(F.col(by), salt).write.mode("overwrite").partitionBy(by).parquet(path)
+    return read_sink(df.sparkSession, path, df.schema, by).select(*df.columns)
+
+
+def read_sink(spark: SparkSession, path: str, schema: T.StructType, by: str = "disease", value: object = None) -> DataFrame:
+    """One sink of ``write_sinks`` (only its folder is read), or all of them where ``value`` is None."""
+    held = spark.read.schema(schema).parquet(path)
+    return held if value is None else held.where(F.col(by) == F.lit(value))
+
+
 def write_scores(df: DataFrame, path: str) -> None:
     """Per-document scores as JSON lines."""
     df.write.mode("overwrite").json(path)
