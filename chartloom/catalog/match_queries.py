@@ -301,12 +301,12 @@ def drug_dictionary(t):
     "synonyms_added",
     "C23",
     "gold_code vocab_row",
-    """, g as (select distinct source, span_start, annotation from gold_code),
+    """, g as (select source, span_start, annotation from gold_code),
        f as (select code, min(str) as n from vocab_row group by code)
        select source, span_start, annotation, coalesce(n, '') as names from g left join f on code = 'Brand#' || right(annotation, 1)""",
 )
 def synonyms_added(t):
-    df = t.gold_code.distinct().withColumn("codes", F.array(F.concat(F.lit("Brand#"), F.expr("right(annotation, 1)"))))
+    df = t.gold_code.withColumn("codes", F.array(F.concat(F.lit("Brand#"), F.expr("right(annotation, 1)"))))
     return V.add_synonyms(df, t.vocab_row, "codes").select("source", "span_start", "annotation", F.array_join("names", ";").alias("names"))
 
 

@@ -152,8 +152,12 @@ def dictionary_names(dictionary: DataFrame) -> DataFrame:
 
 
 def add_synonyms(df: DataFrame, vocab: DataFrame, codes: str = "annotation") -> DataFrame:
-    """Rows with a display text: the first synonym (in text order) of each of their codes."""
+    """Rows with a display text: the first synonym (in text order) of each of their codes.
+
+    Equal rows are looked up once and stay as many as they were.
+    """
     first = vocab.groupBy("code").agg(F.min("str").alias("_name"))
-    long = df.select("*", F.explode_outer(codes).alias("code")).join(first, "code", "left")
-    group = [F.col(c) for c in df.columns]
-    return long.groupBy(*group).agg(F.sort_array(F.collect_set("_name")).alias("names"))
+    once = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_times"))
+    long = once.select("*", F.explode_outer(codes).alias("code")).join(first, "code", "left")
+    named = long.groupBy(*df.columns, "_times").agg(F.sort_array(F.collect_set("_name")).alias("names"))
+    return named.select("*", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy")).drop("_times", "_copy")

@@ -15,3 +15,12 @@ def test_sinks(spark, tmp_path):
     plan = read_sink(spark, f"{tmp_path}/s", df.schema, value="lupus")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PartitionFilters: [isnotnull(disease" in plan
     assert write_sinks(df.where("false"), f"{tmp_path}/e").count() == 0
+
+
+def test_synonyms_keep_repeated_rows(spark):
+    from chartloom.operators.vocab import add_synonyms
+
+    rows = spark.createDataFrame([("a", ["1", "2"]), ("a", ["1", "2"]), ("b", ["9"]), ("c", None)], "doc string, codes array<string>")
+    vocab = spark.createDataFrame([("1", "two"), ("1", "one"), ("2", "x")], "code string, str string")
+    got = sorted((r.doc, r.names) for r in add_synonyms(rows, vocab, "codes").collect())
+    assert got == [("a", ["one", "x"]), ("a", ["one", "x"]), ("b", []), ("c", [])]
