@@ -7,12 +7,13 @@ more. Matches are judged on the input: a line that is removed itself still count
 1. Rarity: words are counted in ``CELLS`` cells by hash over the whole table. Each set is ordered by
    its words' cells, rarest first; the counts steer the work only, the result is exact for any order.
 2. Prefix filter: sets that similar share a word among the first n - ceil(t n) + 1. Those words go
-   through one shuffle, with the set's size, the word's place and a 64-bit parity of the set.
+   through one shuffle as 32-bit hashes, with the set's id, its size, the word's place and a 64-bit parity of the set.
 3. Filters on sets that share a prefix word: size, place (what can still be common after it), and
    parity (each differing word flips one bit at most). This is a left semi join: it stops at a set's
    first partner, so a group of many variants is passed through and never spelt out as pairs.
-4. The few sets with a partner left get their words again; a second left semi join verifies Jaccard
-   on the words themselves against earlier sets.
+4. The few sets with a partner left get their words again, as one string, and meet once per group of
+   sets that share prefix words; a second left semi join verifies Jaccard on the words themselves
+   against earlier sets.
 
 Equal sets are one row from step 3 on, so copies of a line cost one aggregation. All built-in
 expressions; sets count as equal by 96 bits over the 64-bit hashes of their words.
@@ -26,7 +27,7 @@ as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.llm.blocks import keyed
@@ -68,6 +69,8 @@ def _sets(lines: DataFrame, percent: int, least: int) -> DataFrame:
     """(key, place, set_id, check, n, parity, prefix) of each line, and ``words`` where ``lines`` has them."""
     n = F.size("ranked")
     prefix = n - F.expr(f"(size(ranked) * {percent} + 99) div 100").cast("int") + 1
+    # Where words are told apart by 32 bits, more sets meet; none that share a word are missed.
+    shared = F.transform(F.slice("ranked", F.lit(1), prefix), lambda c: F.hash(c))
     # A set below this size can only match an equal one.
     alone = n * 100 < (n + 1) * percent
     return lines.select(
@@ -77,40 +80,61 @@ def _sets(lines: DataFrame, percent: int, least: int) -> DataFrame:
         F.hash("ranked").alias("check"),
         n.alias("n"),
         F.expr("aggregate(ranked, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int)))").alias("parity"),
-        F.when(alone | (n < least), F.array().cast("array<bigint>")).otherwise(F.slice("ranked", F.lit(1), prefix)).alias("prefix"),
+        F.when(alone | (n < least), F.array().cast("array<int>")).otherwise(shared).alias("prefix"),
         *[c for c in lines.columns if c == "words"],
     )
 
 
+def _alike(percent: int) -> str:
+    """SQL: different sets x and y that may be similar by size and parity."""
+    need = _NEED.format(p=percent, q=100 + percent)
+    sizes = f"x.n * 100 >= y.n * {percent} and y.n * 100 >= x.n * {percent}"
+    return f"x.set_id <> y.set_id and {sizes} and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * ({need})"
+
+
 def _filters(percent: int) -> str:
     need = _NEED.format(p=percent, q=100 + percent)
-    return (
-        f"x.t = y.t and x.set_id <> y.set_id and x.n * 100 >= y.n * {percent} and y.n * 100 >= x.n * {percent}"
-        f" and least(x.n - x.pos, y.n - y.pos) >= {need} and bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * ({need})"
-    )
+    return f"x.t = y.t and least(x.n - x.pos, y.n - y.pos) >= {need} and {_alike(percent)}"
+
 
+def _met(sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """(set_id, first, times, n, parity, groups): sets that occur twice, or that pass the filters with another set.
 
-def _similar(rows: DataFrame, sets: DataFrame, weights: Column, percent: int, least: int) -> DataFrame:
-    """(set_id): sets with a similar, different set that occurs earlier."""
-    prefixes = sets.select("key", "place", "set_id", "n", "parity", F.posexplode("prefix").alias("pos", "t"))
-    once = prefixes.repartition("t").groupBy("t", "set_id", "n", "parity", "pos").agg(F.min(F.struct("key", "place")).alias("first"))
-    # Different sets never begin at one line. Saying so keeps the join above the aggregation, with
-    # the same columns on both sides: they share one shuffle.
-    near = once.alias("x").join(once.alias("y"), F.expr(_filters(percent) + " and x.first <> y.first"), "left_semi")
-    few = stored(near.select("set_id", "first").distinct(), "near-lines")
+    ``groups`` (null without a partner) name the groups of sets with a partner that share a prefix word. Words shared by
+    the same sets make one group, so similar sets meet about once later on, not once for every word of their prefixes.
+    """
+    prefixes = sets.select("set_id", "n", "parity", F.posexplode("prefix").alias("pos", "t"))
+    # Equal sets become one row. Size, place and parity are the set's own: as aggregates they keep the join above
+    # the aggregation, so that both sides share one shuffle.
+    once = prefixes.repartition("t").groupBy("t", "set_id").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    near = once.alias("x").join(once.alias("y"), F.expr(_filters(percent)), "left_semi")
+    members, mixed = Window.partitionBy("t"), F.xxhash64("set_id", F.lit(1))
+    group = F.xxhash64(F.count(F.lit(1)).over(members), F.bit_xor("set_id").over(members), F.bit_xor(mixed).over(members))
+    partners = near.select("set_id", "n", "parity", group.alias("group"))
+    partners = partners.groupBy("set_id").agg(F.max("n").alias("n"), F.max("parity").alias("parity"), F.collect_set("group").alias("groups"))
+    first = F.min(F.struct("key", "place", "check")).alias("first")
+    firsts = sets.where(F.col("n") >= least).groupBy("set_id").agg(first, F.count(F.lit(1)).alias("times"))
+    return firsts.join(partners.hint("merge"), "set_id", "left").where("times > 1 or groups is not null")
+
+
+def _similar(rows: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """(set_id): those of ``few`` with a similar set that occurs earlier."""
     # Their words, from the documents that hold their first occurrences.
-    places = few.groupBy(F.col("first.key").alias("_key")).agg(F.collect_set("first.place").alias("_places"))
+    sets = F.collect_list(F.struct("first.place", "set_id", "n", "parity", "groups")).alias("_sets")
+    places = few.groupBy(F.col("first.key").alias("_key")).agg(sets).withColumn("_places", F.col("_sets.place"))
     # No broadcast: these places grow with the input.
     held = rows.join(places.hint("merge"), F.col("key") == F.col("_key"))
-    at = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("_places", i), F.struct(i.alias("place"), x.alias("line"))))
-    picked = held.select("key", F.explode(F.filter(at, lambda x: x.isNotNull())).alias("l")).select("key", F.col("l.place"), F.col("l.line"))
-    picked = picked.select("key", "place", F.array_distinct(words(F.col("line"))).alias("words"))
-    again = _ordered(picked.withColumn("codes", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))), weights)
-    listed = stored(_sets(again, percent, least).withColumn("first", F.struct("key", "place")).drop("key", "place"), "near-sets")
-    spread = listed.select("first", "set_id", "n", "parity", "words", F.posexplode("prefix").alias("pos", "t"))
+    told = lambda i: F.get("_sets", (F.array_position("_places", i) - 1).cast("int"))
+    at = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("_places", i), F.struct(x.alias("line"), told(i).alias("set"))))
+    picked = held.select("key", F.explode(F.filter(at, lambda x: x.isNotNull())).alias("l")).select("key", "l.line", "l.set.*")
+    # Words hold no blank: as one string they take a fifth of an array's room in a shuffle.
+    text = F.array_join(F.array_distinct(words(F.col("line"))), " ")
+    listed = stored(picked.select(F.struct("key", "place").alias("first"), "set_id", "n", "parity", "groups", text.alias("words")), "near-sets")
+    spread = listed.select("first", "set_id", "n", "parity", "words", F.explode("groups").alias("group")).repartition("group")
     need = _NEED.format(p=percent, q=100 + percent)
-    verified = f"{_filters(percent)} and y.first < x.first and size(array_intersect(x.words, y.words)) >= {need}"
-    return spread.alias("x").join(spread.alias("y"), F.expr(verified), "left_semi").select("set_id").distinct()
+    common = f"size(array_intersect(split(x.words, ' '), split(y.words, ' '))) >= {need}"
+    verified = f"x.group = y.group and {_alike(percent)} and y.first < x.first and {common}"
+    return spread.alias("x").join(spread.alias("y").hint("merge"), F.expr(verified), "left_semi").select("set_id").distinct()
 
 
 def marked(
@@ -123,10 +147,10 @@ def marked(
     rows = keyed(docs, doc_id, text)
     weights = _weights(rows)
     sets = stored(_sets(_ordered(_lines(rows), weights), percent, least), "line-sets")
-    similar = _similar(rows, sets.where("size(prefix) > 0"), weights, percent, least)
-    firsts = sets.where(F.col("n") >= least).groupBy("set_id").agg(F.min(F.struct("key", "place", "check")).alias("first"), F.count(F.lit(1)).alias("times"))
+    met = stored(_met(sets, percent, least), "line-sets-met")
+    similar = _similar(rows, met.where("groups is not null"), percent)
     # Only sets that occur twice or have a partner say something about a line.
-    known = firsts.join(similar.withColumn("similar", F.lit(True)), "set_id", "left").where("times > 1 or similar")
+    known = met.select("set_id", "first", "times").join(similar.withColumn("similar", F.lit(True)), "set_id", "left").where("times > 1 or similar")
     known = known.select(F.col("set_id").alias("_set"), "first", F.coalesce("similar", F.lit(False)).alias("_similar"))
     lines = sets.select("key", "place", "set_id", "check").join(known.hint("merge"), F.col("set_id") == F.col("_set"), "left")
     # A set of the same id with another check is another set: neither a copy nor similar.
@@ -142,11 +166,14 @@ def marked(
 def line_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_copies, n_similar, n_removed): one row per document."""
     rows, lines = marked(docs, doc_id, text, percent, least)
-    per = lines.groupBy(F.col("key").alias("_key")).agg(
-        F.countDistinct("place").alias("n_lines"),
-        F.countDistinct(F.when(F.col("copy"), F.col("place"))).alias("n_copies"),
-        F.countDistinct(F.when(F.col("similar"), F.col("place"))).alias("n_similar"),
-        F.countDistinct(F.when(F.col("copy") | F.col("similar"), F.col("place"))).alias("n_removed"),
+    # Equal rows have one key and repeat their places; one shuffle by key serves both steps.
+    each = lines.repartition("key").groupBy("key", "place").agg(F.max("copy").alias("copy"), F.max("similar").alias("similar"))
+    count = lambda c: F.sum(c.cast("long"))
+    per = each.groupBy(F.col("key").alias("_key")).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        count(F.col("copy")).alias("n_copies"),
+        count(F.col("similar")).alias("n_similar"),
+        count(F.col("copy") | F.col("similar")).alias("n_removed"),
     )
     out = rows.select("key", "id").join(per, F.col("key") == F.col("_key"), "left")
     return out.select(F.col("id").alias("doc_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_copies", "n_similar", "n_removed")])
