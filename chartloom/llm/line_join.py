@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.llm.blocks import keyed
-from chartloom.llm.tables import fresh, stored, words
+from chartloom.llm.tables import WORD, fresh, stored, words
 
 PERCENT = 90
 #: Least distinct words of a line that can be removed: one, so lines of any length are judged.
@@ -42,13 +42,6 @@ CELLS = 1 << 16
 _NEED = "((x.n + y.n) * {p} + {q} - 1) div {q}"
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """(key, place, codes): the distinct word hashes of each line with a word."""
-    split = rows.select("key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    hashed = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
-    return split.select("key", "place", F.array_distinct(hashed).alias("codes")).where("size(codes) > 0")
-
-
 def _weights(rows: DataFrame) -> Column:
     """Rarity of the ``CELLS`` cells as one constant array: the place of each when ordered by the
     words counted in it over the whole table, from -CELLS / 2. The driver sees one number per cell."""
@@ -58,15 +51,17 @@ def _weights(rows: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(place[k] - CELLS // 2) for k in range(CELLS))), ",").cast("array<int>")
 
 
-def _ordered(lines: DataFrame, weights: Column) -> DataFrame:
-    """``lines`` with ``ranked``: codes as numbers that sort by rarity, the place of the cell instead of
-    its number on top of the other 48 bits, so that different codes stay different."""
-    rank = lambda c: F.shiftleft(F.get(weights, c.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(c, 16))
-    return lines.withColumn("ranked", F.sort_array(F.transform("codes", rank))).drop("codes")
+def _lines(rows: DataFrame, weights: Column) -> DataFrame:
+    """(key, place, ranked): the distinct words of each line with a word, as numbers that sort by rarity: the place of
+    the cell instead of its number on top of the other 48 bits of the hash, so that different hashes stay different."""
+    split = rows.select("key", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.col("line").rlike(WORD))
+    cell = lambda w: F.get(weights, F.xxhash64(w).bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
+    rank = lambda w: F.shiftleft(cell(w), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
+    return split.select("key", "place", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), rank))).alias("ranked"))
 
 
 def _sets(lines: DataFrame, percent: int, least: int) -> DataFrame:
-    """(key, place, set_id, check, n, parity, prefix) of each line, and ``words`` where ``lines`` has them."""
+    """(key, place, set_id, check, n, parity, prefix) of each line."""
     n = F.size("ranked")
     prefix = n - F.expr(f"(size(ranked) * {percent} + 99) div 100").cast("int") + 1
     # Where words are told apart by 32 bits, more sets meet; none that share a word are missed.
@@ -81,7 +76,6 @@ def _sets(lines: DataFrame, percent: int, least: int) -> DataFrame:
         n.alias("n"),
         F.expr("aggregate(ranked, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int)))").alias("parity"),
         F.when(alone | (n < least), F.array().cast("array<int>")).otherwise(shared).alias("prefix"),
-        *[c for c in lines.columns if c == "words"],
     )
 
 
@@ -130,7 +124,7 @@ def _similar(rows: DataFrame, few: DataFrame, percent: int) -> DataFrame:
     # Words hold no blank: as one string they take a fifth of an array's room in a shuffle.
     text = F.array_join(F.array_distinct(words(F.col("line"))), " ")
     listed = stored(picked.select(F.struct("key", "place").alias("first"), "set_id", "n", "parity", "groups", text.alias("words")), "near-sets")
-    spread = listed.select("first", "set_id", "n", "parity", "words", F.explode("groups").alias("group")).repartition("group")
+    spread = listed.select("first", "set_id", "n", "parity", "words", F.explode("groups").alias("group"))
     need = _NEED.format(p=percent, q=100 + percent)
     common = f"size(array_intersect(split(x.words, ' '), split(y.words, ' '))) >= {need}"
     verified = f"x.group = y.group and {_alike(percent)} and y.first < x.first and {common}"
@@ -146,7 +140,7 @@ def marked(
     """
     rows = keyed(docs, doc_id, text)
     weights = _weights(rows)
-    sets = stored(_sets(_ordered(_lines(rows), weights), percent, least), "line-sets")
+    sets = stored(_sets(_lines(rows, weights), percent, least), "line-sets")
     met = stored(_met(sets, percent, least), "line-sets-met")
     similar = _similar(rows, met.where("groups is not null"), percent)
     # Only sets that occur twice or have a partner say something about a line.
