@@ -6,6 +6,7 @@ in ``_lines`` work on a ``(source, line)`` table from any origin.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -292,22 +293,31 @@ def write_standoff(lines: DataFrame, path: str, buckets: int = 64) -> None:
 def export_files(files: DataFrame, root: str) -> int:
     """(path, content) rows as files below ``root``, for tools that read one file per note; their number.
 
-    Each task writes its own files through the file system that ``root`` names.
+    Each task writes its own files through the file system that ``root`` names: first whole into a folder of this export,
+    then moved to their place. A task that is lost or runs twice leaves no half file there, and the folder goes at the end.
     """
+    from pyarrow import fs
 
-    def write(batches):
-        from pyarrow import fs
+    staging = f"_export-{uuid.uuid4().hex}"
 
+    def write(batches):
         system, base = fs.FileSystem.from_uri(root)
+        system.create_dir(f"{base}/{staging}")
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                target = f"{base}/{path}"
+                target, part = f"{base}/{path}", f"{base}/{staging}/{uuid.uuid4().hex}"
                 system.create_dir(target.rpartition("/")[0])
-                with system.open_output_stream(target) as f:
+                with system.open_output_stream(part) as f:
                     f.write(content.encode())
+                system.move(part, target)
             yield pdf[["path"]]
 
-    return files.select("path", "content").mapInPandas(write, "path string").count()
+    try:
+        return files.select("path", "content").mapInPandas(write, "path string").count()
+    finally:
+        system, base = fs.FileSystem.from_uri(root)
+        if system.get_file_info(f"{base}/{staging}").type == fs.FileType.Directory:
+            system.delete_dir(f"{base}/{staging}")
 
 
 def write_notes(notes: DataFrame, path: str) -> None:

@@ -24,3 +24,32 @@ def test_synonyms_keep_repeated_rows(spark):
     vocab = spark.createDataFrame([("1", "two"), ("1", "one"), ("2", "x")], "code string, str string")
     got = sorted((r.doc, r.names) for r in add_synonyms(rows, vocab, "codes").collect())
     assert got == [("a", ["one", "x"]), ("a", ["one", "x"]), ("b", []), ("c", [])]
+
+
+def test_export_leaves_whole_files_only(spark, tmp_path):
+    from chartloom.sources.standoff import export_files
+
+    root = tmp_path / "out"
+    root.mkdir()
+    (root / "a").mkdir()
+    (root / "a" / "1.ann").write_text("old")
+    once = tmp_path / "once"
+
+    def broken(batches):
+        for pdf in batches:
+            yield pdf
+
+            if (pdf["path"] == "a/1.ann").any() and once.exists():
+                raise ValueError("lost")
+
+    rows = spark.createDataFrame([("a/1.ann", "T1\tx é"), ("b/c/2.txt", "")], "path string, content string")
+    once.touch()
+    try:
+        export_files(rows.mapInPandas(broken, "path string, content string"), root.as_uri())
+    except Exception as e:  # noqa: BLE001 - the lost task
+        assert "lost" in str(e)
+    assert (root / "a" / "1.ann").read_text() in ("old", "T1\tx é") and not list(root.glob("_export-*"))
+    once.unlink()
+    for _ in range(2):  # again over the same files
+        assert export_files(rows, root.as_uri()) == 2
+        assert {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()} == {"a/1.ann": "T1\tx é", "b/c/2.txt": ""}
