@@ -73,7 +73,9 @@ def bootstrap_docs(
     picks = slots.select("draw", draw_index(seed, F.col("draw"), F.col("slot"), max(n, 1)).alias("idx"))
     pairs = packed.select("idx", F.posexplode("keys").alias("_k", "key"), "vals")
     pairs = pairs.select("idx", "key", F.slice("vals", F.col("_k") * len(values) + 1, len(values)).alias("v"))
-    everything = sums.where("key is not null").select("key", "draw", "v").unionByName(picks.join(pairs, "idx").select("key", "draw", "v"))
+    # The hint: measured by the few rows they are made from, the picks would be broadcast.
+    taken = picks.join(pairs.hint("merge"), "idx").select("key", "draw", "v")
+    everything = sums.where("key is not null").select("key", "draw", "v").unionByName(taken)
     out = everything.groupBy("key", "draw").agg(*[F.sum(F.col("v")[k]).alias(v) for k, v in enumerate(values)])
     kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
     return out.withColumn("_by", F.from_json("key", kinds)).select("draw", *[F.col("_by")[c].alias(c) for c in by], *values)

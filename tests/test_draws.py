@@ -121,3 +121,12 @@ def test_cut_outside_the_first_stretch(spark, monkeypatch):
     split, _ = R.balanced_split(spark.createDataFrame([(d,) for d in docs], "source string"), spark.createDataFrame([(d, "a", 1) for d in docs], "source string, name string, n long"), 0.2, 1, 9)
     _, test = plain_split(docs, [(d, "a", 1) for d in docs], 0.2, 1, 9)
     assert {r.source for r in split.where("part = 'test'").collect()} == test
+
+
+def test_picks_are_not_broadcast(spark):
+    """The picks grow with the documents, also where the rows they are made from are few."""
+    counts = spark.range(400).select(F.concat(F.lit("d"), "id").alias("source"), F.lit("a").alias("label"), *[F.lit(1).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+    got = R.bootstrap_docs(counts, 20, 7)
+    assert {r.tp for r in got.collect()} == {400}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
