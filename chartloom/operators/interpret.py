@@ -100,17 +100,19 @@ def qualifier_filter(
 def unit_table(spark: SparkSession, config: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """(concept, unit, rate, final_unit) of a ``concept → unit → rate`` mapping.
 
-    The first unit of a concept is the one values are converted to (``ratio`` for no unit).
+    The first unit of a concept is the one values are converted to (``ratio`` for no unit). Marked for broadcast: it is as
+    long as the mapping, and a join that moves all results by their concept fills a task per concept.
     """
     rows = []
     for concept, rates in config.items():
         final = "ratio" if next(iter(rates)) == "nounit" else next(iter(rates))
         rows += [(concept, unit, float(rate), final) for unit, rate in rates.items()]
-    return spark.createDataFrame(rows, "concept string, unit string, rate double, final_unit string")
+    return F.broadcast(spark.createDataFrame(rows, "concept string, unit string, rate double, final_unit string"))
 
 
 def limit_table(spark: SparkSession, limits: Mapping[str, float]) -> DataFrame:
-    return spark.createDataFrame([(k, float(v)) for k, v in limits.items()], "concept string, max_value double")
+    """(concept, max_value) of a mapping, marked for broadcast as ``unit_table`` is."""
+    return F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in limits.items()], "concept string, max_value double"))
 
 
 def convert_units(df: DataFrame, rates: DataFrame, value: str = "value") -> DataFrame:

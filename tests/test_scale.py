@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.operators import cohort as C
+from chartloom.operators import interpret as I
 from chartloom.operators import lists as L
 from chartloom.operators import match as M
 from chartloom.operators import notes as N
 from chartloom.operators import quantiles as Q
 from chartloom.operators import resample as R
+from chartloom.operators import rollup as U
 from chartloom.operators import score as S
 from chartloom.operators import spans as P
 
@@ -299,3 +301,18 @@ def test_plans(spark):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
     scan = plan(load()["cohort_notes"].run(spark, "/root/testdata/sf0.001"))
     assert "PushedFilters: [" in scan and "n_chars" not in scan.split("ReadSchema")[1]
+
+
+def test_value_sets_are_not_dealt_by_concept(spark):
+    """Few concepts: a join with the tables of units and limits must not move all results to a task per concept."""
+    rows = spark.range(200).select(
+        (F.col("id") % 50).alias("patient_num"), F.lit("CRP").alias("concept"), F.lit("MG/L").alias("unit"), (F.col("id") % 7).cast("double").alias("value")
+    )
+    rates = I.unit_table(spark, {"CRP": {"mg/l": 1, "mg/dl": 10}, "Hb": {"g/dl": 1}})
+    limits = I.limit_table(spark, {"CRP": 5, "Hb": 30})
+    got = U.value_sets(rows, rows.where("patient_num < 10"), rates, limits)
+    found = {tuple(r) for r in got.select("patient_num", "value", "method").collect()}
+    both = {(p, float(i % 7)) for i in range(200) for p in [i % 50] if i % 7 <= 5}
+    few = {x for x in both if x[0] < 10}
+    assert found == {(*x, U.TEXT) for x in both} | {(*x, U.STRUCTURED) for x in few} | {(*x, U.BENEFIT) for x in both - few} | {(*x, U.BOTH) for x in both}
+    assert "hashpartitioning(concept" not in got._jdf.queryExecution().executedPlan().toString()
