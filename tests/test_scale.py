@@ -1,11 +1,13 @@
 """Results against brute force on small tables where one key holds most rows, and plans."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.operators import codes as K
 from chartloom.operators import cohort as C
 from chartloom.operators import interpret as I
 from chartloom.operators import lists as L
@@ -16,6 +18,7 @@ from chartloom.operators import resample as R
 from chartloom.operators import rollup as U
 from chartloom.operators import score as S
 from chartloom.operators import spans as P
+from chartloom.sources.codelists import code_table
 
 rng = random.Random(7)
 SPAN = "source string, span_start int, span_end int, label string"
@@ -316,3 +319,34 @@ def test_value_sets_are_not_dealt_by_concept(spark):
     few = {x for x in both if x[0] < 10}
     assert found == {(*x, U.TEXT) for x in both} | {(*x, U.STRUCTURED) for x in few} | {(*x, U.BENEFIT) for x in both - few} | {(*x, U.BOTH) for x in both}
     assert "hashpartitioning(concept" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_frequent_term_is_spread(spark):
+    """Phrases of one term meet the list in many tasks, and are not broadcast where the rows of texts are few."""
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        notes = spark.createDataFrame([(f"n{k}", "the " * 40) for k in range(30)] + [(None, "the cat")], "note_id string, text string")
+        terms = spark.createDataFrame([("the", "D"), ("The", "E"), ("dog", "N")], "term string, label string")
+        got = N.tag_terms(notes, terms, 2)
+        found = [tuple(r) for r in got.select("note_id", "span_start", "span_end", "lexical_variant", "label").collect()]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    at = [(f"n{k}", 4 * i) for k in range(30) for i in range(40)] + [(None, 0)]
+    assert sorted(found, key=str) == sorted([(n, s, s + 3, "the", label) for n, s in at for label in "DE"], key=str)
+    assert "Broadcast" not in plan.split("== Initial Plan ==")[0] and "hashpartitioning(_key#" in plan and "_share" in plan
+
+
+def test_code_lists_do_not_gather_rows(spark):
+    rows = spark.range(100).select(F.lit("lupus").alias("disease"), "id", F.when(F.col("id") % 4 == 0, "H02AB").otherwise("H02AB07").alias("code"))
+    codes = code_table(spark, {"lupus": {"steroid": ["H02AB"], "other": ["H02AB07"]}})
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # rows of any number
+    try:
+        got = K.filter_by_code_prefix(rows, codes, "code")
+        by = Counter((r.code, r.concept, r.match_level) for r in got.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert by == {("H02AB", "steroid", "full"): 25, ("H02AB07", "other", "full"): 75, ("H02AB", "steroid", "prefix"): 100}
+    assert "hashpartitioning" not in plan
