@@ -1,5 +1,6 @@
 """Operators against plain versions and on the smallest given tables."""
 
+import math
 import random
 
 import numpy as np
@@ -243,6 +244,38 @@ def test_n_best_equals_enumeration():
         assert all(pieces.decode(list(p)).strip(" ") == word.strip(" ") for _, p in found)
 
 
+def test_words_go_through_the_forward_pass_together(monkeypatch):
+    """The joint pass gives the pieces, sums and leads of the pass word by word, and takes short words without it."""
+    pieces = segmentation.Pieces(segmentation.vocabulary())
+    words = [" thonsta,", " a\nb", " \U0001f600\u00e9", "\u65e5\u672c", " ", "-" * 40, "aaaaaaaa", " x\x00y", "ab" * 40, *(" " + "thstaeo"[k % 7 :] * (1 + k % 3) for k in range(30))]
+    want = {}
+    for w in words:
+        arcs, first, second = pieces.arcs(w), [0.0], [-math.inf]
+        for b in range(1, len(arcs)):
+            ways = sorted((x + s for a, _, s in arcs[b] for x in (first[a], second[a])), reverse=True)
+            first.append(ways[0])
+            second.append(ways[1] if len(ways) > 1 else -math.inf)
+        found, score, lead = pieces.best(w)
+        assert (score, lead) == (first[-1], first[-1] - second[-1])
+        assert b"".join(pieces.bytes[i] for i in found) == w.encode()
+        want[w] = (np.array(found, "<u4").tobytes(), score, lead)
+    monkeypatch.setattr(segmentation, "TOGETHER", 7)
+    one_by_one = []
+    monkeypatch.setattr(pieces, "best", lambda w, best=pieces.best: one_by_one.append(w) or best(w))
+    assert dict(pieces.best_of(list(want))) == want
+    assert one_by_one == ["ab" * 40]
+    # words that are not remembered are found all the same
+    monkeypatch.setattr(segmentation, "REMEMBERED", 3)
+    s = segmentation.Segmenter(segmentation.vocabulary(), 4)
+    text = " thst\n thonsta \U0001f600, aaaa - thonsta"
+    again = segmentation.Segmenter(segmentation.vocabulary(), 4).segment(text)
+    (found,) = s.learn([segmentation.words_of(text)])
+    each, scores, back = s.each(text, segmentation.words_of(text), found)
+    data, sums, differ = s.segment(text)
+    assert (each[0], scores, back, len(s.known)) == (data, sums, True, 3) and again == (data, sums, differ)
+    assert [np.frombuffer(x, "<u4").tolist() for x in each] == [s.spelled(text, d) for d in differ]
+
+
 def test_texts_differ_where_it_costs_least():
     s = segmentation.Segmenter(segmentation.vocabulary(), 4)
     words = [" the", " thsteden", " a"]
