@@ -52,10 +52,10 @@ def bootstrap_docs(
     packed = cells.groupBy(doc).agg(F.collect_list(held).alias("c")).join(index, doc)
     packed = cut_lineage(packed.select("idx", D.doc_number(F.col(doc)).alias("h"), F.col("c._key").alias("keys"), F.flatten("c._v").alias("vals")))
     rate = D.weight_rate(n)
-    steps, (a, b) = D.weight_steps(rate), D.factors(seed, np.arange(n_draw))
+    steps, scatter = D.weight_steps(rate), D.Scatter(*D.factors(seed, np.arange(n_draw)))
 
     def weights(h: np.ndarray) -> np.ndarray:
-        y = D.scattered(h, a, b)
+        y = scatter(h)
         w = np.zeros(y.shape, np.int8)
         for step in steps if rate else ():
             reached = y >= step
@@ -168,10 +168,10 @@ def balanced_split(docs: DataFrame, counts: DataFrame, share: float = 0.2, draws
     ``int(share · documents)`` documents of least number (then id) into the test part; its cost is the sum over names of
     |test share of the name − ``share``|, each rounded to three places. The least cost wins, then the lowest draw.
 
-    The cut of a draw lies close to ``share`` of the range of numbers, because numbers are uniform. One pass counts, for
-    all draws, the documents below that stretch and in its pieces: one matrix per task. The cut then is known up to one piece,
-    of which only some documents per draw are ranked. A second pass multiplies the counts of names with "is
-    below the piece of the cut" for all draws at once. No table of documents and draws exists.
+    The cut of a draw lies close to ``share`` of the range of numbers, because numbers are uniform. One pass makes the numbers of
+    all documents in all draws: what lies below that stretch is multiplied with the counts of names at once, and what lies
+    in it (a share that falls as the root of the documents grows) is written down for each document. The rest reads only that: documents per
+    piece of the stretch, which gives the cut up to one piece, and sums up to that piece. Of the piece itself documents are ranked.
     """
     per_doc = counts.where("name is not null").groupBy(doc, "name").agg(F.sum("n").cast("long").alias("n"))
     packed = per_doc.groupBy(doc).agg(F.collect_list("name").alias("keys"), F.collect_list("n").alias("vals"))
@@ -179,30 +179,23 @@ def balanced_split(docs: DataFrame, counts: DataFrame, share: float = 0.2, draws
     base = cut_lineage(base)
     n = base.count()
     size = int(share * n)
-    cut = _cuts(base.select("h"), n, size, share, draws, seed)
+    cut, near, sums = _cuts(base, n, size, share, draws, seed)
     a, b = D.factors(seed, np.arange(draws))
     floor, ceiling = cut["floor"].to_numpy(), cut["ceiling"].to_numpy()
 
-    def below(h: np.ndarray) -> np.ndarray:
-        return D.scattered(h, a, b) < floor[None, :]
-
     def on_edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, D.CELLS // max(draws, 1))
         for batch in batches:
-            h = batch.column(1).to_numpy(zero_copy_only=False)
-            for i in range(0, len(h), step):
-                y = D.scattered(h[i : i + step], a, b)
-                row, draw = np.nonzero((y >= floor[None, :]) & (y < ceiling[None, :]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(draw), pa.array(y[row, draw])], [doc, "draw", "y"])
+            row, draw, y = D.numbers_near(batch.column(1), batch.column(2))
+            at = np.flatnonzero((y >= floor[draw]) & (y < ceiling[draw]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(draw[at]), pa.array(y[at])], [doc, "draw", "y"])
 
     kind = base.schema[doc].dataType.simpleString()
-    dealt = base.select(doc, "h").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
-    edge = dealt.mapInArrow(on_edge, f"`{doc}` {kind}, draw long, y long")
+    edge = near.select(doc, "draws", "ys").mapInArrow(on_edge, f"`{doc}` {kind}, draw long, y long")
     left = docs.sparkSession.createDataFrame(cut[["draw", "left"]], "draw long, left long")
     edge = edge.withColumn("_k", F.row_number().over(Window.partitionBy("draw").orderBy("y", doc))).join(left, "draw").where("_k <= left")
     edge = cut_lineage(edge.select(doc, "draw"))
-    sums = D.sums_over(base.where("keys is not null").select("h", "keys", "vals"), 1, below, draws)
     test = sums.where("key is not null").select("draw", F.col("key").alias("name"), F.col("v")[0].alias("n"))
+    test = test.unionByName(D.sums_near(near, floor).select("draw", "name", "n"))
     test = test.unionByName(edge.join(per_doc, doc).select("draw", "name", "n")).groupBy("draw", "name").agg(F.sum("n").alias("n"))
 
     totals = per_doc.groupBy("name").agg(F.sum("n").alias("total")).where("total > 0")
@@ -224,27 +217,33 @@ def balanced_split(docs: DataFrame, counts: DataFrame, share: float = 0.2, draws
 PIECES = 128
 
 
-def _cuts(numbers: DataFrame, n: int, size: int, share: float, draws: int, seed: int) -> pd.DataFrame:
-    """(draw, floor, ceiling, left): documents with a number below ``floor`` are in, of those below ``ceiling`` the ``left`` first.
+def _cuts(base: DataFrame, n: int, size: int, share: float, draws: int, seed: int) -> tuple[pd.DataFrame, DataFrame, DataFrame]:
+    """(draw, floor, ceiling, left), numbers near the cuts, sums below them.
 
-    A row per draw. The stretch is ten standard deviations wide to each side; should a cut lie outside, it is widened.
+    Documents with a number below ``floor`` are in, of those below ``ceiling`` the ``left`` first. The stretch is six standard
+    deviations wide to each side; should a cut lie outside, it is widened.
     """
-    reach = 10 * float(np.sqrt(0.25 / max(n, 1)))
+    reach = 6 * float(np.sqrt(0.25 / max(n, 1)))
     while True:
         low, high = (int(min(max(share + s * reach, 0), 1) * D.PRIME) for s in (-1, 1))
-        width = -(-(high - low) // PIECES)
-        found = D.counted_below(numbers, seed, draws, low, high, PIECES).toPandas()
+        width = max(1, -(-(high - low) // PIECES))
+        near, sums = D.split_at(base, seed, draws, low, low + width * PIECES)
+        found = D.counted_near(near, draws, low, width, PIECES).toPandas()
+        below = sums.where("key is null").select("draw", F.col("v")[0].alias("n")).toPandas()
         table = np.zeros((draws, PIECES + 1), np.int64)
         table[found["draw"], found["bucket"]] = found["n"]
+        table[below["draw"], 0] = below["n"]
         upto = table.cumsum(axis=1)
         if size == 0:
+            # Nothing is in: no number lies below the lowest.
             zero = np.zeros(draws, np.int64)
-            return pd.DataFrame({"draw": np.arange(draws), "floor": zero, "ceiling": zero, "left": zero})
+            cut = pd.DataFrame({"draw": np.arange(draws), "floor": zero, "ceiling": zero, "left": zero})
+            return cut, near.limit(0), sums.limit(0)
         piece = (upto < size).sum(axis=1)
         if (piece >= 1).all() and (piece <= PIECES).all():
             before = upto[np.arange(draws), piece - 1]
             floor = low + (piece - 1) * width
-            return pd.DataFrame({"draw": np.arange(draws), "floor": floor, "ceiling": floor + width, "left": size - before})
+            return pd.DataFrame({"draw": np.arange(draws), "floor": floor, "ceiling": floor + width, "left": size - before}), near, sums
         if reach >= 1:
             raise ValueError("no cut found")
         reach *= 4

@@ -114,6 +114,32 @@ def test_split(spark):
         assert {r.source for r in split.where("part = 'test'").collect()} == test and split.count() == n
 
 
+def test_numbers_of_a_split_are_made_once(spark, monkeypatch):
+    """One pass gives the sums below the stretch and the numbers in it; the memory of a matrix is used again."""
+    docs, draws, low, high = [f"n{k}" for k in range(90)], 40, P // 6, P // 4
+    a, b = D.factors(9, np.arange(draws))
+    scatter, hs = D.Scatter(a, b), np.array([number(d) for d in docs])
+    assert np.array_equal(scatter(hs[:50]).copy(), D.scattered(hs[:50], a, b)) and np.array_equal(scatter(hs[:7]), D.scattered(hs[:7], a, b))
+    monkeypatch.setattr(D, "CELLS", 7 * draws)
+    rows = [(d, number(d), ["a", "b"][: k % 3] or None, [1 + k % 5, 2][: k % 3] or None) for k, d in enumerate(docs)]
+    near, sums = D.split_at(spark.createDataFrame(rows, "source string, h long, keys array<string>, vals array<long>").repartition(3), 9, draws, low, high)
+    want, close, part = Counter(), set(), Counter()
+    for d, _, keys, vals in rows:
+        for draw in range(draws):
+            y = scattered(d, 9, draw)
+            if low <= y < high:
+                close.add((d, draw, y))
+            for key, n in [*zip(keys or [], vals or []), (None, 1)]:
+                want[key, draw] += n * (y < low)
+                part[key, draw] += n * (low <= y < (low + high) // 2 and key is not None)
+    assert {(r.key, r.draw): r.v[0] for r in sums.collect() if r.v[0]} == {k: v for k, v in want.items() if v}
+    assert {(r.source, d, y) for r in near.collect() for d, y in zip(r.draws, r.ys)} == close
+    got = {(r.name, r.draw): r.n for r in D.sums_near(near, np.full(draws, (low + high) // 2)).collect()}
+    assert got == {k: v for k, v in part.items() if v}
+    buckets = Counter((draw, (y - low) // 100_000_000 + 1) for _, draw, y in close)
+    assert {(r.draw, r.bucket): r.n for r in D.counted_near(near, draws, low, 100_000_000, 9).collect()} == buckets
+
+
 def test_cut_outside_the_first_stretch(spark, monkeypatch):
     """Numbers that are not uniform: the stretch is widened until every draw's cut lies in it."""
     low = [d for d in (f"x{k}" for k in range(3000)) if scattered(d, 9, 0) < P // 100]
