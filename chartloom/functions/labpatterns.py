@@ -120,6 +120,78 @@ SPECIMEN = (
 )
 FIRST_WORD = r"(?i)(\b[A-Za-z]+(\.[A-Za-z]+)*\b)"
 
+
+def led(pattern: str, first: str) -> str:
+    """The same pattern, tried only where a text goes on with ``first``: what every match of it begins with."""
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    return f"{flags}(?={first})(?:{pattern[len(flags):]})"
+
+
+# The patterns above as they are searched for: same matches, fewer tries. No unit begins with a digit, so the
+# digits before a glued one are never given back; a letter no other unit begins with can only begin a rate.
+DATE_SEARCH = led(DATE, r"\d\d")
+RANGE_SEARCH = led(RANGE, r"[|¦(nN:=\s\d]")
+QUALITATIVE_SEARCH = led("|".join(QUALITATIVE.values()), r"[^gjklmoqrtuvwxyz0-9]")
+UNIT_GLUED_SEARCH = UNIT_GLUED.replace(r"(\d+)", r"(\d++)(?=[a-zµ%/|¦])", 1)
+_RATE = r"[a-zA-Zµμμ]+\/\w+"
+_RATE_SEARCH = r"[a-zA-Zµμμ]++\/\w+"
+UNIT_SEARCH = (
+    r"(?i)((?=[fgkmnopsuxµμ%/|¦1]|\s/)(?:"
+    + UNIT[len("(?i)(") : -1].replace(_RATE, _RATE_SEARCH)
+    + r")|(?=[abcdehijlqrtvwyz])"
+    + _RATE_SEARCH
+    + ")"
+)
+VALUE_SEARCH = led(VALUE, r"[<>\s\d]")
+
+# Literals of which a text must hold one for the pattern to match.
+NEEDED = {
+    FOOTNOTE: ("...", "…"),
+    ELLIPSIS: (ELLIPSIS,),
+    SUPERSCRIPT: tuple("⁰¹²³⁴⁵⁶⁷⁸⁹"),
+    GIGA_PER_LITRE: ("G/",),
+    **{x: (x,) for x in ("⁹", "m²", "m³", "à", "µ", "ℓ", "micor", "par")},
+    r"(\:)": (":",),
+    r"\\n": ("\\n",),
+    r"\n": ("\n",),
+    r"\best\b": ("est",),
+    r"[\:\\]": (":", "\\"),
+    r"\bcomprise?\b": ("compris",),
+    r"\bavec\b": ("avec",),
+    r"\bpour\b": ("pour",),
+    r"\bsoit\b": ("soit",),
+    r"\bdans\b": ("dans",),
+    r"\bsans\b": ("sans",),
+    r"\bselon\b": ("selon",),
+    r"\s*\/\s*": ("/",),
+    r"rapp?orts?": ("rap",),
+    r"dosages?": ("dosage",),
+    r"numerations?": ("numeration",),
+    r"\bratio?\b": ("rati",),
+    r"gramm?es?": ("gram",),
+    r"micr?o?": ("mic",),
+    r"moles?": ("mole",),
+    r"molaires?": ("molaire",),
+    r"mill?i": ("mil",),
+    r"litres?": ("litre",),
+    r"secondes?": ("seconde",),
+    r"secs?": ("sec",),
+    r"jours?": ("jour",),
+    r"minutes?": ("minute",),
+    r"heures?": ("heure",),
+    r"\_": ("_",),
+    POWER_UNIT_GLUED: ("10*",),
+    r"\bsur\b": ("sur",),
+    "[<>-]": ("<", ">", "-"),
+}
+RANGE_NEEDS = ("-", "–", "(", "|", "¦")
+# in lower case; a result may also be a sign or letter at an end of the text
+QUALITATIVE_NEEDS = (
+    "pos", "|po", "¦po", "neg", "|ne", "¦ne", "pas", "aug", "dim", "depasse", "norm", "correct", "stabl", "nle", "eleve", "bas",
+    "absen", "indetectable", "presen", "sig", "ns", "physio", "fluctu", "hemolyse",
+)
+QUALITATIVE_EDGE = r"(?i)[^a-z0-9][-+pn][^a-z0-9]*$|^[-+]"
+
 FIRST_NUMBER = r"(\d+[,\.]?\d*)"
 POSITIVE_PREFIX = (
     r"([¦|]?positifs?|[¦|]pos?i?t?\b|[¦|]?positiv?e?s?|\bpos\b|"

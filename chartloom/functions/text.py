@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,38 @@ def replace_all(c, rules: Iterable[tuple[str, str]]) -> Column:
     return out
 
 
+def named(c, f: Callable[[Column], Column]) -> Column:
+    """``f`` of an expression that it reads several times and that is worked out once."""
+    return F.get(F.transform(F.array(_col(c)), f), F.lit(0))
+
+
+def holds(c, literals: Iterable[str]) -> Column:
+    """The text holds one of the literals; null for a null text."""
+    return reduce(Column.__or__, [F.contains(_col(c), F.lit(x)) for x in literals])
+
+
+def replace_held(c, rules: Iterable[tuple[str, str]], needed: Mapping[str, Sequence[str]]) -> Column:
+    """``replace_all`` that searches a text for a pattern only if it holds one of the literals ``needed`` names for it.
+
+    A pattern that is its own needed literal is replaced as plain text; one that is not named is always searched for.
+    """
+    out = _col(c)
+    for pattern, to in rules:
+        literals = needed.get(pattern)
+        if literals is None:
+            out = F.regexp_replace(out, pattern, to)
+        elif tuple(literals) == (pattern,):
+            out = F.replace(out, F.lit(pattern), F.lit(to))
+        else:
+            out = named(out, lambda x: F.when(holds(x, literals), F.regexp_replace(x, pattern, to)).otherwise(x))
+    return out
+
+
+def extract_if(c, may: Column, pattern: str, group: int) -> Column:
+    """``regexp_extract`` of the texts that may match; the others give empty text, null gives null."""
+    return F.when(~may, F.lit("")).otherwise(F.regexp_extract(_col(c), pattern, group))
+
+
 def empty_to_null(c) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
@@ -43,13 +76,23 @@ def plain_decimal(c) -> Column:
     return F.when(t.rlike(r"^[0-9]*\.?[0-9]*$") & t.rlike(r"[0-9]"), led)
 
 
+def beyond_ascii(c) -> Column:
+    """The text has a character of more than one byte."""
+    return F.octet_length(_col(c)) > F.length(_col(c))
+
+
 def strip_space(c) -> Column:
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
 
 
+def translate_beyond_ascii(c, table: tuple[str, str]) -> Column:
+    """``translate`` by a table without ASCII characters: plain texts need no look at each character."""
+    return named(c, lambda x: F.when(beyond_ascii(x), F.translate(x, *table)).otherwise(x))
+
+
 def fold_accents(c) -> Column:
     """Lower case, then the accent table of the mention grammar."""
-    return F.translate(F.lower(_col(c)), *ACCENTS)
+    return translate_beyond_ascii(F.lower(_col(c)), ACCENTS)
 
 
 def plain_ascii(c) -> Column:

@@ -13,11 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import labpatterns as P
-from chartloom.functions.text import empty_to_null, fold_accents, plain_decimal, replace_all, strip_space
+from chartloom.functions.text import (
+    beyond_ascii,
+    empty_to_null,
+    extract_if,
+    fold_accents,
+    holds,
+    named,
+    plain_decimal,
+    replace_all,
+    replace_held,
+    strip_space,
+    translate_beyond_ascii,
+)
 from chartloom.operators.spans import containment_join
 
 REST = "lexical_variant_stripped"
 
+FOUND = "_found"
+
 MEASUREMENT_COLUMNS = [
     "source",
     "span_start",
@@ -49,8 +63,8 @@ def link_mentions(outer: DataFrame, inner: DataFrame) -> DataFrame:
     clean = [(P.FOOTNOTE, " "), (P.ELLIPSIS, " "), (P.SUPERSCRIPT, " ")]
     return linked.withColumns(
         {
-            "lexical_variant_biocomp": replace_all("lexical_variant_biocomp", clean),
-            "lexical_variant_bio": replace_all("lexical_variant_bio", clean),
+            "lexical_variant_biocomp": replace_held("lexical_variant_biocomp", clean, P.NEEDED),
+            "lexical_variant_bio": replace_held("lexical_variant_bio", clean, P.NEEDED),
         }
     )
 
@@ -60,39 +74,47 @@ def remove_inner(df: DataFrame) -> DataFrame:
     rest = F.trim(
         F.replace(F.col("lexical_variant_biocomp"), F.coalesce("lexical_variant_bio", F.lit("")), F.lit(" "))
     )
-    return df.withColumn(REST, F.regexp_replace(rest, P.GIGA_PER_LITRE, P.GIGA_PER_LITRE_UNIT))
+    return df.withColumn(REST, replace_held(rest, [(P.GIGA_PER_LITRE, P.GIGA_PER_LITRE_UNIT)], P.NEEDED))
 
 
 def extract_date(df: DataFrame) -> DataFrame:
     """First date of the whole mention (empty text if none); dates leave the residue."""
     return df.withColumns(
         {
-            "extracted_date": F.regexp_extract("lexical_variant_biocomp", P.DATE, 1),
-            REST: F.regexp_replace(REST, P.DATE, ""),
+            "extracted_date": F.regexp_extract("lexical_variant_biocomp", P.DATE_SEARCH, 1),
+            REST: F.regexp_replace(REST, P.DATE_SEARCH, ""),
         }
     )
 
 
+def if_found(then, otherwise) -> Column:
+    """``then`` where a step found something, what it was otherwise: no pattern here matches empty text."""
+    return F.when(F.col(FOUND) == "", otherwise).otherwise(then)
+
+
 def extract_range(df: DataFrame) -> DataFrame:
     """Reference range as digits, signs and separators; null if none."""
-    found = F.regexp_extract(REST, P.RANGE, 1)
+    df = df.withColumn(FOUND, extract_if(REST, holds(REST, P.RANGE_NEEDS), P.RANGE_SEARCH, 1))
     return df.withColumns(
         {
-            "range_value": empty_to_null(F.regexp_replace(found, P.NOT_RANGE_CHAR, "")),
-            REST: F.regexp_replace(REST, P.RANGE, " "),
+            "range_value": empty_to_null(if_found(F.regexp_replace(FOUND, P.NOT_RANGE_CHAR, ""), F.col(FOUND))),
+            REST: if_found(F.regexp_replace(REST, P.RANGE_SEARCH, " "), F.col(REST)),
         }
-    )
+    ).drop(FOUND)
 
 
 def drop_noise(c) -> Column:
-    return replace_all(strip_space(c), P.MENTION_NOISE)
+    # Beyond ASCII there are line ends that ``$`` knows and trimming does not.
+    edges = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))
+    c = named(c, lambda x: F.when(beyond_ascii(x), strip_space(x)).otherwise(edges(x)))
+    return replace_held(c, P.MENTION_NOISE, P.NEEDED)
 
 
 def clean_mention(df: DataFrame) -> DataFrame:
     """Residue in lower case without accents, superscripts, colons and filler words."""
-    text = replace_all(REST, [("⁹", " "), ("m²", "m2"), ("m³", "m3")])
-    text = F.translate(F.lower(text), *P.SUPERSCRIPT_DIGITS)
-    text = fold_accents(replace_all(text, [("à", "="), (r"(\:)", " ")]))
+    text = replace_held(REST, [("⁹", " "), ("m²", "m2"), ("m³", "m3")], P.NEEDED)
+    text = translate_beyond_ascii(F.lower(text), P.SUPERSCRIPT_DIGITS)
+    text = fold_accents(replace_held(text, [("à", "="), (r"(\:)", " ")], P.NEEDED))
     return df.withColumn(REST, drop_noise(text))
 
 
@@ -104,12 +126,15 @@ def extract_qualitative(df: DataFrame, canonical: str = "none") -> DataFrame:
     """
     families = {"none": [], "last": ["hemolyse"], "all": list(P.QUALITATIVE)}[canonical]
     text = replace_all(REST, [(P.QUALITATIVE[name], name) for name in families])
-    any_family = "|".join(P.QUALITATIVE.values())
     df = df.withColumn(REST, text)
-    found = F.regexp_replace(F.regexp_extract(REST, any_family, 0), P.NOT_QUALITATIVE_CHAR, "")
+    may = named(F.lower(REST), lambda x: holds(x, P.QUALITATIVE_NEEDS)) | F.rlike(F.col(REST), F.lit(P.QUALITATIVE_EDGE))
+    df = df.withColumn(FOUND, extract_if(REST, may, P.QUALITATIVE_SEARCH, 0))
     return df.withColumns(
-        {"non_digit_value": empty_to_null(found), REST: F.regexp_replace(REST, any_family, " ")}
-    )
+        {
+            "non_digit_value": empty_to_null(if_found(F.regexp_replace(FOUND, P.NOT_QUALITATIVE_CHAR, ""), F.col(FOUND))),
+            REST: if_found(F.regexp_replace(REST, P.QUALITATIVE_SEARCH, " "), F.col(REST)),
+        }
+    ).drop(FOUND)
 
 
 def qualitative_family(c) -> Column:
@@ -123,36 +148,40 @@ def qualitative_family(c) -> Column:
 
 def extract_unit(df: DataFrame) -> DataFrame:
     """Unit in one spelling; null if none."""
-    text = replace_all(REST, P.UNIT_SPELLING)
-    text = replace_all(text, [(P.POWER_UNIT_GLUED, "$1 $2"), (P.UNIT_GLUED, "$1 $2")])
-    df = df.withColumn(REST, text)
-    unit = F.btrim(F.lower(F.replace(F.regexp_extract(REST, P.UNIT, 1), F.lit(" "), F.lit(""))), F.lit(P.UNIT_EDGE))
+    text = replace_held(REST, P.UNIT_SPELLING, P.NEEDED)
+    df = df.withColumn(REST, replace_held(text, [(P.POWER_UNIT_GLUED, "$1 $2"), (P.UNIT_GLUED_SEARCH, "$1 $2")], P.NEEDED))
+    df = df.withColumn(FOUND, F.regexp_extract(REST, P.UNIT_SEARCH, 1))
+    unit = F.btrim(F.lower(F.replace(FOUND, F.lit(" "), F.lit(""))), F.lit(P.UNIT_EDGE))
     unit = F.when(unit.contains("%"), F.lit("%")).otherwise(unit)
-    return df.withColumns({"unit": empty_to_null(unit), REST: F.regexp_replace(REST, P.UNIT, " ")})
+    return df.withColumns(
+        {"unit": empty_to_null(unit), REST: if_found(F.regexp_replace(REST, P.UNIT_SEARCH, " "), F.col(REST))}
+    ).drop(FOUND)
 
 
 def clean_value(c) -> Column:
     """A number as plain decimal text; comparisons and fractions as written; null if empty."""
     kept = F.regexp_replace(c, P.NOT_VALUE_CHAR, "")
-    return empty_to_null(F.when(kept.rlike("[<>/]"), kept).otherwise(F.coalesce(plain_decimal(kept), kept)))
+    plain = lambda x: F.when(holds(x, "<>/"), x).otherwise(F.coalesce(plain_decimal(x), x))
+    return empty_to_null(named(kept, plain))
 
 
 def extract_value(df: DataFrame) -> DataFrame:
     """First value of the residue, raw (``value``) and cleaned (``value_cleaned``)."""
+    df = df.withColumn(FOUND, F.regexp_extract(REST, P.VALUE_SEARCH, 1))
     return df.withColumns(
         {
-            "value": F.regexp_extract(REST, P.VALUE, 1),
-            "value_cleaned": clean_value(F.regexp_extract(REST, P.VALUE, 1)),
-            REST: F.regexp_replace(REST, P.VALUE, " "),
+            "value": F.col(FOUND),
+            "value_cleaned": clean_value(F.col(FOUND)),
+            REST: if_found(F.regexp_replace(REST, P.VALUE_SEARCH, " "), F.col(REST)),
         }
-    )
+    ).drop(FOUND)
 
 
 def extract_name(df: DataFrame) -> DataFrame:
     """Test name: the inner mention, else the first word of the residue."""
     inner = F.col("lexical_variant_bio")
     name = F.when(inner != "", inner).otherwise(F.regexp_extract(REST, P.FIRST_WORD, 1))
-    name = replace_all(drop_noise(fold_accents(name)), [(r"\bsur\b", "/"), ("[<>-]", " ")])
+    name = replace_held(drop_noise(fold_accents(name)), [(r"\bsur\b", "/"), ("[<>-]", " ")], P.NEEDED)
     return df.withColumn("lexical_variant", F.trim(name))
 
 

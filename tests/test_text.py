@@ -1,8 +1,12 @@
 """Column functions and the mention grammar on hand-written French text."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.functions import labpatterns as P
 from chartloom.functions import text as X
 from chartloom.operators import interpret as I
 from chartloom.operators import measure as M
@@ -102,3 +106,59 @@ def test_canonical_measurement(spark):
 def test_snippet_near_the_start(spark):
     cut, lo, hi = X.snippet(F.lit("abcdefghij"), F.lit(2), F.lit(4), 3)
     assert one(spark, F.struct(cut.alias("a"), lo.alias("b"), hi.alias("c"))) == ("abcdefgh", 2, 4)
+
+
+def plain_steps(df):
+    """The steps as plain patterns, each searched for in every text."""
+    every = "|".join(P.QUALITATIVE.values())
+    rest, sub, get = M.REST, F.regexp_replace, F.regexp_extract
+    noise = lambda c: X.replace_all(X.strip_space(c), P.MENTION_NOISE)
+    fold = lambda c: F.translate(F.lower(c), *P.ACCENTS)
+    marks = [(P.FOOTNOTE, " "), (P.ELLIPSIS, " "), (P.SUPERSCRIPT, " ")]
+    df = df.withColumns({c: X.replace_all(c, marks) for c in ("lexical_variant_biocomp", "lexical_variant_bio")})
+    inner = F.coalesce("lexical_variant_bio", F.lit(""))
+    df = df.withColumn(rest, sub(F.trim(F.replace(F.col("lexical_variant_biocomp"), inner, F.lit(" "))), P.GIGA_PER_LITRE, P.GIGA_PER_LITRE_UNIT))
+    df = df.withColumns({"extracted_date": get("lexical_variant_biocomp", P.DATE, 1), rest: sub(rest, P.DATE, "")})
+    df = df.withColumns({"range_value": X.empty_to_null(sub(get(rest, P.RANGE, 1), P.NOT_RANGE_CHAR, "")), rest: sub(rest, P.RANGE, " ")})
+    low = F.translate(F.lower(X.replace_all(rest, [("⁹", " "), ("m²", "m2"), ("m³", "m3")])), *P.SUPERSCRIPT_DIGITS)
+    df = df.withColumn(rest, noise(fold(X.replace_all(low, [("à", "="), (":", " ")]))))
+    df = df.withColumns({"non_digit_value": X.empty_to_null(sub(get(rest, every, 0), P.NOT_QUALITATIVE_CHAR, "")), rest: sub(rest, every, " ")})
+    df = df.withColumn(rest, X.replace_all(rest, [*P.UNIT_SPELLING, (P.POWER_UNIT_GLUED, "$1 $2"), (P.UNIT_GLUED, "$1 $2")]))
+    unit = F.btrim(F.lower(F.replace(get(rest, P.UNIT, 1), F.lit(" "), F.lit(""))), F.lit(P.UNIT_EDGE))
+    df = df.withColumns({"unit": X.empty_to_null(F.when(unit.contains("%"), "%").otherwise(unit)), rest: sub(rest, P.UNIT, " ")})
+    kept = sub(get(rest, P.VALUE, 1), P.NOT_VALUE_CHAR, "")
+    value = X.empty_to_null(F.when(kept.rlike("[<>/]"), kept).otherwise(F.coalesce(X.plain_decimal(kept), kept)))
+    df = df.withColumns({"value_cleaned": value, rest: sub(rest, P.VALUE, " ")})
+    name = F.when(F.col("lexical_variant_bio") != "", F.col("lexical_variant_bio")).otherwise(get(rest, P.FIRST_WORD, 1))
+    return M.extract_specimen(df.withColumn("lexical_variant", F.trim(X.replace_all(noise(fold(name)), [(r"\bsur\b", "/"), ("[<>-]", " ")]))))
+
+
+WORDS = (
+    "est comprise avec pour soit dans sans selon rapport raports dosage numerations ratio rati sur positifs |po ¦pos pos positiv negatifs |ne nega "
+    "negatve augmentee diminue depassees normaux normo nle correcte stabl elevee bas basse absences indetectable presente sign ns non physio physiologique "
+    "fluctuentes hemolysees pas d' p n + - grammes grames micro micr micor mole molaires mili milli litre secondes secs jours par minute min heures "
+    "G/L x10*9/l 10*12/l g/24h mg/dl µmol/l μmol ui/ml ml/min/1.73m2 mm3 /mm3 mm hg % fl kpa m?mol osmol gl giga/l mgy.cm |µs ¦s |/l u / l k "
+    "12/2019 2019-03-04 2020 01/02 (N: 12 – 16) 3-5 (<5) |>7 <0.5 > 7,0 1/160 007 0,50 250000000 5 12 ... … …¹ ... 2 ⁹ m² m³ à É ÿ µ ℓ _ : \\ \\n / urine sang"
+).split(" ")
+GAPS = ["", "", " ", " ", " ", "\t", "\n", " ", " ", "\x85", "-", ".", ","]
+
+
+def test_guarded_searches(spark):
+    """A search that is skipped, or led by what a match begins with, finds what the plain pattern finds in every text."""
+    rng, rows = random.Random(11), [(None, None), (None, "CRP"), ("", ""), ("CRP 5", None)]
+    for _ in range(6000):
+        text = "".join(rng.choice((str, str, str.upper))(rng.choice(WORDS)) + rng.choice(GAPS) for _ in range(rng.randrange(9)))
+        rows.append((rng.choice(GAPS) + text, rng.choice([None, "", text[:3], rng.choice(WORDS)])))
+    texts = spark.createDataFrame(rows, "lexical_variant_biocomp string, lexical_variant_bio string")
+    none = spark.createDataFrame([], ENTITY)
+    outer = texts.select(F.monotonically_increasing_id().cast("string").alias("source"), F.lit("t").alias("term"),
+        F.col("lexical_variant_biocomp").alias("lexical_variant"), F.lit(0).alias("span_start"), F.lit(9).alias("span_end"), F.lit("BIO_comp").alias("label"))
+    marks = [(P.FOOTNOTE, " "), (P.ELLIPSIS, " "), (P.SUPERSCRIPT, " ")]
+    linked = texts.withColumns({c: X.replace_held(c, marks, P.NEEDED) for c in texts.columns})
+    plain, guarded = plain_steps(texts), M.parse_texts(linked)
+    columns = [c for c in plain.columns]
+    want, got = (Counter(map(tuple, d.select(*columns).collect())) for d in (plain, guarded))
+    assert want == got
+    assert {r.lexical_variant_biocomp for r in M.link_mentions(outer, none).collect()} == {r.lexical_variant_biocomp for r in linked.collect()}
+    plan = guarded._jdf.queryExecution().optimizedPlan().toString()
+    assert P.UNIT_SEARCH in plan and f", {P.UNIT}, " not in plan
