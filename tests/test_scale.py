@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -96,6 +97,26 @@ def test_resolve_overlaps_of_odd_spans(spark):
     assert got == greedy([r for r in rows if r[0]]) | {(None, 4, 6, "no note"), ("n", None, 4, "no start")}
 
 
+def test_spans_that_meet_none_are_settled_at_once(spark):
+    """The rounds see the spans that meet another one, also over the edges of position blocks; what is written follows the rows."""
+    rng, b = random.Random(11), P.BLOCK
+    rows = [(d, s, s + rng.randrange(0, 30), "ab"[s % 2]) for d in ("n", "m", None) for k in range(1, 4) for s in (rng.randrange(k * b - 60, k * b + 60) for _ in range(4))]
+    rows += [("n", 9 * b, 12 * b, "long"), ("n", 11 * b, 11 * b + 2, "inside"), ("n", 13 * b, 13 * b + 1, "alone"), ("n", None, 4, "no start"), ("n", 5, None, "no end"), ("n", 20, 20, "empty")]
+    place = lambda r: (2 * r[1], 2 * r[2] - 2) if r[2] > r[1] else (2 * r[1] - 1,) * 2
+    known = [r for r in set(rows) if None not in r[1:3]]
+    meet = {r for r in known for o in known if r != o and r[0] == o[0] and place(r)[0] <= place(o)[1] and place(o)[0] <= place(r)[1]}
+    got = [tuple(r) for r in N._met(spark.createDataFrame(rows + rows[:3], SPAN), "source").collect()]
+    assert {r[:4] for r in got if r[4]} == meet and sorted((r[:4] for r in got), key=str) == sorted(set(rows), key=str)
+
+    size = lambda: sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*") if f.is_file())
+    lonely, before = [(f"n{i % 50}", 40 * i, 40 * i + 12, "ab"[i % 2]) for i in range(20_000)], size()
+    assert N.resolve_overlaps(spark.createDataFrame(lonely, SPAN), "source").count() == 20_000
+    assert size() - before < 15 * 20_000  # bytes a span
+
+    tagged = N.tag_terms(spark.createDataFrame([("n", "the cat , the")], "note_id string, text string"), spark.createDataFrame([("the", "D"), ("cat", "A")], "term string, label string"), 2)
+    assert tagged.count() == 3 and "hashpartitioning(note_id" not in plan(tagged)  # hits are not moved again
+
+
 def pack(tokens, cap, spans=()):
     """Word ranges of the chunks of one note, by a plain loop."""
     ends = [i + 1 for i, t in enumerate(tokens) if t.endswith(".") and i + 1 < len(tokens)]
