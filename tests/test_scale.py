@@ -13,6 +13,7 @@ from chartloom.operators import cohort as C
 from chartloom.operators import interpret as I
 from chartloom.operators import lists as L
 from chartloom.operators import match as M
+from chartloom.operators import measure as X
 from chartloom.operators import notes as N
 from chartloom.operators import quantiles as Q
 from chartloom.operators import resample as R
@@ -358,6 +359,36 @@ def test_a_frequent_term_is_spread(spark):
     assert "Broadcast" not in plan.split("== Initial Plan ==")[0] and "hashpartitioning(_key#" in plan and "_share" in plan
 
 
+def test_mentions_are_not_shuffled_again_after_their_join(spark):
+    """Parsed mentions meet the vocabulary where the containment join left them, and the widths of spans cost no shuffle."""
+    i = F.col("id")
+    text = F.concat(F.element_at(F.array(F.lit("CRP "), F.lit("Hemoglobine "), F.lit("Autre ")), (i % 3 + 1).cast("int")), (i % 40).cast("string"), F.lit(" mg/l"))
+    rows = spark.range(3000).select(F.concat((i % 400).cast("string"), F.lit(".ann")).alias("source"), text.alias("term"), text.alias("lexical_variant"), (i * 50).cast("int").alias("span_start"))
+    outer = rows.select("*", (F.col("span_start") + F.length("term")).alias("span_end"), F.lit("BIO_comp").alias("label"))
+    name = F.split("term", " ")[0]
+    inner = rows.select("source", name.alias("term"), name.alias("lexical_variant"), "span_start", (F.col("span_start") + F.length(name)).alias("span_end"), F.lit("BIO").alias("label")).where("term <> 'Autre'")
+    # made from a table of thousands of rows, though its names are few
+    names = spark.range(40_000).select((F.col("id") % 2).alias("k")).select(F.concat(F.lit("L"), F.col("k")).alias("label"), F.when(F.col("k") == 0, "crp").otherwise("hemoglobine").alias("norm_term"))
+
+    def found(placed):
+        parsed = X.parse_measurements(outer, inner, placed=placed).withColumn("term", F.col("lexical_variant"))
+        matched = M.match_terms(parsed, names, "exact", within=P.PLACE if placed else ())
+        return matched.select("source", "span_start", "span_start_bio", "value_cleaned", "unit", "label", "score")
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        moved = [line for line in plan(found(True)).splitlines() if "Exchange hashpartitioning" in line]
+        a, b = ([str(r) for r in found(placed).collect()] for placed in (True, False))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(a) == sorted(b) and len(a) == 3000 and sum("label=['L" in r for r in a) == 2000
+    # mentions and inner mentions, each for its repeated rows and for the join
+    assert len([line for line in moved if "source" in line]) == 4, moved
+
+
 def test_code_lists_do_not_gather_rows(spark):
     rows = spark.range(100).select(F.lit("lupus").alias("disease"), "id", F.when(F.col("id") % 4 == 0, "H02AB").otherwise("H02AB07").alias("code"))
     codes = code_table(spark, {"lupus": {"steroid": ["H02AB"], "other": ["H02AB07"]}})
